@@ -88,11 +88,11 @@ def shown_outcome(status: Column, outcome: Column) -> Column:
 
 
 def outcome_group(outcome: Column) -> Column:
-    """The list filter a job falls under."""
+    """The list filter a job falls under, NULL when only the full list shows it."""
     return (
         F.when(outcome.isin("queued", "running"), "active")
-        .when(outcome.isin("success", "plan_accepted"), "success")
-        .otherwise("attention")
+        .when(outcome == "success", "success")
+        .when(outcome.isin("failed", "unsupported"), "attention")
     )
 
 

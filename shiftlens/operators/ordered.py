@@ -43,9 +43,10 @@ def ordinal() -> Running:
     return running_sum(F.lit(1).cast("long"))
 
 
-def running_max(value: Column) -> Running:
+def running_max(value: Column, *, inclusive: bool = True) -> Running:
+    last = 0 if inclusive else -1
     return Running(
-        inner=lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        inner=lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, last)),
         summary=lambda order: F.max(value),
         carry=lambda s, w: F.max(s).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         combine=lambda inner, carry: F.greatest(inner, carry),

@@ -310,7 +310,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         (key % 3).cast("int").alias("no_progress_retries"),
         (key % 9).cast("int").alias("llm_calls"),
         (F.col("o_totalprice") / 100000).alias("cost_usd"),
-        ((key * 7) % 1000 / 10).alias("wall_seconds"),
+        ((key * 7) % 997 / 7).alias("wall_seconds"),
         (F.col("o_orderdate") + seconds(key % 86400)).alias("created_at"),
     )
 
@@ -327,7 +327,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id,
        CAST(CASE WHEN status = 'green' THEN o_orderkey % 2 ELSE 0 END AS INTEGER) AS escalation_rescued,
        o_orderkey % 5 / 4 AS oracle_integrity_rate, CAST(o_orderkey % 3 AS INTEGER) AS no_progress_retries,
        CAST(o_orderkey % 9 AS INTEGER) AS llm_calls, o_totalprice / 100000 AS cost_usd,
-       (o_orderkey * 7) % 1000 / 10 AS wall_seconds, o_orderdate + to_seconds(o_orderkey % 86400) AS created_at
+       (o_orderkey * 7) % 997 / 7 AS wall_seconds, o_orderdate + to_seconds(o_orderkey % 86400) AS created_at
 FROM (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN 'timeout' WHEN o_orderkey % 8 = 0 THEN 'error'
                      WHEN total > 0 AND passed * 2 >= total THEN 'green' ELSE 'red' END AS status
       FROM (SELECT o.*, CAST(coalesce(n, 0) AS INTEGER) AS total, CAST(coalesce(p, 0) AS INTEGER) AS passed,
