@@ -186,7 +186,7 @@ def task_logs(spark: SparkSession, folder: str) -> DataFrame:
             F.when((F.col("k") + i) % 3 == 0, "runtime_targeted").otherwise("batch").alias("scope"),
             (F.col("k") * i).cast("long").alias("prompt_tokens"),
             (F.col("k") + i).cast("long").alias("completion_tokens"),
-            F.when((F.col("k") + i) % 5 != 0, F.round(F.col("value") * i / 1000, 4)).alias("cost_usd"),
+            F.when((F.col("k") + i) % 5 != 0, F.col("value") * i / 1000).alias("cost_usd"),
             F.when((F.col("k") + i) % 4 == 0, F.concat(F.lit("diff "), F.col("k").cast("string"), F.lit("/"), i.cast("string")))
             .otherwise("")
             .alias("failing_diff"),
@@ -220,7 +220,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS job_id,
             WHEN 'signup' THEN 'architect' WHEN 'purchase' THEN 'format_repair' ELSE 'rollback_regenerate' END END AS action,
        CASE WHEN (k + i) % 3 = 0 THEN 'runtime_targeted' ELSE 'batch' END AS scope,
        CAST(k * i AS BIGINT) AS prompt_tokens, CAST(k + i AS BIGINT) AS completion_tokens,
-       CASE WHEN (k + i) % 5 <> 0 THEN round(value * i / 1000, 4) END AS cost_usd,
+       CASE WHEN (k + i) % 5 <> 0 THEN value * i / 1000 END AS cost_usd,
        CASE WHEN (k + i) % 4 = 0 THEN 'diff ' || CAST(k AS VARCHAR) || '/' || CAST(i AS VARCHAR) ELSE '' END AS failing_diff
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
      LATERAL (SELECT unnest(range(1, k % 4 + 1)) AS i)

@@ -57,8 +57,9 @@ def differences(df, sql: str, con) -> list[str]:
     if len(left) != len(right):
         found.append(f"{len(left)} rows against {len(right)}")
     if left != right:
-        only_left = [x for x in left if x not in set(right)][:3]
-        only_right = [x for x in right if x not in set(left)][:3]
+        in_left, in_right = set(left), set(right)
+        only_left = [x for x in left if x not in in_right][:3]
+        only_right = [x for x in right if x not in in_left][:3]
         found.append(f"values: {only_left} against {only_right}")
     if not left:
         found.append("no rows")
