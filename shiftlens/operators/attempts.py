@@ -28,14 +28,14 @@ def spend(tasks: DataFrame, owners: DataFrame) -> DataFrame:
         F.sum(cost).alias("cost"), F.count("*").alias("n")
     )
     return per_job.join(owners, "job_id").groupBy("user_id").agg(
-        F.bround(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("spend"), F.sum("n").alias("paid_attempts")
+        F.bround(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("spend"), F.sum("n").alias("paid_attempts")
     )
 
 
 def spend_since(tasks: DataFrame, since: Column) -> DataFrame:
     cost = F.col("attempt_row.cost_usd")
     today = exploded(tasks.filter(F.col("created_at") >= since))
-    return today.agg(F.bround(F.coalesce(F.sum(cost), F.lit(0.0)), 4).alias("spend"))
+    return today.agg(F.bround(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("spend"))
 
 
 def usage(tasks: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def usage(tasks: DataFrame) -> DataFrame:
         F.sum(calls.cast("long")).alias("calls"),
         total("prompt_tokens", "long").alias("prompt_tokens"),
         total("completion_tokens", "long").alias("completion_tokens"),
-        F.bround(total("cost_usd", "double"), 4).alias("cost_usd"),
+        F.bround(total("cost_usd", "double"), 6).alias("cost_usd"),
     )
 
 

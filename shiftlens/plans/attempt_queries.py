@@ -15,7 +15,7 @@ from .catalogue import over, query
 @query(
     "J-01 G-05 F-09 X-20",
     over("attempts users", """
-SELECT u.login AS user_id, round_even(sum(cost_usd), 4) AS spend, count(*) AS paid_attempts
+SELECT u.login AS user_id, round_even(sum(cost_usd), 6) AS spend, count(*) AS paid_attempts
 FROM attempts a JOIN users u ON u.id = a.job_id WHERE cost_usd IS NOT NULL GROUP BY u.login"""),
 )
 def spend_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,7 @@ def spend_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "G-05 F-05 X-18",
-    over("attempts", """SELECT round_even(coalesce(sum(cost_usd), 0), 4) AS spend FROM attempts
+    over("attempts", """SELECT round_even(coalesce(sum(cost_usd), 0), 6) AS spend FROM attempts
          WHERE created_at >= date_trunc('day', TIMESTAMP '2024-01-20 13:00:00')"""),
 )
 def spend_since_midnight(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ a AS (SELECT job_id, count(*) FILTER (action IN ('architect', 'architect_repair'
              sum(coalesce(prompt_tokens, 0)) AS p, sum(coalesce(completion_tokens, 0)) AS c, sum(coalesce(cost_usd, 0)) AS cost
       FROM attempts GROUP BY job_id)
 SELECT t.job_id, coalesce(calls, 0) AS calls, CAST(coalesce(p, 0) AS BIGINT) AS prompt_tokens,
-       CAST(coalesce(c, 0) AS BIGINT) AS completion_tokens, round_even(coalesce(cost, 0), 4) AS cost_usd
+       CAST(coalesce(c, 0) AS BIGINT) AS completion_tokens, round_even(coalesce(cost, 0), 6) AS cost_usd
 FROM t LEFT JOIN a USING (job_id)"""),
 )
 def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
