@@ -44,6 +44,15 @@ SUMMARY_LINE = "short test summary info"
 EXCEPTION_LINE = r"^\s*(?:E\s+)?(?:[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*(?:Error|Exception)|AssertionError)(?::|$)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column used several times in one expression is otherwise computed as often inside lambdas and
+    conditions, where Spark does not share it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Drop white space of every kind at both ends."""
     return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+\\z", "")
@@ -51,8 +60,11 @@ def strip(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines as a text reader sees them, without an empty one after the last line end."""
-    parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    split = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
+    def drop_empty_end(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+
+    return let(split, drop_empty_end)
 
 
 def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
@@ -61,11 +73,15 @@ def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Colu
     The text is cut at the matches and put together again, so the replacement may depend on the
     match, which a replacement template cannot express.
     """
-    between = F.split(text, pattern, -1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rewrite)
-    padded = F.concat(matches, F.array(F.lit("")))
-    joined = F.zip_with(between, padded, lambda piece, match: F.concat(piece, match))
-    return F.when(text.rlike(pattern), F.array_join(joined, "")).otherwise(text)
+
+    def rebuilt(source: Column) -> Column:
+        between = F.split(source, pattern, -1)
+        matches = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), rewrite)
+        padded = F.concat(matches, F.array(F.lit("")))
+        joined = F.zip_with(between, padded, lambda piece, match: F.concat(piece, match))
+        return F.when(source.rlike(pattern), F.array_join(joined, "")).otherwise(source)
+
+    return let(text, rebuilt)
 
 
 def scrub(text: Column) -> Column:
@@ -161,14 +177,17 @@ def evidence(text: Column) -> Column:
 def diff_stats(diff: Column) -> Column:
     """Files, added and removed lines of a unified diff."""
     files = F.regexp_count(diff, F.lit("(?md)^diff --git "))
-    lines = lines_of(diff)
-    added = F.filter(lines, lambda x: x.startswith("+") & ~x.startswith("+++"))
-    removed = F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---"))
-    return F.struct(
-        files.cast("long").alias("files"),
-        F.size(added).cast("long").alias("additions"),
-        F.size(removed).cast("long").alias("deletions"),
-    )
+
+    def counted(lines: Column) -> Column:
+        added = F.filter(lines, lambda x: x.startswith("+") & ~x.startswith("+++"))
+        removed = F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---"))
+        return F.struct(
+            files.cast("long").alias("files"),
+            F.size(added).cast("long").alias("additions"),
+            F.size(removed).cast("long").alias("deletions"),
+        )
+
+    return let(lines_of(diff), counted)
 
 
 def truncated(text: Column, limit: int = 8000) -> Column:

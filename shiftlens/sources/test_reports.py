@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +41,16 @@ def _report(xml: str | None) -> dict | None:
     return {"seconds": sum(float(s.get("time") or 0) for s in suites), "cases": cases}
 
 
-def _reports(xml: pd.Series) -> pd.DataFrame:
+def _reports(xml: pa.Array) -> pa.Array:
     # Spark's own from_xml sets up a parser per row, which costs a hundred times the parsing
-    found = [_report(x) or {"seconds": None, "cases": None} for x in xml]
-    return pd.DataFrame(found, columns=["seconds", "cases"])
+    case = pa.struct([(n, pa.float64() if n == "time" else pa.string()) for n in ("name", "classname", "outcome", "time", "details")])
+    kind = pa.struct([("seconds", pa.float64()), ("cases", pa.list_(case))])
+    return pa.array([_report(x) for x in xml.to_pylist()], kind)
 
 
 def parsed(reports: DataFrame) -> DataFrame:
     """Reports with a ``report`` column in place of ``xml``."""
-    return reports.withColumn("report", F.pandas_udf(_reports, REPORT_SCHEMA)("xml")).drop("xml")
+    return reports.withColumn("report", F.arrow_udf(_reports, REPORT_SCHEMA)("xml")).drop("xml")
 
 
 def cases(reports: DataFrame) -> DataFrame:
