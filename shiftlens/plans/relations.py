@@ -434,3 +434,141 @@ RELATION_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "api_keys": ((), API_KEYS_SQL),
     "repo_texts": ((), REPO_TEXTS_SQL),
 }
+
+
+# ------------------------------------------------------------------------- source files
+
+_FACTORY = '''from flask import Flask
+from . import db
+from .m2 import bp
+
+def create_app(config=None):
+    app = Flask(__name__)
+    app.config["KEY_@brand"] = config
+    db.init_app(app)
+    app.register_blueprint(bp)
+    return app
+'''
+_RESOURCE = '''from flask import g, current_app
+
+def get_db(name, timeout=1):
+    return g.db
+
+def init_app(app):
+    app.teardown_appcontext(close_db)
+
+def close_db(error=None):
+    pass
+'''
+_ROUTER = '''from flask import Blueprint, request
+from .db import get_db
+from app.m@next import helper_@next
+
+bp = Blueprint("m@j", __name__)
+
+@bp.route("/x@j")
+def view_@j(a, b=2):
+    conn = get_db("@brand")
+    if request.args:
+        return flash_message(a)
+    return helper_@next(a)
+
+def helper_@j(x, *, flag=None):
+    return x
+'''
+_PLAIN = '''import os
+
+class Store@j:
+    limit: int = @size
+
+    def __init__(self, root):
+        self.root = root
+
+    @property
+    def name(self):
+        return "@name"
+
+    def rows(self):
+        yield os.path.join(self.root, self.name)
+'''
+_CONFTEST = '''import pytest
+from app import create_app
+
+@pytest.fixture
+def client():
+    app = create_app()
+    yield app.test_client()
+'''
+_TEST = '''import pytest
+from flask import g, request as req, jsonify
+
+def test_get(client):
+    assert client.get("/x2").status_code == 200
+    assert client.get("/x3").get_json() == {"n": @size}
+
+class TestBad:
+    def test_raises(self, client):
+        with pytest.raises(ValueError):
+            client.get("/bad")
+'''
+_BROKEN = '''def broken(:
+    pass
+'''
+FILES_PER_REPO = 20
+
+
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty source files per repository, one per part, written out by Spark from the part's row.
+
+    0 application factory, 1 resource module, 2-12 routers that import the next one, 13-15 plain
+    modules, 16 conftest, 17-18 tests, 19 a file that does not parse.
+    """
+    j = (F.col("p_partkey") % FILES_PER_REPO).cast("int")
+    number = j.cast("string")
+    path = (
+        F.when(j == 0, "src/app/__init__.py")
+        .when(j == 1, "src/app/db.py")
+        .when(j <= 12, F.concat(F.lit("src/app/m"), number, F.lit(".py")))
+        .when(j <= 15, F.concat(F.lit("src/app/util"), number, F.lit(".py")))
+        .when(j == 16, "tests/conftest.py")
+        .when(j <= 18, F.concat(F.lit("tests/test_m"), number, F.lit(".py")))
+        .otherwise("src/app/broken.py")
+    )
+    template = (
+        F.when(j == 0, _FACTORY)
+        .when(j == 1, _RESOURCE)
+        .when(j <= 12, _ROUTER)
+        .when(j <= 15, _PLAIN)
+        .when(j == 16, _CONFTEST)
+        .when(j <= 18, _TEST)
+        .otherwise(_BROKEN)
+    )
+    following = F.when(j == 12, 2).otherwise(j + 1).cast("string")
+    text = template
+    for mark, value in (
+        ("@next", following), ("@j", number), ("@brand", F.translate("p_brand", "#", "_")),
+        ("@size", F.col("p_size").cast("string")), ("@name", F.col("p_name")),
+    ):
+        text = F.replace(text, F.lit(mark), value)
+    return table(spark, folder, "part").select(
+        F.floor(F.col("p_partkey") / FILES_PER_REPO).alias("repo_no"),
+        j.alias("j"),
+        path.alias("path"),
+        text.alias("text"),
+        "p_brand",
+        "p_size",
+    ).select(F.concat(F.lit("r"), F.col("repo_no").cast("string")).alias("repo"), "path", "text", "j", "p_brand", "p_size")
+
+
+SOURCE_SQL = """
+SELECT 'r' || CAST(p_partkey // 20 AS VARCHAR) AS repo, CAST(p_partkey % 20 AS INTEGER) AS j, p_brand, p_size,
+       CASE WHEN p_partkey % 20 = 0 THEN 'src/app/__init__.py' WHEN p_partkey % 20 = 1 THEN 'src/app/db.py'
+            WHEN p_partkey % 20 <= 12 THEN 'src/app/m' || CAST(p_partkey % 20 AS VARCHAR) || '.py'
+            WHEN p_partkey % 20 <= 15 THEN 'src/app/util' || CAST(p_partkey % 20 AS VARCHAR) || '.py'
+            WHEN p_partkey % 20 = 16 THEN 'tests/conftest.py'
+            WHEN p_partkey % 20 <= 18 THEN 'tests/test_m' || CAST(p_partkey % 20 AS VARCHAR) || '.py'
+            ELSE 'src/app/broken.py' END AS path,
+       CASE WHEN p_partkey % 20 = 12 THEN 2 ELSE CAST(p_partkey % 20 + 1 AS INTEGER) END AS nxt
+FROM part
+"""
+RELATION_SQL["source_files"] = ((), SOURCE_SQL)
