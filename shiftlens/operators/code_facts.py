@@ -99,7 +99,8 @@ def _parses(texts: pa.Array) -> pa.Array:
 
 def parse_status(files: DataFrame) -> DataFrame:
     """Whether each file parses, and where it stops."""
-    status = F.arrow_udf(_parses, "parses boolean, line int")("text")
+    # declared so that a filter on the result is not pushed down and the text parsed twice
+    status = F.arrow_udf(_parses, "parses boolean, line int").asNondeterministic()("text")
     return files.select(*[c for c in files.columns if c != "text"], status.alias("s")).select(
         *[c for c in files.columns if c != "text"], "s.parses", "s.line"
     )

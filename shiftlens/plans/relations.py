@@ -13,6 +13,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows over all cores, before each of them grows into a long text that Python parses.
+
+    Real source tables come in enough splits; these rows come from one small file.
+    """
+    spark = df.sparkSession
+    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(count)
+
+
 def seconds(value: Column) -> Column:
     return F.make_dt_interval(secs=value)
 
@@ -550,7 +560,8 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
         ("@size", F.col("p_size").cast("string")), ("@name", F.col("p_name")),
     ):
         text = F.replace(text, F.lit(mark), value)
-    return table(spark, folder, "part").select(
+    parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    return spread(parts).select(
         F.floor(F.col("p_partkey") / FILES_PER_REPO).alias("repo_no"),
         j.alias("j"),
         path.alias("path"),

@@ -412,7 +412,8 @@ def traceback_leaves(spark: SparkSession, folder: str) -> DataFrame:
     )
     second = F.when(which == 2, "src/app/m0.py:1: in k\nAssertionError\n").otherwise("E ValueError: late\n")
     output = F.when(which == 1, "tests/test_a.py:3: in t\nE AssertionError: x\n").otherwise(F.concat(first, second))
-    outputs = R.table(spark, folder, "events").select(R.text_of("event_id").alias("job_id"), output.alias("output"))
+    events = R.spread(R.table(spark, folder, "events").select("event_id", "user_id"))
+    outputs = events.select(R.text_of("event_id").alias("job_id"), output.alias("output"))
     eligible = outputs.select("job_id", F.explode(F.array(*[F.lit(f"src/app/m{i}.py") for i in range(3)])).alias("path"))
     return X.traceback_leaf(outputs, eligible)
 
@@ -480,7 +481,8 @@ def _junit(spark: SparkSession, folder: str) -> DataFrame:
     suite = F.concat(F.lit("<testsuite time=\"1.25\">"), cases, F.lit("</testsuite>"))
     whole = F.concat(F.lit("<testsuites>"), suite, F.lit("<testsuite time=\"0.5\"/></testsuites>"))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return R.table(spark, folder, "lineitem").select(key.alias("id"), F.when(q % 2 == 0, suite).otherwise(whole).alias("xml"))
+    lines = R.spread(R.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return lines.select(key.alias("id"), F.when(q % 2 == 0, suite).otherwise(whole).alias("xml"))
 
 
 _JUNIT = """
