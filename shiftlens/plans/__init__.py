@@ -4,7 +4,9 @@ from importlib import import_module
 
 from .catalogue import ENTRIES, Entry
 
-_MODULES = ("evaluation", "job_queries", "attempt_queries", "text_queries", "code_queries", "graph_queries")
+_MODULES = (
+    "evaluation", "job_queries", "attempt_queries", "text_queries", "code_queries", "graph_queries", "proposal_queries",
+)
 
 
 def all_entries() -> dict[str, Entry]:
