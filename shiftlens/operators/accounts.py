@@ -16,9 +16,8 @@ def key_owner(presented: DataFrame, keys: DataFrame, users: DataFrame) -> DataFr
     """The user behind each presented key; revoked keys and disabled users have none."""
     live = keys.filter(~F.col("revoked")).select("key_hash", "user_id")
     people = users.filter(~F.col("disabled")).select(F.col("id").alias("user_id"), "login", "role")
-    return presented.join(live, "key_hash", "left").join(people, "user_id", "left").select(
-        "key_hash", F.when(F.col("login").isNotNull(), F.col("user_id")).alias("user_id"), "login", "role"
-    )
+    # resolved first, so that unknown keys do not meet on a NULL user
+    return presented.join(live.join(people, "user_id"), "key_hash", "left").select("key_hash", "user_id", "login", "role")
 
 
 def token_outcome(known: Column, revoked: Column, expires_at: Column, now: Column, disabled: Column) -> Column:

@@ -38,7 +38,9 @@ def task_tree(tasks: DataFrame) -> DataFrame:
     """Parents with their children, one row per child; a childless parent keeps one row.
 
     Children stay rows with their sort keys instead of being gathered in an array, so a parent with
-    very many children is no single row.  A child whose parent is missing drops out.
+    very many children is no single row.  Parents with children come from an inner join, whose
+    skewed keys Spark can split on either side; an outer join could not split the children.  A child
+    whose parent is missing drops out.
     """
     parents = top_level(tasks).select(
         "job_id",
@@ -54,7 +56,8 @@ def task_tree(tasks: DataFrame) -> DataFrame:
         F.col("created_at").alias("child_created_at"),
         F.col("status").alias("child_status"),
     )
-    return parents.join(children, "task_id", "left")
+    childless = parents.join(children.select("task_id").distinct(), "task_id", "left_anti")
+    return parents.join(children, "task_id").unionByName(childless, allowMissingColumns=True)
 
 
 def child_summary(tasks: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import last_seen, with_running
+
 ERROR_LENGTH = 2000
 
 
@@ -56,7 +58,10 @@ def patched(tasks: DataFrame, patches: DataFrame, columns: Sequence[str]) -> Dat
     down = patches.filter(F.coalesce("cascade", F.lit(False)) & F.col("status").isNotNull()).select(
         F.col("id").alias("parent_id"), F.col("status").alias("_down")
     )
-    joined = tasks.join(own, "id", "left").join(down, "parent_id", "left")
+    updated = tasks.join(own, "id", "left")
+    # top-level tasks have no parent to hear from; kept out of the join their NULLs cannot pile up
+    top = updated.filter(F.col("parent_id").isNull()).withColumn("_down", F.lit(None).cast("string"))
+    joined = updated.filter(F.col("parent_id").isNotNull()).join(down, "parent_id", "left").unionByName(top)
 
     def value(name: str) -> Column:
         if name not in columns:
@@ -125,13 +130,24 @@ def snapshot_rows(files: DataFrame, batches: DataFrame) -> DataFrame:
     """The state of a batch's files before it ran: their newest version older than the batch.
 
     ``files`` are versions (job_id, path, version, content_hash), ``batches`` are
-    (job_id, batch, path, version); a path without an older version did not exist.
+    (job_id, batch, path, version); a path without an older version did not exist.  Versions and
+    batches are put in one order and the last version seen is carried along, so a file with very
+    many versions is not joined with all its batches.
     """
-    before = batches.select("job_id", "batch", "path", F.col("version").alias("at")).join(files, ["job_id", "path"], "left")
-    older = F.col("version") < F.col("at")
-    return before.groupBy("job_id", "batch", "path").agg(
-        F.max_by("content_hash", F.when(older, F.col("version"))).alias("content_hash"),
-        F.coalesce(F.bool_or(older), F.lit(False)).alias("existed"),
+    none = F.lit(None)
+    versions = files.select(
+        "job_id", "path", "version", F.lit(1).alias("kind"), none.cast("long").alias("batch"), F.struct("content_hash").alias("state")
+    )
+    # at equal numbers the batch comes first, since it does not see its own version
+    marks = batches.select(
+        "job_id", "path", "version", F.lit(0).alias("kind"), F.col("batch").cast("long").alias("batch"),
+        none.cast("struct<content_hash:string>").alias("state"),
+    )
+    placed = with_running(
+        versions.unionByName(marks), ["job_id", "path"], ["version", "kind", "batch"], {"before": last_seen(F.col("state"))}
+    )
+    return placed.filter("kind = 0").select(
+        "job_id", "batch", "path", F.col("before.content_hash").alias("content_hash"), F.col("before").isNotNull().alias("existed")
     )
 
 

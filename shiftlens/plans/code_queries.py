@@ -9,6 +9,7 @@ from ..functions import patterns as I
 from ..operators import code_facts as C
 from ..operators import contracts as K
 from ..operators import migration_plan as M
+from ..session import cut_lineage
 from . import relations as R
 from .catalogue import over, query
 
@@ -301,7 +302,7 @@ def web_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pins(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    used = _used(files)
+    used = cut_lineage(_used(files))
     return K.manifest(C.interface_contract(files, used), M.planned_files(files)), K.consumers(used)
 
 

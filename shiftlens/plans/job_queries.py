@@ -664,7 +664,8 @@ def refresh_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     outcome = A.token_outcome(
         F.col("known"), F.col("revoked"), expires, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"), F.col("disabled")
     )
-    return presented.join(tokens, "key_hash", "left").join(people, "user_id", "left").select("event_id", outcome.alias("outcome"))
+    owned = tokens.join(people, "user_id", "left")
+    return presented.join(owned, "key_hash", "left").select("event_id", outcome.alias("outcome"))
 
 
 @query(
