@@ -342,3 +342,51 @@ def merged_units(units: DataFrame, cuts: DataFrame, members: DataFrame, limit: i
     numbered = with_running(heads, ["repo"], ["is_cut", "rank"], {"n": ordinal()})
     unit_id = F.concat(F.lit("coordinated-unit-"), F.col("n").cast("string"))
     return done.join(numbered, ["repo", "is_cut", "rank"]).select("repo", unit_id.alias("unit_id"), "path")
+
+
+def wiring_factories(planned: DataFrame, strategies: DataFrame, bound: DataFrame) -> DataFrame:
+    """(repo, wiring, factory): the application factory each test set-up wraps.
+
+    The first factory the set-up imports; without one, the repository's only factory.
+    """
+    place = F.struct("position", "path")
+    factories = planned.filter("role = 'app_factory'").select("repo", "path", "position")
+    wiring = strategies.filter("strategy = 'adapter_wiring'").join(planned.select("repo", "path"), ["repo", "path"], "left_semi").select(
+        "repo", F.col("path").alias("wiring")
+    )
+    imported = (
+        bound.select("repo", "path", F.col("importer").alias("wiring"))
+        .distinct()
+        .join(factories, ["repo", "path"])
+        .groupBy("repo", "wiring")
+        .agg(F.min_by("path", place).alias("imported"))
+    )
+    only = factories.groupBy("repo").agg(F.count("*").alias("n"), F.min("path").alias("only")).filter("n = 1").drop("n")
+    return (
+        wiring.join(imported, ["repo", "wiring"], "left")
+        .join(only, "repo", "left")
+        .select("repo", "wiring", F.coalesce("imported", "only").alias("factory"))
+        .filter("factory IS NOT NULL")
+    )
+
+
+def wired_units(units: DataFrame, pairs: DataFrame, planned: DataFrame, max_files: int = 4) -> DataFrame:
+    """Units with factories and their test set-ups in one unit, while there is room.
+
+    A pair joins the first unit that holds either file; pairs without one share a new unit per
+    factory.
+    """
+    either = pairs.select("repo", "wiring", "factory", F.explode(F.array("factory", "wiring")).alias("path"))
+    held = either.join(units, ["repo", "path"]).groupBy("repo", "wiring", "factory").agg(F.min("unit_id").alias("held"))
+    unit_id = F.coalesce("held", F.concat(F.lit("test-adapter-seam-"), F.col("factory")))
+    wanted = either.join(held, ["repo", "wiring", "factory"], "left").select("repo", unit_id.alias("unit_id"), "path", (F.col("path") == F.col("factory")).alias("leads"))
+    fresh = (
+        wanted.groupBy("repo", "unit_id", "path").agg(F.max("leads").alias("leads"))
+        .join(units.select("repo", "unit_id", "path"), ["repo", "unit_id", "path"], "left_anti")
+        .join(planned.select("repo", "path", "position"), ["repo", "path"])
+        .withColumn("follows", ~F.col("leads"))
+    )
+    size = units.groupBy("repo", "unit_id").agg(F.count("*").alias("size"))
+    placed = with_running(fresh, ["repo", "unit_id"], ["follows", "position", "path"], {"n": ordinal()})
+    room = placed.join(size, ["repo", "unit_id"], "left").filter(F.coalesce("size", F.lit(0)) + F.col("n") <= max_files)
+    return units.select("repo", "unit_id", "path").unionByName(room.select("repo", "unit_id", "path"))

@@ -18,7 +18,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return R.source_files(spark, folder).select("repo", "path", "text")
 
 
-@query("E-15 E-14 S-09", over("source_files", "SELECT repo, path, j <> 19 AS parses, CASE WHEN j = 19 THEN 1 END AS line FROM source_files"))
+@query("E-15 E-14", over("source_files", "SELECT repo, path, j <> 19 AS parses, CASE WHEN j = 19 THEN 1 END AS line FROM source_files"))
 def parse_status(spark: SparkSession, folder: str) -> DataFrame:
     return C.parse_status(_files(spark, folder))
 

@@ -211,3 +211,19 @@ def merged_units(spark: SparkSession, folder: str) -> DataFrame:
     members = rows("cut_id", {"executable-cut-1": "bc", "executable-cut-2": "xy", "executable-cut-3": "hijk"})
     cuts = members.select("repo", "cut_id").distinct().withColumn("mode", F.lit("coordinated"))
     return U.merged_units(units, cuts, members)
+
+
+@query("J-22", over("source_files", """
+, f AS (SELECT repo, p_size % 2 = 0 AS has_unit FROM source_files WHERE j = 0)
+SELECT repo, 'u1' AS unit_id, p AS path FROM f, (SELECT unnest(['src/app/db.py', 'src/app/__init__.py', 'tests/conftest.py']) AS p) WHERE has_unit
+UNION ALL SELECT repo, 'test-adapter-seam-src/app/__init__.py', p FROM f, (SELECT unnest(['src/app/__init__.py', 'tests/conftest.py']) AS p) WHERE NOT has_unit"""))
+def wired_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Repositories with a unit around their factory, and others without any."""
+    files = _files(spark, folder)
+    planned = _planned(files)
+    strategies = M.test_strategy(files.filter(is_oracle_test(F.col("path"))))
+    pairs = cut_lineage(U.wiring_factories(planned, strategies, C.bindings(files)))
+    with_unit = R.source_files(spark, folder).filter("j = 0 AND p_size % 2 = 0").select("repo")
+    both = F.explode(F.array(F.lit("src/app/db.py"), F.lit("src/app/__init__.py")))
+    units = with_unit.select("repo", F.lit("u1").alias("unit_id"), both.alias("path"))
+    return U.wired_units(units, pairs, planned)
