@@ -83,6 +83,11 @@ FROM (SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS created,
 """
 
 
+def line_id() -> Column:
+    """Line items have no key of their own; these columns together are unique."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").cast("string"))
+
+
 def file_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """One top-level task per line item."""
     part = F.col("l_partkey")
@@ -104,7 +109,7 @@ def file_tasks(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("src/p"), (F.col("l_suppkey") % 10).cast("string"), F.lit("/m"), text_of("l_partkey"), F.lit(".py")
     )
     return table(spark, folder, "lineitem").select(
-        F.concat_ws("-", text_of("l_orderkey"), text_of("l_linenumber"), text_of("l_partkey"), text_of("l_suppkey")).alias("id"),
+        line_id().alias("id"),
         text_of("l_orderkey").alias("job_id"),
         F.lit(None).cast("string").alias("parent_id"),
         kind.alias("type"),
@@ -119,7 +124,7 @@ def file_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FILE_TASKS_SQL = """
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS id,
        CAST(l_orderkey AS VARCHAR) AS job_id, CAST(NULL AS VARCHAR) AS parent_id, kind AS type,
        CASE WHEN kind <> 'artifact_architect'
             THEN 'src/p' || CAST(l_suppkey % 10 AS VARCHAR) || '/m' || CAST(l_partkey AS VARCHAR) || '.py' END AS target_path,

@@ -480,13 +480,12 @@ def _junit(spark: SparkSession, folder: str) -> DataFrame:
     cases = F.array_join(F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), case), "")
     suite = F.concat(F.lit("<testsuite time=\"1.25\">"), cases, F.lit("</testsuite>"))
     whole = F.concat(F.lit("<testsuites>"), suite, F.lit("<testsuite time=\"0.5\"/></testsuites>"))
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     lines = R.spread(R.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return lines.select(key.alias("id"), F.when(q % 2 == 0, suite).otherwise(whole).alias("xml"))
+    return lines.select(R.line_id().alias("id"), F.when(q % 2 == 0, suite).otherwise(whole).alias("xml"))
 
 
 _JUNIT = """
-WITH c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CAST(l_quantity AS INTEGER) AS q, i, (CAST(l_quantity AS INTEGER) + i) % 5 AS m
+WITH c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS id, CAST(l_quantity AS INTEGER) AS q, i, (CAST(l_quantity AS INTEGER) + i) % 5 AS m
            FROM lineitem, LATERAL (SELECT unnest(range(1, l_linenumber + 1)) AS i))
 """
 
