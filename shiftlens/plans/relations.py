@@ -18,9 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Real source tables come in enough splits; these rows come from one small file.
     """
-    spark = df.sparkSession
-    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(count)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def seconds(value: Column) -> Column:
