@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import chat, decontaminate, html_text, packing, path_templates, token_files
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +19,78 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+_ODD = r"\### Assistant: </turn> ok"
+
+
+def _escaped(column: str) -> str:
+    return rf"replace(replace(replace({column}, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')"
+
+
+SQL["op1_chat_windows"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_ODD}' UNION ALL SELECT -7, 1, 'assistant', '{_ODD}'),
+s AS (SELECT *, length({_escaped('role')}) + length({_escaped('text')}) + 17 AS chars FROM c),
+t AS (SELECT *, (chars + 3) // 4 AS tokens FROM s),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AND role = 'system' AS sys FROM t),
+w AS (SELECT *, (stop - 1) // 1280 AS win FROM p),
+l AS (SELECT *, max(stop) OVER (PARTITION BY conv_id, win) AS last, max(stop) OVER (PARTITION BY conv_id) AS total FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+       CAST(sum(chars) + sum(CASE WHEN last < total AND last - (stop - tokens) <= 512 AND NOT sys THEN chars ELSE 0 END)
+            + sum(CASE WHEN sys THEN chars ELSE 0 END) * (count(DISTINCT win) - 1) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id"""
+
+
+@query
+def op1_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    odd = spark.createDataFrame([(-7, 0, "user", _ODD), (-7, 1, "assistant", _ODD)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat.conversation_digests(chat.format_windows(rows))
+
+
+@query
+def op2_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(token_files.write_ids(table(spark, folder, "documents")))
 
 
+@query
+def op8_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    allow = [("org", "/"), ("com", "/fr/")]
+    block = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
+    return path_templates.judge_urls(table(spark, folder, "pages"), allow, block)
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL["op9_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS s
+        FROM (SELECT item, w, least(len(w), 13) AS k, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+spot AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, spot.k, i, item FROM spot JOIN win ON spot.s = win.s AND spot.k = win.k),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
