@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, packing, path_templates, quality_ratio, token_files
+from . import chat, decontaminate, html_text, packing, path_templates, quality_ratio, token_files, weak_toxicity
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op4_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return quality_ratio.judge(table(spark, folder, "documents"), table(spark, folder, "labels").filter("quality = 1"))
 
 
+@query
+def op7_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op8_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     allow = [("org", "/"), ("com", "/fr/")]
