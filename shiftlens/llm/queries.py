@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, interpolated_lm, packing, path_templates, quality_ratio, token_files, weak_toxicity
+from . import chat, decontaminate, forest, html_text, interpolated_lm, packing, path_templates, quality_ratio, token_files, weak_toxicity
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op4_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return quality_ratio.judge(table(spark, folder, "documents"), table(spark, folder, "labels").filter("quality = 1"))
 
 
+@query
+def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.duplicate_components(table(spark, folder, "documents"), shingle=4)
+
+
 @query
 def op6_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     return interpolated_lm.score_texts(table(spark, folder, "documents"))
