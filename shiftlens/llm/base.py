@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import use_checkpoint_dir
 
@@ -43,8 +44,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != F.lit(""))
 
 
-def batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def with_read(df: DataFrame, columns: list[str], name: str, kind: str, make: Callable[[], Callable[..., pa.Array]]) -> DataFrame:
+    """``df`` with a further column, which a function of whole ``columns`` makes batch by batch.
+
+    ``make`` runs once in each task.  All other columns pass through, so nothing has to be joined back.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = make()
+        for batch in batches:
+            added = read(*(batch.column(i).to_pylist() for i in places))
+            yield pa.RecordBatch.from_arrays([*batch.columns, added], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
 
 
 def crc32_fold(doc_id: Column, parts: int) -> Column:

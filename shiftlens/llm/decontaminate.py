@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import process_state, written
+from .base import fresh, process_state, with_read, written
 
 WINDOW = 13
 #: Bytes of item text in one automaton.  More items are scanned for in turns, each with its own automaton.
@@ -20,8 +19,8 @@ AUTOMATON_BYTES = 16 << 20
 _NORMAL = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _ORIGINAL_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
-_CARRIED = "doc_id long, text string, hits array<int>, items array<string>"
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
+SCANNED = "struct<hits:array<int>,items:array<string>>"
+FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,stop:int>>>"
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -72,36 +71,58 @@ def _spans(text: str, hit: list[int]) -> list[dict]:
 
 
 def _scan(items, name: str, last: bool):
-    """One turn over the documents; ``items`` is a broadcast list of (item_id, text), ``name`` is its own."""
+    """One turn over texts and what the turns before have found; ``items`` is a broadcast list of (item_id, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         kept = process_state()
         if kept.get("finder", ("",))[0] != name:
             kept["finder"] = (name, _Finder(items.value))
         finder = kept["finder"][1]
-        for batch in batches:
+
+        def read(texts: list, before: list | None = None) -> pa.Array:
             rows = []
-            for doc_id, text, hits, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, found in zip(texts, before or [None] * len(texts), strict=True):
                 words = normal_words(text)
                 hit, ids = finder.find(words)
-                hit, ids = sorted(hit.union(hits)), sorted(ids.union(found))
+                if found is not None:
+                    hit, ids = hit.union(found["hits"]), ids.union(found["items"])
+                hit, ids = sorted(hit), sorted(ids)
                 if last:
-                    rows.append((doc_id, len(words), len(hit), ids, _spans(text or "", hit)))
+                    rows.append({"n_words": len(words), "n_hit": len(hit), "items": ids, "spans": _spans(text or "", hit)})
                 else:
-                    rows.append((doc_id, text, hit, ids))
-            if last:
-                span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-                kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(span)}
-            else:
-                kinds = {"doc_id": pa.int64(), "text": pa.string(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+                    rows.append({"hits": hit, "items": ids})
+            span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+            done = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))])
+            return pa.array(rows, done if last else pa.struct([("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
+
+        return read
+
+    return make
+
+
+def _with_found(docs: DataFrame, benchmark: DataFrame, name: str, automaton_bytes: int) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text")).filter("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    turns = max(1, -(-size // automaton_bytes))
+    cut = written(items.withColumn("turn", F.pmod(F.xxhash64("item_id", "text"), F.lit(turns))), "items") if turns > 1 else items.withColumn("turn", F.lit(0))
+    context, rows, before = docs.sparkSession.sparkContext, docs, None
+    for turn in range(turns):
+        sent = context.broadcast([(r["item_id"], r["text"]) for r in cut.filter(F.col("turn") == turn).collect()])
+        last = turn == turns - 1
+        added = name if last else fresh(rows, "scanned")
+        made = with_read(rows, ["text"] + [before] * (before is not None), added, FOUND if last else SCANNED, _scan(sent, uuid.uuid4().hex, last))
+        rows = made.drop(before) if before else made
+        before = added
+        if not last:
+            rows = written(rows, "scanned")
+    return rows
+
 
-    return run
+_RULE = "{0}.n_hit > 0 AND 20 * {0}.n_hit >= {0}.n_words"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """What of each document occurs in benchmark items; one row per document row.
+    """(doc_id, n_words, n_hit, items, spans, contaminated): what of each document row occurs in benchmark items.
 
     Words are runs of letters and digits, A-Z in lower case.  An item is its windows of 13 words, or all its
     words if it has fewer; a document word inside an occurrence of a window is hit.  ``items`` are the items
@@ -112,18 +133,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, automaton_bytes: int
     Items are cut into groups of ``automaton_bytes``, each sent to the tasks by itself, so what is broadcast
     stays bounded; documents are written to the shared folder between two groups.
     """
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text")).filter("text IS NOT NULL")
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("text"), F.expr("CAST(array() AS array<int>)").alias("hits"), F.expr("CAST(array() AS array<string>)").alias("items")
-    )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    turns = max(1, -(-size // automaton_bytes))
-    cut = written(items.withColumn("turn", F.pmod(F.xxhash64("item_id", "text"), F.lit(turns))), "items") if turns > 1 else items.withColumn("turn", F.lit(0))
-    context = docs.sparkSession.sparkContext
-    for turn in range(turns):
-        sent = context.broadcast([(r["item_id"], r["text"]) for r in cut.filter(F.col("turn") == turn).collect()])
-        if turn < turns - 1:
-            rows = written(rows.mapInArrow(_scan(sent, uuid.uuid4().hex, False), _CARRIED), "scanned")
-        else:
-            rows = rows.mapInArrow(_scan(sent, uuid.uuid4().hex, True), FOUND)
-    return rows.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    return _with_found(rows, benchmark, "found", automaton_bytes).select("doc_id", "found.*", F.expr(_RULE.format("found")).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    name = fresh(docs, "found")
+    return _with_found(docs, benchmark, name, automaton_bytes).filter(f"NOT ({_RULE.format(name)})").drop(name)

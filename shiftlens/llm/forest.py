@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components
 from ..operators.ordered import ordinal, with_running
-from .base import written
+from .base import fresh, written
 
 MINIMA, DEPTH = 128, 4
 TREES = MINIMA // DEPTH
@@ -244,26 +244,25 @@ def _confirm_block(percent: int):
 
 
 def _blocks(nodes: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (tree, region, block, node, minima) of all regions with two nodes or more, and the runs of the larger ones.
+    """Rows (tree, region, block, node) of all regions with two nodes or more, and the runs of the larger ones.
 
     In a larger region block 2k is run k with the run after it, so neighbours in the tree's order always meet.
     """
     rows = nodes.select("node", "signature").mapInArrow(_regions, "tree int, region long, node long")
     sizes = rows.groupBy("tree", "region").count().filter("count > 1")
     shared = written(rows.join(sizes, ["tree", "region"]), "regions")
-    minima = nodes.select("node", "signature", "minima")
     small = shared.filter(F.col("count") <= block).select("tree", "region", F.lit(0).cast("long").alias("block"), "node")
     large = shared.filter(F.col("count") > block)
     if large.isEmpty():
-        return small.join(minima.drop("signature"), "node"), None
+        return small, None
     # the tree's order: the signature from the tree's own place on
-    deep = large.join(minima.select("node", F.concat("signature", "signature").alias("twice")), "node").select(
+    deep = large.join(nodes.select("node", F.concat("signature", "signature").alias("twice")), "node").select(
         "tree", "region", "node", F.expr(f"substring(twice, tree * {2 * DEPTH} + 1, {2 * MINIMA})").alias("label")
     )
     placed = with_running(written(deep, "deep"), ["tree", "region"], ["label", "node"], {"place": ordinal()})
     runs = written(placed.select("tree", "region", "node", F.floor((F.col("place") - 1) / (block // 2)).alias("run")), "runs")
     near = runs.select("tree", "region", F.explode(F.array(F.col("run"), F.col("run") - 1)).alias("block"), "node").filter("block >= 0")
-    return small.unionByName(near).join(minima.drop("signature"), "node"), runs
+    return small.unionByName(near), runs
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,16 +304,8 @@ def _mixed(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return held.join(several.drop("x", "y"), ["tree", "region", "block"])
 
 
-def duplicate_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
-
-    Texts are linked if they share ``percent`` of their shingles of ``shingle`` words, A-Z in lower case; ``component_id``
-    is the smallest id that links lead to.  NULL and empty texts, and texts without words, have no shingles and are linked
-    with nothing.  Rows with equal texts are linked; repeated rows each appear.  A NULL id counts as none: such a row is
-    linked as any other, its component may have no id, and it is kept if so.  No rows give none.
-    """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    read = written(rows.mapInArrow(_nodes(shingle), NODES).withColumn("row", F.monotonically_increasing_id()), "nodes")
+def _linked_rows(read: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component) of every row of ``read``; the component is NULL for texts without words."""
     byte = F.expr(f"unhex(array_join(transform(sequence(1, {4 * MINIMA}, 4), i -> substring(hex(signature), i, 2)), ''))")
     nodes = read.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("node"))
     member = written(read.select("row", "doc_id", "key", "n_shingles").join(nodes, "key", "left").drop("key"), "members")
@@ -322,10 +313,8 @@ def duplicate_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80
         read.select(F.col("row").alias("node"), "signature").join(member.filter("row = node").select("node"), "node").withColumn("minima", byte), "signed"
     )
     blocks, runs = _blocks(signed, block)
-    blocks = written(blocks.repartition("tree", "region", "block").sortWithinPartitions("tree", "region", "block"), "blocks")
-    # written files keep no order for a reader, so the rows of a block are brought together again
-    dealt = blocks.repartition("tree", "region", "block").sortWithinPartitions("tree", "region", "block", "node")
-    named = written(dealt.mapInArrow(_name_pairs, LINKS), "named")
+    dealt = blocks.join(signed.select("node", "minima"), "node").repartition("tree", "region", "block").sortWithinPartitions("tree", "region", "block", "node")
+    named = written(dealt.select("tree", "region", "block", "node", "minima").mapInArrow(_name_pairs, LINKS), "named")
     dense = named.filter("a < 0").select("tree", "region", "block").distinct()
     pairs = written(named.filter("a >= 0").groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
 
@@ -348,7 +337,7 @@ def duplicate_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80
     more = confirmed(_across(pairs.select("a", "b"), labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     links = links.unionByName(more.filter("linked").select("a", "b"))
     labels = written(_labelled(signed, links), "labels")
-    rest = [blocks.join(dense, ["tree", "region", "block"], "left_semi").select("tree", "region", "block", "node")]
+    rest = [blocks.join(dense, ["tree", "region", "block"], "left_semi")]
     if runs is not None:
         rest.append(_rest_of_runs(runs, labels))
     rest = written(_mixed(reduce(DataFrame.unionByName, rest), labels), "rest")
@@ -356,7 +345,37 @@ def duplicate_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80
         whole = rest.join(written(sets_of(rest), "sets"), "node").join(signed.select("node", "minima"), "node")
         joined = written(whole.groupBy("tree", "region", "block").applyInPandas(_confirm_block(percent), "a long, b long"), "joined")
         labels = written(_labelled(signed, links.unionByName(joined.distinct())), "labels")
-    placed = member.join(labels, "node", "left")
+    return member.join(labels, "node", "left").select("row", "doc_id", "n_shingles", "component")
+
+
+def duplicate_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Texts are linked if they share ``percent`` of their shingles of ``shingle`` words, A-Z in lower case; ``component_id``
+    is the smallest id that links lead to.  NULL and empty texts, and texts without words, have no shingles and are linked
+    with nothing.  Rows with equal texts are linked; repeated rows each appear.  A NULL id counts as none: such a row is
+    linked as any other, its component may have no id, and it is kept if so.  No rows give none.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    read = written(rows.mapInArrow(_nodes(shingle), NODES).withColumn("row", F.monotonically_increasing_id()), "nodes")
+    placed = _linked_rows(read, shingle, percent, block)
     smallest = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     found = placed.join(smallest, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def unique_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row of each group of linked texts, the one with the smallest doc_id, with all its columns.
+
+    Repeated rows are one group; of rows with one id the first stays, and a row without id only where none has one.
+    Texts without words are in no group and all stay.
+    """
+    row = fresh(docs, "row")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    ids = held.select(F.col(row).alias("doc_id"), "text").mapInArrow(_nodes(shingle), NODES)
+    read = written(ids.withColumn("row", F.col("doc_id")), "nodes")
+    placed = _linked_rows(read, shingle, percent, block).select("row", "component").join(held.select(F.col(row).alias("row"), "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min_by("row", order).alias("row")).select("row")
+    stay = first.unionByName(placed.filter("component IS NULL").select("row")).withColumnRenamed("row", row)
+    return held.join(stay, row, "left_semi").drop(row)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import lower_ascii, words
+from .base import fresh, lower_ascii, words
 
 #: Hash buckets of the two multinomials; their weights are one array in the plan.
 BUCKETS = 1 << 15
@@ -86,26 +86,20 @@ def bucket_weights(docs: DataFrame, trusted: Column) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ratio, kept), one row per row.
-
-    ``trusted_ids`` has the doc_id of texts that show what is wanted; repeated or NULL ids in it do not matter.
-    ``log_ratio`` is the mean weight of a text's words and word pairs, 0 without words.  A NULL text has no words.  A row
-    with a NULL doc_id is judged and is raw text.  Equal rows are judged alike; no rows give none.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+def _judged(docs: DataFrame, trusted_ids: DataFrame, name: str, threshold: float) -> DataFrame:
+    """``docs`` with all that is known of each text in one column."""
+    text = F.coalesce("text", F.lit(""))
     ids = trusted_ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(True))
-    marked = rows.join(ids, "doc_id", "left")
+    # neither side is bounded, so neither is broadcast; hashing the ids spares a sort of the texts
+    marked = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(ids.hint("shuffle_hash"), "doc_id", "left")
     weights = bucket_weights(marked, F.coalesce("good", F.lit(False)))
-
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _BLANK, "") != F.lit(""))
-    measured = rows.select(
-        "doc_id",
-        F.length(F.translate("text", _BLANK, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _BLANK, "") != F.lit(""))
+    measured = F.struct(
+        F.length(F.translate(text, _BLANK, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(
-            words(F.col("text")),
+            words(text),
             lambda w: F.struct(
                 F.size(w).cast("long").alias("n_words"),
                 let(_hashes(w), repeated_words).cast("long").alias("n_repeat_words"),
@@ -113,10 +107,32 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, *, threshold: float = THRESHO
             ),
         ).alias("w"),
     )
-    total = F.aggregate("w.buckets", F.lit(0.0), lambda sum_, b: sum_ + F.get("weights", b))
-    scored = measured.withColumn("weights", weights.scalar()).select(
-        "doc_id", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
-        F.expr("w.n_words < 20 OR 100 * w.n_repeat_words > 30 * w.n_words").alias("base_failed"),
-        F.when(F.size("w.buckets") > 0, total / F.size("w.buckets")).otherwise(0.0).alias("log_ratio"),
-    )
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
+    # each name is used once by the lambda that follows, so the array of weights becomes a constant of the plan
+    held = docs.withColumn(name, measured).withColumn("_weights", weights.scalar())
+    found, of = F.col(name), F.col(f"{name}.w")
+    ratio = F.when(F.size(of["buckets"]) > 0, F.aggregate(of["buckets"], F.lit(0.0), lambda sum_, b: sum_ + F.get("_weights", b)) / F.size(of["buckets"])).otherwise(0.0)
+    failed = (of["n_words"] < 20) | (100 * of["n_repeat_words"] > 30 * of["n_words"])
+    return held.select(
+        *docs.columns,
+        F.struct(
+            of["n_words"].alias("n_words"), found["word_chars"].alias("word_chars"), found["n_symbols"].alias("n_symbols"), found["n_dup_lines"].alias("n_dup_lines"),
+            of["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), ratio.alias("log_ratio"),
+        ).alias(name),
+    ).withColumn(name, F.struct(f"{name}.*", (~F.col(f"{name}.base_failed") & (F.col(f"{name}.log_ratio") >= threshold)).alias("kept")))
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ratio, kept), one row per row.
+
+    ``trusted_ids`` has the doc_id of texts that show what is wanted; repeated or NULL ids in it do not matter.
+    ``log_ratio`` is the mean weight of a text's words and word pairs, 0 without words.  A NULL text has no words.  A row
+    with a NULL doc_id is judged and is raw text.  Equal rows are judged alike; no rows give none.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    return _judged(rows, trusted_ids, "found", threshold).select("doc_id", "found.*")
+
+
+def good_documents(docs: DataFrame, trusted_ids: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are kept."""
+    name = fresh(docs, "found")
+    return _judged(docs, trusted_ids, name, threshold).filter(f"{name}.kept").drop(name)

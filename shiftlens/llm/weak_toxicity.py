@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import crc32_fold
+from .base import crc32_fold, fresh, with_read
 
 #: Lexicons that the mined terms are dealt to; the number of voters bounds the vote patterns at 2 ** VOTERS.
 LEXICONS = 8
@@ -176,18 +175,18 @@ def _fit_linear(rows: list[tuple[int, list[int]]], target: np.ndarray, n_terms:
 
 
 def _score(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         learned = json.loads(model)
         number = {t: i for i, t in enumerate(learned["terms"])}
         weight, bias = np.array(learned["weight"]), learned["bias"]
-        for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                odds = bias + weight[_columns(*_read(text, number))].sum()
-                scores.append(float(1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return run
+        def read(texts: list) -> pa.Array:
+            odds = np.array([bias + weight[_columns(*_read(text, number))].sum() for text in texts], float)
+            return pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())
+
+        return read
+
+    return make
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> str:
@@ -215,6 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return json.dumps({"terms": terms, "weight": weight.round(6).tolist(), "bias": round(bias, 6)})
 
 
+def _with_score(docs: DataFrame, labels: DataFrame, name: str, folds: int, held_out: int, settings: Settings) -> DataFrame:
+    training = docs.select(F.col("doc_id").cast("long"), F.col("text")).filter(crc32_fold(F.col("doc_id").cast("long"), folds) != held_out)
+    return with_read(docs, ["text"], name, "double", _score(train(training, labels.select("doc_id", "toxic"), settings)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, from its text alone.
 
@@ -223,10 +227,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: in
     rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    training = rows.filter(crc32_fold(F.col("doc_id"), folds) != held_out)
-    model = train(training, labels.select("doc_id", "toxic"), settings)
-    scored = rows.mapInArrow(_score(model), "doc_id long, score double")
-    return scored.select(
+    return _with_score(rows, labels, "score", folds, held_out, settings).select(
         "doc_id", F.coalesce(crc32_fold(F.col("doc_id"), folds) == held_out, F.lit(True)).alias("held_out"), "score",
         (F.col("score") >= settings.threshold).cast("int").alias("predicted"),
     )
+
+
+def civil_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
+    name = fresh(docs, "score")
+    return _with_score(docs, labels, name, folds, held_out, settings).filter(F.col(name) < settings.threshold).drop(name)
