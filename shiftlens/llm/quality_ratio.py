@@ -108,9 +108,11 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, name: str, threshold: float
         ).alias("w"),
     )
     # each name is used once by the lambda that follows, so the array of weights becomes a constant of the plan
-    held = docs.withColumn(name, measured).withColumn("_weights", weights.scalar())
+    held = docs.withColumn(name, measured)
+    array = fresh(held, "weights")
+    held = held.withColumn(array, weights.scalar())
     found, of = F.col(name), F.col(f"{name}.w")
-    ratio = F.when(F.size(of["buckets"]) > 0, F.aggregate(of["buckets"], F.lit(0.0), lambda sum_, b: sum_ + F.get("_weights", b)) / F.size(of["buckets"])).otherwise(0.0)
+    ratio = F.when(F.size(of["buckets"]) > 0, F.aggregate(of["buckets"], F.lit(0.0), lambda sum_, b: sum_ + F.get(array, b)) / F.size(of["buckets"])).otherwise(0.0)
     failed = (of["n_words"] < 20) | (100 * of["n_repeat_words"] > 30 * of["n_words"])
     return held.select(
         *docs.columns,

@@ -9,6 +9,7 @@ classifier on terms and votes is trained on the model's posterior labels of a bo
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import crc32_fold, fresh, with_read
+from .base import crc32_fold, fresh, with_read, written
 
 #: Lexicons that the mined terms are dealt to; the number of voters bounds the vote patterns at 2 ** VOTERS.
 LEXICONS = 8
@@ -39,13 +40,13 @@ class Settings:
     """``terms`` and ``sample`` bound what the driver holds: mined terms, and the texts the classifier is fitted on.
 
     A term is mined if at least ``least_toxic`` toxic texts have it, if ``least_share`` of the texts with it are toxic,
-    and if that many toxic texts would have it by chance with a probability of less than exp(-``evidence``), about.
+    and if so many toxic texts are unlikely by chance: among all such terms about ``doubt`` would be expected by chance.
     """
 
     terms: int = 8192
     least_toxic: int = 3
     least_share: float = 0.6
-    evidence: float = 12.0
+    doubt: float = 1.0
     sample: int = 20_000
     threshold: float = 0.3
 
@@ -63,11 +64,12 @@ def mined_terms(labelled: DataFrame, settings: Settings) -> list[str]:
     base = labelled.agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("base")).scalar()
     counts = rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     share = (F.col("toxic") + base) / (F.col("n") + 1)
-    best = (
-        counts.filter(F.col("toxic") >= settings.least_toxic).withColumn("share", share).filter(F.col("share") >= settings.least_share)
-        .withColumn("evidence", F.col("toxic") * F.log(F.col("share") / (base + 1e-3))).filter(F.col("evidence") >= settings.evidence)
-        .orderBy(F.desc("evidence"), "term").limit(settings.terms)
+    likely = written(
+        counts.filter(F.col("toxic") >= settings.least_toxic).withColumn("share", share)
+        .withColumn("evidence", F.col("toxic") * F.log(F.col("share") / (base + 1e-3))), "terms"
     )
+    least = math.log(max(1, likely.count()) / settings.doubt)
+    best = likely.filter((F.col("share") >= settings.least_share) & (F.col("evidence") >= least)).orderBy(F.desc("evidence"), "term").limit(settings.terms)
     return [r["term"] for r in best.select("term").collect()]
 
 
