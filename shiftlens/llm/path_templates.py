@@ -110,8 +110,8 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     """(host, shape, template, labelled, bad_share, rejected) for each host and shape of path.
 
     ``urls`` has host, path and ``bad`` (1 rejected, 0 accepted, NULL unlabelled).  The share of rejected labels
-    of a template is smoothed with the share among all labels, at the weight of four; a template without labels
-    has that share alone, and without any label at all it is 0.
+    of a template is smoothed with the share among all labels, at the weight of four.  A template without labels has
+    that share alone (0 without any label at all) and is not rejected: nothing speaks against it.
     """
     paths = urls.groupBy("host", _shapes(F.col("path")).alias("shape")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled")
@@ -122,7 +122,7 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
         "bad_share", (F.col("all_bad") + WEIGHT * prior) / (F.col("all_labelled") + WEIGHT)
     )
     return merged.join(judged, ["host", "template"]).select(
-        "host", "shape", F.array_join("template", "/").alias("template"), F.col("all_labelled").alias("labelled"), "bad_share", (F.col("bad_share") >= REJECT).alias("rejected")
+        "host", "shape", F.array_join("template", "/").alias("template"), F.col("all_labelled").alias("labelled"), "bad_share", ((F.col("all_labelled") > 0) & (F.col("bad_share") >= REJECT)).alias("rejected")
     )
 
 

@@ -113,6 +113,7 @@ def test_templates_learn_from_labels(spark):
     assert any(x["rejected"] for x in got if x["template"].startswith("spam/"))
     assert not any(x["rejected"] for x in got if not x["template"].startswith("spam/"))
     assert by["news/{n}.html"]["labelled"] == 300
-    assert [t for t in by if t.endswith("/home")] == ["user/*/home"] or "?/*/home" in by
+    # four hundred names in one place of a path, and nothing known about them: one template
+    assert len({x["template"] for x in got if x["shape"][0] == "user"}) == 1
     # against the plain share: every shape is in one template, and its share is that of the template's labels
     assert len({(x["host"], tuple(x["shape"])) for x in got}) == len(got)
