@@ -7,7 +7,9 @@ them.
 from __future__ import annotations
 
 import ast
+import builtins
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,11 +46,121 @@ def imports(files: DataFrame) -> DataFrame:
     return found.withColumn("resolved", P.resolve_module(F.col("module"), F.col("level"), F.col("path")))
 
 
+def nodes(files: DataFrame) -> DataFrame:
+    """Every node of every file that parses; the rules below are joins and aggregates over it."""
+    return facts(files, X.nodes, X.NODES).drop("seq")
+
+
+def _is_function() -> Column:
+    return F.col("kind").isin("FunctionDef", "AsyncFunctionDef")
+
+
+_ON_IMPORT = r"^Module\.body(/(If(:[\w.]+)?\.(body|orelse)|Try\.(body|orelse|finalbody|handlers)|ExceptHandler\.body))*$"
+_TYPES_ONLY = r"If:([\w.]+\.)?TYPE_CHECKING\.body"
+#: from a function's body through statements alone, past no other definition
+_RETURNED = r"(FunctionDef|AsyncFunctionDef)\.body(/(If(:[\w.]+)?|For|AsyncFor|While|With|AsyncWith|Try|TryStar)\.(body|orelse|finalbody))*/Return\.value$"
+
+
+def _gathered(column: str, test: Column) -> Column:
+    """The values of ``column`` where ``test`` holds, in source order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("id", F.col(column).alias("v"))))), lambda x: x["v"])
+
+
+def _by_function(found: DataFrame) -> DataFrame:
+    """(repo, path, about, ...): what belongs to each function.
+
+    An argument belongs to the function whose list it is in, a yield to the nearest function or lambda, a returned name
+    to the function that its statement ends, an inner function to the one whose body it stands in.
+    """
+    nearest = F.element_at("callables", -1)
+    about = (
+        F.when(F.col("within").rlike(r"FunctionDef\.args/arguments\.\w+$"), nearest)
+        .when(F.col("kind").isin("Yield", "YieldFrom"), nearest)
+        .when((F.col("kind") == "Name") & F.col("within").rlike(_RETURNED), nearest)
+        .when(_is_function() & F.col("within").rlike(r"FunctionDef\.body$"), nearest)
+    )
+    rows = found.filter(F.size("callables") > 0).withColumn("about", about).filter("about IS NOT NULL")
+    slot = F.col("slot")
+    positional = slot.isin("posonlyargs", "args") & (F.col("kind") == "arg")
+    keyword = (slot == "kwonlyargs")
+    gathered = rows.groupBy("repo", "path", "about").agg(
+        _gathered("name", positional).alias("positional"), F.count(F.when(slot == "defaults", 1)).alias("defaults"),
+        _gathered("name", (slot == "args") & (F.col("kind") == "arg")).alias("by_name"), _gathered("name", keyword).alias("keyword_only"),
+        _gathered("place", keyword).alias("keyword_places"), F.collect_set(F.when(slot == "kw_defaults", F.col("place"))).alias("given"),
+        F.count(F.when(slot == "vararg", 1)).alias("varargs"), F.count(F.when(slot == "kwarg", 1)).alias("varkw"),
+        F.count(F.when(F.col("kind").isin("Yield", "YieldFrom"), 1)).alias("yields"),
+        F.collect_set(F.when(F.col("kind") == "Name", F.col("name"))).alias("returned"), F.collect_set(F.when(_is_function(), F.col("name"))).alias("inner"),
+    )
+    required = F.size("positional") - F.col("defaults").cast("int")
+    needed = F.filter(F.arrays_zip("keyword_only", "keyword_places"), lambda x: ~F.array_contains("given", x["keyword_places"]))
+    return gathered.select(
+        "repo", "path", "about", "positional", "keyword_only",
+        F.struct(
+            required.alias("required_positional"), F.slice("positional", F.lit(1), F.greatest(required, F.lit(0))).alias("required_positional_names"),
+            F.transform(needed, lambda x: x["keyword_only"]).alias("required_keyword_only"), F.size("positional").alias("positional_capacity"),
+            F.concat("by_name", "keyword_only").alias("keyword_names"), (F.col("varargs") > 0).alias("accepts_varargs"), (F.col("varkw") > 0).alias("accepts_varkw"),
+            F.lit(False).alias("is_async"), (F.col("yields") > 0).alias("is_generator"), F.arrays_overlap("returned", "inner").alias("returns_nested_function"),
+        ).alias("shape"),
+    )
+
+
+def _statements(found: DataFrame) -> DataFrame:
+    """(repo, path, about, statement facts): functions, classes and bindings that run on import, with what hangs on them."""
+    on_import = F.col("within").rlike(_ON_IMPORT) & ~F.col("within").rlike(_TYPES_ONLY)
+    made = F.col("kind").isin("FunctionDef", "AsyncFunctionDef", "ClassDef", "Assign", "AnnAssign", "Import", "ImportFrom") & on_import
+    owner = F.regexp_replace("within", r"/[^/]*$", "")
+    hangs = owner.rlike(_ON_IMPORT) & ~owner.rlike(_TYPES_ONLY) & F.col("slot").isin("decorator_list", "args", "value", "targets", "target", "names")
+    rows = found.filter(made | hangs).withColumn("about", F.when(made, F.col("id")).otherwise(F.col("parent")))
+    first = lambda column, test: F.min_by(F.when(test, F.col(column)), F.when(test, F.col("id")))
+    slot = F.col("slot")
+    own = F.col("about") == F.col("id")
+    return rows.groupBy("repo", "path", "about").agg(
+        F.max(F.when(own, F.col("kind"))).alias("made"), F.max(F.when(own, F.col("name"))).alias("own_name"), F.max(F.when(own, F.col("line"))).alias("line"),
+        F.max(F.when(own, F.col("within") != "Module.body")).alias("nested"), _gathered("text", ~own & (slot == "decorator_list")).alias("decorators"),
+        first("text", ~own & (slot == "args")).alias("arguments"), first("text", ~own & (slot == "value")).alias("value"),
+        _gathered("name", ~own & slot.isin("targets", "target") & (F.col("kind") == "Name")).alias("targets"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(~own & (F.col("kind") == "alias"), F.struct("id", F.coalesce("alias", "name").alias("v"))))),
+            lambda x: F.substring_index(x["v"], ".", 1),
+        ).alias("brought"),
+    )
+
+
 def definitions(files: DataFrame) -> DataFrame:
-    """The last binding of every module-level name."""
-    found = facts(files, X.definitions, X.DEFINITIONS)
-    rest = [c for c in found.columns if c not in ("repo", "path", "name")]
-    last = found.groupBy("repo", "path", "name").agg(F.max_by(F.struct(*rest), "seq").alias("d"))
+    """The last binding of every name that import-time statements bind; an import binds a name of unknown kind."""
+    from ..session import cut_lineage
+
+    found = cut_lineage(nodes(files))
+    statements = _statements(found).filter("made IS NOT NULL")
+    starts = found.filter((F.col("kind") == "FunctionDef") & (F.col("name") == "__init__") & F.col("within").rlike(r"ClassDef\.body$"))
+    lists = found.filter("kind = 'arguments'").select("repo", "path", F.col("parent").alias("id"), F.col("text").alias("list"))
+    starts = starts.join(lists, ["repo", "path", "id"]).groupBy("repo", "path", F.col("parent").alias("about")).agg(F.min_by("list", "id").alias("start"))
+    joined = statements.join(_by_function(found).select("repo", "path", "about", "shape"), ["repo", "path", "about"], "left").join(
+        starts, ["repo", "path", "about"], "left"
+    )
+    function, plain = F.col("made").isin("FunctionDef", "AsyncFunctionDef"), F.col("made").isin("Assign", "AnnAssign")
+    none = F.expr("CAST(array() AS array<string>)")
+    bare = F.struct(
+        F.lit(0).alias("required_positional"), none.alias("required_positional_names"), none.alias("required_keyword_only"), F.lit(0).alias("positional_capacity"),
+        none.alias("keyword_names"), F.lit(False).alias("accepts_varargs"), F.lit(False).alias("accepts_varkw"), F.lit(False).alias("is_async"),
+        F.lit(False).alias("is_generator"), F.lit(False).alias("returns_nested_function"),
+    )
+    shape = F.coalesce("shape", bare).withField("is_async", F.col("made") == "AsyncFunctionDef")
+    notes = F.concat(F.transform("decorators", lambda d: F.concat(F.lit("@"), d)), F.when(shape["is_generator"], F.array(F.lit("generator"))).otherwise(none))
+    arguments = F.when(F.col("start").contains(","), F.expr("trim(substring(start, instr(start, ',') + 1))")).otherwise(F.lit(""))
+    bound = F.when(plain, F.col("targets")).when(F.col("made").isin("Import", "ImportFrom"), F.col("brought")).otherwise(F.array("own_name"))
+    rows = joined.select("*", F.posexplode(bound).alias("n", "name"))
+    kind = F.when(function, "function").when(F.col("made") == "ClassDef", "class").when(plain, "variable")
+    signature = (
+        F.when(function, F.concat(F.when(shape["is_async"], "async def ").otherwise("def "), "name", F.lit("("), F.coalesce("arguments", F.lit("")), F.lit(")")))
+        .when(F.col("made") == "ClassDef", F.concat(F.lit("class "), "name", F.lit("("), F.coalesce(arguments, F.lit("")), F.lit(")")))
+        .when(plain, F.concat("name", F.lit(" = "), F.substring(F.coalesce("value", F.lit("")), 1, 80))).otherwise("")
+    )
+    facts_of = F.struct(
+        F.col("about").alias("seq"), "line", "nested", kind.alias("kind"), signature.alias("signature"),
+        F.when(function, F.array_join(notes, "; ")).otherwise("").alias("notes"), F.when(function, shape).alias("shape"),
+    )
+    last = rows.groupBy("repo", "path", "name").agg(F.max_by(facts_of, F.struct("about", "n")).alias("d"))
     return last.select("repo", "path", "name", "d.*")
 
 
@@ -64,20 +176,110 @@ def references(files: DataFrame) -> DataFrame:
     return facts(files, X.references, X.REFERENCES)
 
 
+def _mark() -> Column:
+    """What a decorator is called."""
+    return F.when(F.col("label").startswith("Call:"), F.substring_index("label", ":", -1)).otherwise(F.col("text"))
+
+
+def _skips(mark: Column) -> Column:
+    return mark.contains("skip") | mark.contains("xfail")
+
+
+def same_reading(text: Column) -> Column:
+    """An expression's text with the old and the new ways to read a response written alike.
+
+    It works on the text as written out again from the syntax tree, so blanks and quotes do not matter; a string that
+    itself spells such a reading is rewritten too.
+    """
+    for pattern, reading in (
+        (r"\.(get_json|json)\([^()]*\)", ".<json>"), (r"\.get_data\([^()]*as_text=True[^()]*\)", ".<text>"), (r"\.get_data\([^()]*\)", ".<bytes>"),
+        (r"\.text\b", ".<text>"), (r"\.(data|content)\b", ".<bytes>"),
+    ):
+        text = F.regexp_replace(text, pattern, reading)
+    return text
+
+
+def _all_of(value: Column, test: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(test, value)))
+
+
 def tests(files: DataFrame) -> DataFrame:
-    return facts(files, X.tests, X.TESTS)
+    """What each test promises: its assertions, expected errors, parameters and skips."""
+    found = nodes(files)
+    is_test = _is_function() & F.col("name").startswith("test") & F.col("within").rlike(r"^Module\.body(/ClassDef\.body)*$")
+    decorates = (F.col("slot") == "decorator_list") & F.col("within").rlike(r"^Module\.body(/ClassDef\.body)*/(FunctionDef|AsyncFunctionDef)\.decorator_list$")
+    asserted = (F.col("slot") == "test") & F.col("within").rlike(r"/Assert\.test$")
+    raised = (F.col("place") == 0) & F.col("within").rlike(r"/With\.items\[0\]/withitem\.context_expr/Call:pytest\.raises\.args$")
+    skipped = F.col("label").isin("Call:pytest.skip", "Call:pytest.xfail")
+    about = F.when(is_test, F.col("id")).otherwise(F.get("callables", F.lit(0)))
+    rows = found.withColumn("about", about).filter(is_test | decorates | asserted | raised | skipped)
+    per_test = rows.groupBy("repo", "path", "about").agg(
+        F.max(F.when(is_test, F.array_join(F.array_append("qualified", F.col("name")), "::"))).alias("test"),
+        _all_of(same_reading(F.col("text")), raised).alias("raises"),
+        _all_of(same_reading(F.col("text")), decorates & _mark().contains("parametrize")).alias("parametrize"),
+        F.array_sort(F.concat(
+            F.collect_list(F.when(decorates & _skips(_mark()), _mark())), F.collect_list(F.when(skipped, F.substring_index("label", ":", -1)))
+        )).alias("skips"),
+        _all_of(same_reading(F.col("text")), asserted).alias("assertions"),
+    )
+    return per_test.filter("test IS NOT NULL").select("repo", "path", F.col("about").alias("seq"), "test", "raises", "parametrize", "skips", "assertions")
 
 
 def fixtures(files: DataFrame) -> DataFrame:
-    return facts(files, X.fixtures, X.FIXTURES)
+    """Functions marked as fixtures, with what they ask for and how they are made."""
+    found = nodes(files)
+    marks = (F.col("slot") == "decorator_list") & F.col("within").rlike(r"FunctionDef\.decorator_list$") & _mark().contains("fixture")
+    yields = F.col("kind").isin("Yield", "YieldFrom")
+    asked = (F.col("kind") == "arg") & F.col("slot").isin("posonlyargs", "args", "kwonlyargs")
+    rows = found.filter(_is_function() | marks | yields | asked).withColumn(
+        "about",
+        F.explode(F.when(_is_function(), F.array("id")).when(yields, F.col("callables")).otherwise(F.slice("callables", -1, 1))),
+    )
+    per_function = rows.groupBy("repo", "path", "about").agg(
+        F.max(F.when(_is_function(), F.col("name"))).alias("fixture"),
+        _gathered("name", asked & (F.col("slot") != "kwonlyargs")).alias("dependencies"), _gathered("name", asked & (F.col("slot") == "kwonlyargs")).alias("keyword_dependencies"),
+        F.coalesce(F.max(F.when(_is_function(), F.col("kind") == "AsyncFunctionDef")), F.lit(False)).alias("is_async"), (F.count(F.when(yields, 1)) > 0).alias("is_generator"),
+        _all_of(same_reading(F.col("text")), marks).alias("decorators"),
+    )
+    return per_function.filter((F.size("decorators") > 0) & F.col("fixture").isNotNull()).withColumnRenamed("about", "seq")
 
 
 def module_skips(files: DataFrame) -> DataFrame:
-    return facts(files, X.module_skips, X.MODULE_SKIPS)
+    """Skip marks on classes and on the whole module."""
+    on_class = (F.col("within") == "Module.body/ClassDef.decorator_list") & _skips(_mark())
+    on_module = (F.col("within") == "Module.body") & F.col("kind").isin("Assign", "AnnAssign") & F.col("text").contains("pytestmark") & _skips(F.col("text"))
+    return nodes(files).filter(on_class | on_module).select(
+        "repo", "path", F.col("id").alias("seq"), F.when(on_class, _mark()).otherwise(F.col("text")).alias("mark")
+    )
+
+
+#: Names that every module has without binding them.
+_GIVEN = sorted({*dir(builtins), *vars(ModuleType("m")), "__file__", "__builtins__", "__annotations__"})
 
 
 def undefined_globals(files: DataFrame) -> DataFrame:
-    return facts(files, X.undefined_globals, X.UNDEFINED_GLOBALS)
+    """Names in use that no namespace in sight binds; a star import makes the answer unknowable.
+
+    A use is joined with the bindings of every namespace that it sees.  What a function declares global and assigns is a
+    binding of the module.
+    """
+    from ..session import cut_lineage
+
+    found = cut_lineage(nodes(files).filter(
+        F.col("kind").isin("Name", "arg", "alias", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping", "TypeVar", "ParamSpec", "TypeVarTuple", "Global", "ClassDef") | _is_function()
+    ).select("repo", "path", "id", "kind", "name", "alias", "use", "names", "within", "sees"))
+    binds = ((F.col("kind") == "Name") & (F.col("use") != "Load")) | ~F.col("kind").isin("Name", "Global")
+    bound = found.filter(binds & F.coalesce(F.col("alias"), F.col("name")).isNotNull()).select(
+        "repo", "path", F.element_at("sees", -1).alias("space"), F.substring_index(F.coalesce("alias", "name"), ".", 1).alias("name")
+    ).distinct()
+    shared = found.filter("kind = 'Global'").select("repo", "path", F.element_at("sees", -1).alias("space"), F.explode("names").alias("name"))
+    bound = bound.unionByName(bound.join(shared, ["repo", "path", "space", "name"], "left_semi").withColumn("space", F.lit(0))).distinct()
+    used = found.filter((F.col("kind") == "Name") & (F.col("use") == "Load") & ~F.col("name").isin(*_GIVEN))
+    used = used.filter((F.col("name") != "__class__") | ~F.col("within").contains("ClassDef.body"))
+    resolved = used.select("repo", "path", "id", "name", F.explode("sees").alias("space")).join(bound, ["repo", "path", "space", "name"]).select("repo", "path", "id")
+    stars = found.filter((F.col("name") == "*") & (F.col("within") == "Module.body/ImportFrom.names")).select("repo", "path").distinct()
+    left = used.join(resolved, ["repo", "path", "id"], "left_anti").join(stars, ["repo", "path"], "left_anti")
+    return left.select("repo", "path", "name").distinct()
 
 
 def web_facts(files: DataFrame) -> DataFrame:
@@ -120,7 +322,9 @@ def reexported(files: DataFrame) -> DataFrame:
     ``from . import x`` binds a module, so it does not count.
     """
     inits = files.filter(P.basename(F.col("path")) == "__init__.py")
-    defined = facts(inits, X.definitions, X.DEFINITIONS).filter("NOT nested AND kind IS NOT NULL").select("repo", "path", "name")
+    defined = nodes(inits).filter(F.col("within").rlike(r"^Module\.body(/(Assign|AnnAssign)\.targets?)?$") & (
+        F.col("kind").isin("FunctionDef", "AsyncFunctionDef", "ClassDef") | ((F.col("kind") == "Name") & F.col("within").contains("target"))
+    )).select("repo", "path", "name")
     brought = facts(inits, X.imports, X.IMPORTS).filter("top AND is_from AND module IS NOT NULL")
     bound = defined.unionByName(brought.select("repo", "path", F.col("local").alias("name"))).distinct()
     # when two packages go by one name the first path answers
