@@ -39,11 +39,24 @@ def claimed(jobs: DataFrame, now: Column, worker: str, lease_seconds: float = 15
     return jobs.select(
         "id",
         F.when(taken, "running").otherwise(F.col("status")).alias("status"),
-        F.when(taken, worker).alias("worker_id"),
+        F.when(taken, worker).otherwise(F.col("worker_id")).alias("worker_id"),
         F.when(taken, now).otherwise(F.col("heartbeat_at")).alias("heartbeat_at"),
     )
 
 
+def renewed_leases(jobs: DataFrame, beats: DataFrame) -> DataFrame:
+    """(id, worker_id, heartbeat_at): running jobs after heartbeats (job_id, worker_id, at).
+
+    Only the worker that holds a running job renews its lease; beats of a worker that has lost the job, and beats for
+    jobs in any other state, change nothing.
+    """
+    latest = beats.groupBy(F.col("job_id").alias("id"), F.col("worker_id").alias("beating")).agg(F.max("at").alias("beat"))
+    held = jobs.select("id", "status", "worker_id", "heartbeat_at")
+    own = (F.col("worker_id") == F.col("beating")) & (F.col("status") == "running")
+    joined = held.join(latest.withColumnRenamed("id", "beat_id"), (F.col("id") == F.col("beat_id")) & own, "left")
+    return joined.filter("status = 'running'").select("id", "worker_id", F.greatest("heartbeat_at", "beat").alias("heartbeat_at"))
+
+
 def last_heartbeats(beats: DataFrame) -> DataFrame:
     return beats.groupBy("job_id").agg(F.max("at").alias("heartbeat_at"), F.count("*").alias("beats"))
 

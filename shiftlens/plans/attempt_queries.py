@@ -240,16 +240,26 @@ def claimable_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return R.jobs(spark, folder).filter(claimable(F.col("status"), F.col("heartbeat_at"), _now(), 15.0)).select("id")
 
 
+#: Running jobs are held by one of ten workers, by the last digit of their id.
+_HOLDER = "CASE WHEN status = 'running' THEN 'w' || right(CAST(id AS VARCHAR), 1) END"
+
+
+def _held(spark: SparkSession, folder: str) -> DataFrame:
+    holder = F.when(F.col("status") == "running", F.concat(F.lit("w"), F.right(F.col("id").cast("string"), F.lit(1))))
+    return R.jobs(spark, folder).withColumn("worker_id", holder)
+
+
 @query(
     "Q-01",
     over("jobs", f"""
-, h AS (SELECT id FROM jobs WHERE {_CLAIM} ORDER BY created_at, id LIMIT 1)
-SELECT j.id, CASE WHEN h.id IS NOT NULL THEN 'running' ELSE status END AS status, CASE WHEN h.id IS NOT NULL THEN 'w1' END AS worker_id,
+, held AS (SELECT *, {_HOLDER} AS worker_id FROM jobs),
+h AS (SELECT id FROM jobs WHERE {_CLAIM} ORDER BY created_at, id LIMIT 1)
+SELECT j.id, CASE WHEN h.id IS NOT NULL THEN 'running' ELSE status END AS status, CASE WHEN h.id IS NOT NULL THEN 'w1' ELSE j.worker_id END AS worker_id,
        CASE WHEN h.id IS NOT NULL THEN TIMESTAMP '{_NOW}' ELSE heartbeat_at END AS heartbeat_at
-FROM jobs j LEFT JOIN h ON h.id = j.id"""),
+FROM held j LEFT JOIN h ON h.id = j.id"""),
 )
 def claimed_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.claimed(R.jobs(spark, folder), _now(), "w1")
+    return Q.claimed(_held(spark, folder), _now(), "w1")
 
 
 def _beats(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,6 +268,22 @@ def _beats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "Q-02",
+    over("jobs", f"""
+, held AS (SELECT *, {_HOLDER} AS worker_id FROM jobs),
+beats AS (SELECT CAST(l_orderkey AS VARCHAR) AS job_id, 'w' || right(CAST(l_partkey AS VARCHAR), 1) AS beating, max(CAST(l_shipdate AS TIMESTAMP)) AS beat FROM lineitem GROUP BY 1, 2)
+SELECT id, worker_id, greatest(heartbeat_at, beat) AS heartbeat_at FROM held LEFT JOIN beats ON job_id = CAST(id AS VARCHAR) AND beating = worker_id WHERE status = 'running'"""),
+)
+def renewed_leases(spark: SparkSession, folder: str) -> DataFrame:
+    """Workers beat for orders by the parts of their lines, so most beats come from workers that do not hold the job."""
+    beats = R.table(spark, folder, "lineitem").select(
+        R.text_of("l_orderkey").alias("job_id"), F.concat(F.lit("w"), F.right(R.text_of("l_partkey"), F.lit(1))).alias("worker_id"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("at"),
+    )
+    return Q.renewed_leases(_held(spark, folder), beats)
+
+
 @query(
     "Q-02",
     "SELECT CAST(user_id AS VARCHAR) AS job_id, max(ts) AS heartbeat_at, count(*) AS beats FROM events GROUP BY 1",

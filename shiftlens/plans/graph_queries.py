@@ -56,17 +56,16 @@ def strong_components(spark: SparkSession, folder: str) -> DataFrame:
     return G.strong_components(planned.select("repo", F.col("path").alias("node")), edges)
 
 
+# orders of one block of eight meet in the return flags of their lines
 _LINKS = """
-, g AS (SELECT DISTINCT l_suppkey % 7 AS repo, CAST(o_orderkey AS VARCHAR) AS src, 'c' || CAST(l_partkey AS VARCHAR) AS dst
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' AND l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber = 1)
+, g AS (SELECT DISTINCT l_suppkey % 7 AS repo, CAST(l_orderkey AS VARCHAR) AS src, 'c' || CAST(l_orderkey // 8 AS VARCHAR) || l_returnflag AS dst FROM lineitem)
 """
 
 
 def _links(spark: SparkSession, folder: str) -> DataFrame:
-    line = R.table(spark, folder, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber = 1")
-    running = R.table(spark, folder, "orders").filter("o_orderstatus = 'P'")
-    return line.join(running, line.l_orderkey == running.o_orderkey).select(
-        (F.col("l_suppkey") % 7).alias("repo"), R.text_of("o_orderkey").alias("src"), F.concat(F.lit("c"), R.text_of("l_partkey")).alias("dst")
+    return R.table(spark, folder, "lineitem").select(
+        (F.col("l_suppkey") % 7).alias("repo"), R.text_of("l_orderkey").alias("src"),
+        F.concat(F.lit("c"), F.floor(F.col("l_orderkey") / 8).cast("string"), "l_returnflag").alias("dst"),
     ).distinct()
 
 
@@ -79,18 +78,18 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CALLS = """
-WITH RECURSIVE s AS (SELECT user_id % 5 AS repo, event_id, 'n' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) * 7 + user_id % 13 AS VARCHAR) AS node,
-   lag('n' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) * 7 + user_id % 13 AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-e AS (SELECT DISTINCT repo, before AS src, node AS dst FROM s WHERE before IS NOT NULL AND event_id % 6 = 0),
+WITH RECURSIVE s AS (SELECT user_id % 5 AS repo, event_id, 'n' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) * 7 + user_id AS VARCHAR) AS node,
+   lag('n' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) * 7 + user_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+e AS (SELECT DISTINCT repo, before AS src, node AS dst FROM s WHERE before IS NOT NULL),
 seeds AS (SELECT DISTINCT repo, src AS node FROM e WHERE src LIKE '%7')
 """
 
 
 def _calls(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.concat(F.lit("n"), (R.props_k() * 7 + F.col("user_id") % 13).cast("string"))
+    name = F.concat(F.lit("n"), (R.props_k() * 7 + F.col("user_id")).cast("string"))
     steps = R.table(spark, folder, "events").select((F.col("user_id") % 5).alias("repo"), "user_id", "ts", "event_id", name.alias("node"))
     placed = with_running(steps, ["user_id"], ["ts", "event_id"], {"before": previous(F.col("node"))})
-    return placed.filter("before IS NOT NULL AND event_id % 6 = 0").select("repo", F.col("before").alias("src"), F.col("node").alias("dst")).distinct()
+    return placed.filter("before IS NOT NULL").select("repo", F.col("before").alias("src"), F.col("node").alias("dst")).distinct()
 
 
 @query("N-07 S-11 V-05", _CALLS + """
@@ -109,17 +108,17 @@ def graph_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("N-06", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 9 AS repo, 'a' || CAST(l_partkey % 97 AS VARCHAR) AS node, 'a' || CAST(CASE WHEN l_linenumber = 7 AND l_quantity = 50 AND l_returnflag = 'R' THEN l_partkey % 97 * 2 % 97 ELSE l_partkey % 97 // 2 END AS VARCHAR) AS dep
-  FROM lineitem WHERE l_partkey % 97 > 0),
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 9 AS repo, 'a' || CAST(l_partkey AS VARCHAR) AS node, 'a' || CAST(CASE WHEN l_linenumber = 7 AND l_quantity > 40 AND l_returnflag = 'R' THEN l_partkey * 2 ELSE l_partkey // 2 END AS VARCHAR) AS dep
+  FROM lineitem),
 x AS (SELECT * FROM e WHERE node <> dep),
 back AS (SELECT repo, node, dep AS goal FROM x UNION SELECT b.repo, b.node, x.dep FROM back b JOIN x ON x.repo = b.repo AND x.node = b.goal),
 cyc AS (SELECT DISTINCT repo, node FROM back WHERE node = goal)
 SELECT repo, node FROM cyc UNION SELECT b.repo, b.node FROM back b JOIN cyc ON cyc.repo = b.repo AND cyc.node = b.goal""")
 def cycle_members(spark: SparkSession, folder: str) -> DataFrame:
-    part = F.col("l_partkey") % 97
-    odd = (F.col("l_linenumber") == 7) & (F.col("l_quantity") == 50) & (F.col("l_returnflag") == "R")
-    dep = F.when(odd, part * 2 % 97).otherwise(F.floor(part / 2))
-    edges = R.table(spark, folder, "lineitem").filter(part > 0).select(
+    part = F.col("l_partkey")
+    odd = (F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40) & (F.col("l_returnflag") == "R")
+    dep = F.when(odd, part * 2).otherwise(F.floor(part / 2))
+    edges = R.table(spark, folder, "lineitem").select(
         (F.col("l_suppkey") % 9).alias("repo"), F.concat(F.lit("a"), part.cast("string")).alias("node"), F.concat(F.lit("a"), dep.cast("string")).alias("dep")
     )
     return G.cycle_members(edges.filter("node <> dep"))

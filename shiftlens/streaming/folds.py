@@ -108,6 +108,7 @@ def queue_step(lease_seconds: float) -> Step:
 
     An event is (kind, id, worker_id, at) with kind ``enqueue``, ``heartbeat``, ``claim`` or
     ``finish``.  Of the claims of a batch the n-th, by time, gets the n-th oldest claimable job.
+    Only the worker that holds a running job renews or ends it; a worker that lost its lease changes nothing.
     """
 
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,16 +117,19 @@ def queue_step(lease_seconds: float) -> Step:
             new.select("id", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("worker_id"), "created_at",
                        F.lit(None).cast("timestamp_ntz").alias("heartbeat_at"))
         )
-        seen = batch.filter("kind IN ('heartbeat', 'finish')").groupBy("id").agg(
+        seen = batch.filter("kind IN ('heartbeat', 'finish')").groupBy(F.col("id").alias("seen_id"), F.col("worker_id").alias("by")).agg(
             F.max(F.when(F.col("kind") == "heartbeat", F.col("at"))).alias("beat"), F.bool_or(F.col("kind") == "finish").alias("finished")
         )
-        jobs = jobs.join(seen, "id", "left").select(
-            "id",
-            F.when(F.coalesce("finished", F.lit(False)), "done").otherwise(F.col("status")).alias("status"),
-            "worker_id",
-            "created_at",
-            F.when(F.coalesce("finished", F.lit(False)), F.lit(None)).otherwise(F.greatest("heartbeat_at", "beat")).alias("heartbeat_at"),
-        )
+        own = (F.col("id") == F.col("seen_id")) & (F.col("worker_id") == F.col("by")) & (F.col("status") == "running")
+        ended = F.coalesce("finished", F.lit(False))
+
+        def heard(held: DataFrame) -> DataFrame:
+            return held.join(seen, own, "left").select(
+                "id", F.when(ended, "done").otherwise(F.col("status")).alias("status"), "worker_id", "created_at",
+                F.when(ended, F.lit(None)).otherwise(F.greatest("heartbeat_at", "beat")).alias("heartbeat_at"),
+            )
+
+        jobs = heard(jobs)
         now = batch.agg(F.max("at").alias("now")).scalar()
         from ..functions.predicates import claimable
 
@@ -142,6 +146,7 @@ def queue_step(lease_seconds: float) -> Step:
             "created_at",
             F.coalesce("claimed_at", "heartbeat_at").alias("heartbeat_at"),
         )
-        return taken, following
+        # a worker may also beat for, or end, what it has taken in this batch
+        return taken, heard(following)
 
     return step

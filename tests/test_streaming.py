@@ -54,15 +54,17 @@ def test_queue_claims_are_disjoint_and_oldest_first(spark, tmp_path):
     rows = [
         (0, "enqueue", "a", None, "2024-01-01 00:00:00"), (1, "enqueue", "b", None, "2024-01-01 00:00:01"),
         (2, "claim", None, "w1", "2024-01-01 00:00:02"), (3, "enqueue", "c", None, "2024-01-01 00:00:03"),
-        (4, "claim", None, "w2", "2024-01-01 00:00:04"), (5, "heartbeat", "b", None, "2024-01-01 00:00:10"),
-        (6, "claim", None, "w3", "2024-01-01 00:00:30"), (7, "claim", None, "w4", "2024-01-01 00:00:31"),
-        (8, "finish", "b", None, "2024-01-01 00:00:31"),
+        (4, "claim", None, "w2", "2024-01-01 00:00:04"), (5, "heartbeat", "a", "w9", "2024-01-01 00:00:15"),
+        (6, "finish", "a", "w9", "2024-01-01 00:00:15"), (7, "heartbeat", "b", "w2", "2024-01-01 00:00:16"),
+        (8, "claim", None, "w3", "2024-01-01 00:00:30"), (9, "claim", None, "w4", "2024-01-01 00:00:31"),
+        (10, "finish", "b", "w2", "2024-01-01 00:00:31"), (11, "finish", "c", "w1", "2024-01-01 00:00:31"),
     ]
     events = spark.createDataFrame(rows, "seq long, kind string, id string, worker_id string, t string").select(
         "seq", "kind", "id", "worker_id", F.col("t").cast("timestamp_ntz").alias("at")
     )
     got = run(spark, stream_of(spark, events, tmp_path), tmp_path, folds.JOB_STATE, folds.queue_step(15.0))
-    # w1 takes a, w2 takes b; a goes silent, so w3 takes it again and w4 the waiting c
+    # w1 takes a, w2 takes b; a goes silent, and w9, which does not hold it, neither renews nor ends it, so w3 takes it
+    # again and w4 the waiting c
     assert plain(got, "id", "claimer") == [("a", "w1"), ("a", "w3"), ("b", "w2"), ("c", "w4")]
 
 
