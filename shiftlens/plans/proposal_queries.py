@@ -15,6 +15,7 @@ from ..sources import job_reports as J
 from ..sources import sinks as S
 from . import relations as R
 from .catalogue import over, query
+from .evaluation import _METRICS_SQL
 from .code_queries import _files, _pins
 
 
@@ -124,13 +125,11 @@ def report_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return J.flat(J.parsed(J.written(reports)))
 
 
-@query("K-13 K-07", over("runs", """
+@query("K-13 K-07", over("runs", f"""
 SELECT corpus_name, metric, '| ' || corpus_name || ' | ' || scenario || ' | ' || metric || ' | ' || CAST(k AS VARCHAR) || ' | ' || printf('%.4f', mean) || ' | ' || printf('%.6f', variance) || ' |' AS line
-FROM (SELECT corpus_name, scenario, 'recover_visits' AS metric, count(*) AS k, round_even(avg(CAST(recover_visits AS DOUBLE)), 4) AS mean,
-             round_even(coalesce(var_samp(CAST(recover_visits AS DOUBLE)), 0), 6) AS variance FROM runs GROUP BY suite, corpus_name, scenario, driver_model)"""))
+FROM ({_METRICS_SQL})"""))
 def metric_lines(spark: SparkSession, folder: str) -> DataFrame:
-    metrics = E.cell_metrics(R.runs(spark, folder), ["recover_visits"])
-    return S.metric_lines(metrics).select("corpus_name", "metric", "line")
+    return S.metric_lines(E.cell_metrics(R.runs(spark, folder))).select("corpus_name", "metric", "line")
 
 
 @query("E-21 E-20", over("source_files", """

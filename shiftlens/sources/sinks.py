@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def append_by_suite(rows: DataFrame, folder: str) -> None:
-    """Append runs or metrics to a table partitioned by suite."""
-    rows.repartition("suite", "corpus_name").write.mode("append").partitionBy("suite").parquet(folder)
+    """Append runs or metrics to a table partitioned by suite.
+
+    Rows are brought together by suite so that files are few, and adaptive execution splits a suite that is large.
+    """
+    rows.hint("rebalance", "suite").write.mode("append").partitionBy("suite").parquet(folder)
 
 
 def store_path(root: str, key: str) -> str:
