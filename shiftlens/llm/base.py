@@ -23,12 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again.
 
-    It survives lost executors, and what reads it more than once computes nothing twice.
+    It survives lost executors, and what reads it more than once computes nothing twice.  A ``narrow`` table, of a few
+    numbers a row, has an eighth of the shuffle partitions as files, so that rounds over it move few small blocks.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{use_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

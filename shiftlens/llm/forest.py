@@ -8,15 +8,15 @@ with itself and the next.  Comparing uses signatures only and names pairs in pro
 confirmed on the full sets.  Two nodes with a similarity of 0.8 share a region of some tree but for a chance of
 (1 - 0.8 ** 4) ** 32, 5e-8.
 
-Where a block has too many similar pairs to name, or a region was cut into runs, the pairs that are left are confirmed
-inside blocks: only nodes that are not yet in one component are compared, and only links that join components come out.
+Where a block has too many similar pairs to name, or a region was cut into runs, its nodes form a cluster, whichever tree
+they meet in.  The nodes outside a cluster's largest component are compared with all nodes of the cluster, block by block;
+what is alike is confirmed inside the block, and only links that join components come out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,18 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graphs import components
-from ..operators.ordered import ordinal, with_running
+from ..operators.ordered import ordinal, running_sum, with_running
 from .base import fresh, written
 
 MINIMA, DEPTH = 128, 4
 TREES = MINIMA // DEPTH
 #: Nodes of a region that are compared as one block; larger regions are cut into runs of half as many.
-BLOCK = 512
+BLOCK = 2048
 #: Agreeing minima, of 128, from which a pair is confirmed: at a similarity of 0.8 fewer agree once in a million.
 ALIKE = 78
-#: Pairs named per node of a block; a block with more is confirmed as a block.
+#: Pairs named per node of a block; the nodes of a block with more are a cluster.
 NAMED = 4
+#: Nodes of a cluster in one block, and as many outside its largest component.
+RUN = 512
 
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
@@ -110,8 +111,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.int32()), ("tree", pa.int32()), ("region", pa.int64()), ("block", pa.int64())])
-LINKS = "a long, b long, alike int, tree int, region long, block long"
+LINKS = "a long, b long, alike int"
 
 
 def _agreeing(signatures: np.ndarray) -> np.ndarray:
@@ -124,8 +124,9 @@ def _agreeing(signatures: np.ndarray) -> np.ndarray:
 
 
 def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The similar pairs of blocks that come one after the other; a block with too many gives the best of each node and itself.
+    """The similar pairs of blocks that come one after the other.
 
+    A block with too many names the best of each node, and ties its similar nodes together by pairs without a number.
     Rows are (tree, region, block, node, minima as bytes), sorted by block.  Blocks of one size are compared together.
     """
     left: pa.Table | None = None
@@ -147,17 +148,11 @@ def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 best_g, best_i = np.nonzero(enough.any(2) & dense[:, None])
                 best_j = alike[best_g, best_i].argmax(1) if len(best_g) else best_i
                 g, i, j = np.append(g, best_g), np.append(i, best_i), np.append(j, best_j)
-                marks = places[dense, 0]
-                a, b = node[places[g, i]], node[places[g, j]]
-                n, k = len(g), len(marks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.append(np.minimum(a, b), np.full(k, -1))), pa.array(np.append(np.maximum(a, b), np.full(k, -1))),
-                        pa.array(np.append(alike[g, i, j], np.zeros(k, np.int64)).astype(np.int32)),
-                        *(pa.array(np.append(np.zeros(n, x.dtype), x[marks])) for x in (tree, region, block)),
-                    ],
-                    schema=_LINK,
-                )
+                tied_g, tied_i = np.nonzero(enough.any(2) & dense[:, None])
+                head = places[tied_g, enough.any(2)[tied_g].argmax(1)]
+                a, b = np.append(node[places[g, i]], node[head]), np.append(node[places[g, j]], node[places[tied_g, tied_i]])
+                number = np.append(alike[g, i, j], np.zeros(len(head), np.int64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(number)], ["a", "b", "alike"])
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -265,10 +260,34 @@ def _blocks(nodes: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
     return small.unionByName(near), runs
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of every node; components are named by their smallest node."""
-    found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), keys=())
-    return nodes.select("node").join(found.select("node", F.col("component").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+def _joined(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node with a link; components are named by their smallest node.
+
+    Every round a node takes the smallest name among its neighbours', and then the name that the node so named has, so
+    names travel far in few rounds.  After a given number of rounds nodes of one name are linked, but not all that are
+    linked have one name yet.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(both.distinct(), "links", narrow=True)
+    state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "names", narrow=True)
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
+        near = both.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        named = state.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        following = state.join(named, "component", "left").join(near, "node").select(
+            "node", F.least("component", "further", "near").alias("component"), (F.least("further", "near") < F.col("component")).alias("moved")
+        )
+        following = written(following, "names", narrow=True)
+        state = following.drop("moved")
+        if following.filter("moved").isEmpty():
+            break
+    return state
+
+
+def _labelled(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node."""
+    found = _joined(links, rounds).withColumnRenamed("component", "c")
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,32 +295,32 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter("ca <> cb").drop("ca", "cb")
 
 
-def _rest_of_runs(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks that bring the nodes of a cut region together which are not in its largest component, run by run, with all others.
+def _cluster_blocks(ties: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, run, chunk, node, component): each run of a cluster's nodes with each chunk of those outside its largest component.
 
-    A block is (run of all nodes, run of the nodes outside the largest component).
+    Clusters within one component have nothing left to find.
     """
-    held = runs.join(labels, "node")
-    shares = held.groupBy("tree", "region", "component").count()
-    largest = shares.groupBy("tree", "region").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    held = written(held.join(largest, ["tree", "region"]).withColumn("outside", F.col("component") != F.col("largest")), "held")
-    every = held.groupBy("tree", "region").agg(F.max("run").alias("last"))
-    outside = held.filter("outside").groupBy("tree", "region").agg(F.collect_set("run").alias("others"))
-    name = lambda run, other: run * (1 << 31) + other + (1 << 62)
-    whole = held.join(outside, ["tree", "region"]).select("tree", "region", "node", "run", F.explode("others").alias("other"))
-    minor = held.filter("outside").join(every, ["tree", "region"]).select(
-        "tree", "region", "node", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("at"), F.col("run").alias("other")
-    )
-    return whole.select("tree", "region", name(F.col("run"), F.col("other")).alias("block"), "node").unionByName(
-        minor.select("tree", "region", name(F.col("at"), F.col("other")).alias("block"), "node")
-    )
-
-
-def _mixed(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """The blocks whose nodes are in more than one component, with the components."""
-    held = blocks.join(labels, "node")
-    several = held.groupBy("tree", "region", "block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    return held.join(several.drop("x", "y"), ["tree", "region", "block"])
+    held = _joined(ties).withColumnRenamed("component", "cluster").join(labels, "node")
+    shares = held.groupBy("cluster", "component").count()
+    largest = shares.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("several")).filter("several > 1")
+    held = written(held.join(largest, "cluster").select("cluster", "node", "component", (F.col("component") != F.col("largest")).cast("long").alias("outside")), "clusters", narrow=True)
+    placed = written(with_running(held, ["cluster"], ["node"], {"place": ordinal(), "minor": running_sum(F.col("outside"))}), "placed")
+    runs = placed.withColumns({"run": F.floor((F.col("place") - 1) / RUN), "chunk": F.floor((F.col("minor") - 1) / RUN)})
+    ends = placed.groupBy("cluster").agg(F.floor((F.max("place") - 1) / RUN).alias("last_run"), F.floor((F.max("minor") - 1) / RUN).alias("last_chunk"))
+    runs = runs.join(ends, "cluster")
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    whole = runs.select("cluster", "run", upto(F.col("last_chunk")).alias("chunk"), "node", "component")
+    minor = runs.filter("outside = 1").select("cluster", upto(F.col("last_run")).alias("run"), "chunk", "node", "component")
+    return whole.unionByName(minor)
+
+
+def _alike_across(rows: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a block that are alike to one of another component."""
+    rows = rows.drop_duplicates("node")
+    codes = np.frombuffer(b"".join(rows["minima"]), np.uint8).reshape(-1, MINIMA)
+    own = rows["component"].to_numpy()
+    apart = (_agreeing(codes[None])[0] >= ALIKE) & (own[:, None] != own[None, :])
+    return rows.loc[apart.any(1), ["cluster", "run", "chunk", "node", "component"]]
 
 
 def _linked_rows(read: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
@@ -315,8 +334,11 @@ def _linked_rows(read: DataFrame, shingle: int, percent: int, block: int) -> Dat
     blocks, runs = _blocks(signed, block)
     dealt = blocks.join(signed.select("node", "minima"), "node").repartition("tree", "region", "block").sortWithinPartitions("tree", "region", "block", "node")
     named = written(dealt.select("tree", "region", "block", "node", "minima").mapInArrow(_name_pairs, LINKS), "named")
-    dense = named.filter("a < 0").select("tree", "region", "block").distinct()
-    pairs = written(named.filter("a >= 0").groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+    ties = named.filter("alike = 0").select("a", "b")
+    if runs is not None:
+        first = runs.groupBy("tree", "region").agg(F.min("node").alias("a"))
+        ties = ties.unionByName(runs.join(first, ["tree", "region"]).select("a", F.col("node").alias("b")))
+    pairs = written(named.filter("alike > 0").groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs", narrow=True)
 
     texts = read.select(F.col("row").alias("node"), "text")
 
@@ -327,24 +349,24 @@ def _linked_rows(read: DataFrame, shingle: int, percent: int, block: int) -> Dat
         ends = some.select(F.explode(F.array("a", "b")).alias("node"))
         sets = written(sets_of(ends), "sets")
         both = some.select("a", "b").join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
-        return written(both.select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
+        return written(both.select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed", narrow=True)
 
     # the most similar neighbour of every node first: that settles most components with one pair a node
     best = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "alike").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p"))
     tested = confirmed(best.select("p.a", "p.b").distinct())
     links = tested.filter("linked").select("a", "b")
-    labels = written(_labelled(signed, links), "labels")
+    # two rounds tell enough: they only spare pairs within a component
+    labels = written(_labelled(signed, links, rounds=2), "labels", narrow=True)
     more = confirmed(_across(pairs.select("a", "b"), labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     links = links.unionByName(more.filter("linked").select("a", "b"))
-    labels = written(_labelled(signed, links), "labels")
-    rest = [blocks.join(dense, ["tree", "region", "block"], "left_semi")]
-    if runs is not None:
-        rest.append(_rest_of_runs(runs, labels))
-    rest = written(_mixed(reduce(DataFrame.unionByName, rest), labels), "rest")
-    if not rest.isEmpty():
-        whole = rest.join(written(sets_of(rest), "sets"), "node").join(signed.select("node", "minima"), "node")
-        joined = written(whole.groupBy("tree", "region", "block").applyInPandas(_confirm_block(percent), "a long, b long"), "joined")
-        labels = written(_labelled(signed, links.unionByName(joined.distinct())), "labels")
+    labels = written(_labelled(signed, links), "labels", narrow=True)
+    if not ties.isEmpty():
+        block_of = ["cluster", "run", "chunk"]
+        near = _cluster_blocks(ties.filter("a <> b").distinct(), labels).join(signed.select("node", "minima"), "node")
+        alike = written(near.groupBy(*block_of).applyInPandas(_alike_across, "cluster long, run long, chunk long, node long, component long"), "alike")
+        whole = alike.join(written(sets_of(alike), "sets"), "node").join(signed.select("node", "minima"), "node")
+        joined = written(whole.groupBy(*block_of).applyInPandas(_confirm_block(percent), "a long, b long"), "joined", narrow=True)
+        labels = written(_labelled(signed, links.unionByName(joined.distinct())), "labels", narrow=True)
     return member.join(labels, "node", "left").select("row", "doc_id", "n_shingles", "component")
 
 

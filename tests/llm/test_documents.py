@@ -28,9 +28,11 @@ def near_copies():
     return [(i, t) for i, t in enumerate(out, 100)]
 
 
-@pytest.mark.parametrize("block", [512, 6])
+@pytest.mark.parametrize("block, run, named", [(2048, 512, 4), (2048, 7, 1), (6, 7, 1)])
 @pytest.mark.parametrize("shingle", [4, 5])
-def test_components(spark, block, shingle):
+def test_components(spark, monkeypatch, block, run, named, shingle):
+    monkeypatch.setattr(forest, "RUN", run)
+    monkeypatch.setattr(forest, "NAMED", named)
     rows = near_copies() + ODD
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = forest.duplicate_components(docs, shingle=shingle, block=block).collect()
