@@ -55,13 +55,12 @@ def _terms_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
 
 
-def mined_terms(labelled: DataFrame, settings: Settings) -> list[str]:
+def mined_terms(labelled: DataFrame, base: float, settings: Settings) -> list[str]:
     """Words of the labelled texts (text, toxic) that mark toxic ones, the strongest first.
 
-    Every labelled text counts.  The share of toxic texts among those with a word is smoothed by the share of all.
+    Every labelled text counts.  The share of toxic texts among those with a word is smoothed by ``base``, that of all.
     """
     rows = labelled.select("toxic", F.explode(_terms_of(F.col("text"))).alias("term")).filter("term <> ''")
-    base = labelled.agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("base")).scalar()
     counts = rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     share = (F.col("toxic") + base) / (F.col("n") + 1)
     likely = written(
@@ -198,10 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     left out; of several labels of one document the larger counts.  Without labels, or without toxic ones, the model
     has no terms, and its score is the prior share of toxic texts.
     """
-    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(marks, "doc_id").select("text", "toxic")
-    prior = labelled.agg(F.avg("toxic")).first()[0] or 0.0
-    terms = mined_terms(labelled, settings)
+    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    known = written(rows.select("doc_id").join(marks, "doc_id"), "known")
+    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
+    # no side is bounded, so none is broadcast, and the labels are hashed to spare a sort of the texts; this is the one time
+    # that texts are moved
+    terms = mined_terms(rows.join(marks.hint("shuffle_hash"), "doc_id").select("text", "toxic"), prior, settings)
     ranked = docs.select(F.xxhash64("doc_id", "text").alias("rank"), "text")
     read = ranked.mapInArrow(_features(terms), "rank long, votes int, terms array<int>")
     seen = read.groupBy("votes").count().collect()  # at most 2 ** VOTERS rows
@@ -209,8 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return json.dumps({"terms": [], "weight": [0.0] * VOTERS, "bias": float(np.log((prior + 1e-3) / (1.001 - prior)))})
     patterns, counts = np.array([r["votes"] for r in seen]), np.array([r["count"] for r in seen], float)
     labeller = LabelModel(patterns, counts, prior)
-    sampled = labelled.select(F.xxhash64("text").alias("rank"), "text").dropDuplicates(["rank"]).orderBy("rank").limit(settings.sample)
-    rows = [(r["votes"], r["terms"]) for r in sampled.mapInArrow(_features(terms), "rank long, votes int, terms array<int>").orderBy("rank").collect()]
+    # the ids of the sample are bounded by ``sample``, so their texts are found without moving any
+    rank = F.xxhash64("doc_id")
+    ids = known.select("doc_id").distinct().orderBy(rank, "doc_id").limit(settings.sample)
+    sampled = rows.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id", "text").alias("rank"), "text")
+    read = sampled.mapInArrow(_features(terms), "rank long, votes int, terms array<int>")
+    rows = [(r["votes"], r["terms"]) for r in read.orderBy("rank").limit(settings.sample).collect()]
     target = labeller.posterior(np.array([v for v, _ in rows]))
     weight, bias = _fit_linear(rows, target, len(terms))
     return json.dumps({"terms": terms, "weight": weight.round(6).tolist(), "bias": round(bias, 6)})
