@@ -45,7 +45,7 @@ class Settings:
 
     terms: int = 8192
     least_toxic: int = 3
-    least_share: float = 0.6
+    least_share: float = 0.9
     doubt: float = 1.0
     sample: int = 20_000
     threshold: float = 0.3
@@ -68,7 +68,7 @@ def mined_terms(labelled: DataFrame, base: float, settings: Settings) -> list[st
         .withColumn("evidence", F.col("toxic") * F.log(F.col("share") / (base + 1e-3))), "terms"
     )
     least = math.log(max(1, likely.count()) / settings.doubt)
-    best = likely.filter((F.col("share") >= settings.least_share) & (F.col("evidence") >= least)).orderBy(F.desc("evidence"), "term").limit(settings.terms)
+    best = likely.filter((F.col("toxic") >= settings.least_share * F.col("n")) & (F.col("evidence") >= least)).orderBy(F.desc("evidence"), "term").limit(settings.terms)
     return [r["term"] for r in best.select("term").collect()]
 
 
