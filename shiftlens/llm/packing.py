@@ -131,8 +131,6 @@ def pack_pieces(pieces: DataFrame, capacity: int, *, per_part: int = 1 << 16, ro
         bins = packed.agg(F.sum(F.when(F.col("offset") == 0, 1))).first()[0]
         if before is not None and bins >= before:
             break  # the sequences of the round before stay
-        if taken is not None:
-            kept.append(taken[0])
         numbered = packed.withColumn(
             "sequence_id", F.shiftleft(F.lit(turn).cast("long"), 56) + F.shiftleft("part", 20) + F.col("bin")
         )

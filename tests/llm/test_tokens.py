@@ -81,6 +81,20 @@ def test_packing(odd, sf, per_part):
     assert len([i for i, _ in ODD if i == 4]) == len(texts[4])
 
 
+def test_exchanged_pieces_are_kept_once(spark):
+    lengths = np.random.default_rng(5).integers(20, 60, 226).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES).repartition(3)
+    got = packing.pack_pieces(pieces, 100, per_part=20).collect()
+    assert len({r["sequence_id"] >> 56 for r in got}) > 2  # more than one exchange saved sequences
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in filled.values():
+        places.sort()
+        assert [at for at, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist() and sum(n for _, n in places) <= 100
+
+
 def test_bounds_and_best_fit():
     lengths = np.array([51, 51, 51, 26, 24, 24, 30])
     bins, offsets, room = packing.best_fit_decreasing(lengths, 100)
