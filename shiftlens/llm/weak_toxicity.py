@@ -37,13 +37,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``terms`` and ``sample`` bound what the driver holds: mined terms, and the texts the classifier is fitted on.
+    """``sample`` bounds the texts the classifier is fitted on.
 
     A term is mined if at least ``least_toxic`` toxic texts have it, if ``least_share`` of the texts with it are toxic,
     and if so many toxic texts are unlikely by chance: among all such terms about ``doubt`` would be expected by chance.
     """
 
-    terms: int = 8192
     least_toxic: int = 3
     least_share: float = 0.9
     doubt: float = 1.0
@@ -56,20 +55,22 @@ def _terms_of(text: Column) -> Column:
 
 
 def mined_terms(labelled: DataFrame, base: float, settings: Settings) -> list[str]:
-    """Words of the labelled texts (text, toxic) that mark toxic ones, the strongest first.
+    """All words of the labelled texts (text, toxic, copies) that mark toxic ones, the strongest first.
 
-    Every labelled text counts.  The share of toxic texts among those with a word is smoothed by ``base``, that of all.
+    A text counts once, however many ``copies`` of its row there are.  The share of toxic texts among those with a word is
+    smoothed by ``base``, that of all.
     """
-    rows = labelled.select("toxic", F.explode(_terms_of(F.col("text"))).alias("term")).filter("term <> ''")
-    counts = rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    rows = labelled.select("toxic", "copies", F.explode(_terms_of(F.col("text"))).alias("term")).filter("term <> ''")
+    # the fractions of a text's copies add up to one text; rounded, the sums are whole again
+    counts = rows.groupBy("term").agg(F.round(F.sum(F.col("toxic") / F.col("copies"))).alias("toxic"), F.round(F.sum(1 / F.col("copies"))).alias("n"))
     share = (F.col("toxic") + base) / (F.col("n") + 1)
     likely = written(
         counts.filter(F.col("toxic") >= settings.least_toxic).withColumn("share", share)
         .withColumn("evidence", F.col("toxic") * F.log(F.col("share") / (base + 1e-3))), "terms"
     )
     least = math.log(max(1, likely.count()) / settings.doubt)
-    best = likely.filter((F.col("toxic") >= settings.least_share * F.col("n")) & (F.col("evidence") >= least)).orderBy(F.desc("evidence"), "term").limit(settings.terms)
-    return [r["term"] for r in best.select("term").collect()]
+    best = likely.filter((F.col("toxic") >= settings.least_share * F.col("n")) & (F.col("evidence") >= least)).orderBy(F.desc("evidence"), "term")
+    return best.select("term").toArrow()["term"].to_pylist()
 
 
 def _read(text: str | None, number: dict[str, int]) -> tuple[int, list[int]]:
@@ -199,11 +200,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    known = written(rows.select("doc_id").join(marks, "doc_id"), "known")
+    hashed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = written(hashed.select("doc_id", "text_hash").join(marks, "doc_id"), "known")
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
+    # one id stands for all that have a text; of several labels of one text the larger counts
+    ids = known.groupBy("text_hash", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies"))
+    single = ids.groupBy("text_hash").agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "copies")).alias("first"))
+    single = written(single.select("first.doc_id", "text_hash", "toxic", "first.copies"), "single")
+    base = single.agg(F.avg("toxic")).first()[0] or 0.0
     # no side is bounded, so none is broadcast, and the labels are hashed to spare a sort of the texts; this is the one time
     # that texts are moved
-    terms = mined_terms(rows.join(marks.hint("shuffle_hash"), "doc_id").select("text", "toxic"), prior, settings)
+    terms = mined_terms(hashed.join(single.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "toxic", "copies"), base, settings)
     ranked = docs.select(F.xxhash64("doc_id", "text").alias("rank"), "text")
     read = ranked.mapInArrow(_features(terms), "rank long, votes int, terms array<int>")
     seen = read.groupBy("votes").count().collect()  # at most 2 ** VOTERS rows

@@ -1,5 +1,6 @@
 """Operators on documents against plain versions."""
 
+import json
 import math
 import random
 import zlib
@@ -148,6 +149,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert english[1, 1] >= 0.9 * (english[1, 1] + english[1, 0])
 
 
+def test_every_term_is_mined_and_copies_count_once(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    shared, own = " ".join(f"q{word(i)}" for i in range(9_000)), [f"z{word(i)}" for i in range(5)]
+    toxic = [(i, f"{shared} v{word(i)}") for i in range(20)]
+    rare = [(100 + i, f"u{word(i)} grumblewort") for i in range(8)] + [(100, f"u{word(0)} grumblewort")]
+    copies = [(200 + i, " ".join(own)) for i in range(60)] + [(200, " ".join(own))] * 3
+    civil = [(1_000 + i, f"calm weather w{word(i)}") for i in range(400)]
+    docs = spark.createDataFrame(toxic + rare + copies + civil, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in {i for i, _ in toxic + rare + copies}] + [(i, 0) for i, _ in civil], "doc_id long, toxic int")
+    terms = json.loads(weak_toxicity.train(docs, labels))["terms"]
+    assert "grumblewort" in terms and not set(terms) & set(own)
+    assert set(shared.split()) <= set(terms)
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None), (4, 1), (4, 0)], "doc_id long, toxic int")
     got = weak_toxicity.toxicity(odd, labels).collect()
