@@ -11,6 +11,7 @@ looks anything up in a table that grows.  There are as many buckets as keep each
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,6 @@ from .base import crc32_fold, written
 CHUNK_BYTES = 6 << 20
 #: Hashes that a bucket receives, about.
 KEYS = 1 << 20
-#: Classes of context frequency with weights of their own (half powers of two), and levels of an estimate in a cell.
-_FREQUENCIES, _LEVELS = 24, 48
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -162,6 +161,15 @@ def _count(order: int):
     return run
 
 
+def classes(tokens: int) -> int:
+    """How many half powers of two there are from 1 to ``tokens`` and one beyond, and one for none.
+
+    So many classes of context frequency have weights of their own, and so many levels has an estimate in a cell: no
+    count of the training tokens, and no estimate from such counts, falls outside.
+    """
+    return math.ceil(2 * math.log2(tokens + 1)) + 2
+
+
 def _estimates(row: dict, order: int, facts: tuple[int, int, int], deleted: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: the estimates of each order, uniform first; the frequency class of the longest context; the counts.
 
@@ -179,39 +187,40 @@ def _estimates(row: dict, order: int, facts: tuple[int, int, int], deleted: np.n
         context[first] = texts
         context = np.maximum(context - deleted, 0)
         rows.append(np.maximum(counts[n] - deleted, 0) / np.maximum(context, 1))
-    frequency = np.minimum(np.ceil(2 * np.log2(context + 1)).astype(np.int64), _FREQUENCIES - 1)
+    frequency = np.ceil(2 * np.log2(context + 1)).astype(np.int64)
     return np.array(rows), frequency, counts
 
 
 def _level(p: np.ndarray) -> np.ndarray:
     """Half powers of two below 1, from 1; 0 for none."""
-    return np.where(p > 0, 1 + np.minimum(np.floor(-2 * np.log2(np.maximum(p, 1e-30))), _LEVELS - 2), 0).astype(np.int64)
+    return np.where(p > 0, 1 + np.floor(-2 * np.log2(np.maximum(p, 1e-30))), 0).astype(np.int64)
 
 
 def _cells(order: int, facts: tuple[int, int, int]):
     """How many training tokens fall into each cell of context frequency and levels of the estimates."""
+    levels = classes(facts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 p, code, _ = _estimates(row, order, facts, 1)
                 for estimate in p[1:]:
-                    code = code * _LEVELS + _level(estimate)
+                    code = code * levels + _level(estimate)
                 cells, number = np.unique(code[np.repeat(np.array(row["training"], bool), row["tokens"])], return_counts=True)
                 yield _record({"cell": cells, "n": number}, "cell long, n long")
 
     return run
 
 
-def mixture_weights(cells: np.ndarray, number: np.ndarray, order: int, known: int, rounds: int = 100) -> np.ndarray:
-    """(frequency, order + 1) weights by expectation-maximisation on the cells.
+def mixture_weights(cells: np.ndarray, number: np.ndarray, order: int, known: int, tokens: int, rounds: int = 100) -> np.ndarray:
+    """(frequency, order + 1) weights by expectation-maximisation on the cells of ``tokens`` training tokens.
 
     A frequency without tokens has the weights that fit all tokens.
     """
-    levels = []
+    levels, size = [], classes(tokens)
     for _ in range(order):
-        levels.append(cells % _LEVELS)
-        cells = cells // _LEVELS
+        levels.append(cells % size)
+        cells = cells // size
     p = np.array([np.full(len(cells), 1.0 / (known + 1))] + [np.where(x > 0, 2.0 ** (-(x - 0.5) / 2), 0.0) for x in reversed(levels)])
 
     def learn(mine: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -223,7 +232,7 @@ def mixture_weights(cells: np.ndarray, number: np.ndarray, order: int, known: in
 
     start = np.full(order + 1, 1 / (order + 1))
     every = learn(np.ones(len(cells), bool), start) if len(cells) else start
-    return np.array([learn(cells == f, every) if (cells == f).any() else every for f in range(_FREQUENCIES)])
+    return np.array([learn(cells == f, every) if (cells == f).any() else every for f in range(size)])
 
 
 def _score(order: int, facts: tuple[int, int, int], weights: np.ndarray):
@@ -276,8 +285,8 @@ def score_texts(docs: DataFrame, *, order: int = 2, folds: int = 10, held_out: i
     known = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     facts = (sizes["tokens"] or 0, known, sizes["texts"])
     counted = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_count(order), COUNTED), "counted")
-    found = counted.mapInArrow(_cells(order, facts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a fixed number of cells at most
-    weights = mixture_weights(np.array([r["cell"] for r in found], np.int64), np.array([r["n"] for r in found], float), order, known)
+    found = counted.mapInArrow(_cells(order, facts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # cells grow with the logarithm of the tokens only
+    weights = mixture_weights(found["cell"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(float), order, known, facts[0])
     scored = counted.mapInArrow(_score(order, facts, weights), "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(facts[0]).cast("long").alias("train_tokens"), "base_score", "score"

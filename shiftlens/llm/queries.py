@@ -71,7 +71,7 @@ def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
-    return interpolated_lm.score_texts(table(spark, folder, "documents"))
+    return interpolated_lm.score_texts(table(spark, folder, "documents"), order=3)
 
 
 @query

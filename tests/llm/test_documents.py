@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from conftest import ODD
 
 from shiftlens.llm import decontaminate, forest, interpolated_lm, quality_ratio, weak_toxicity
+from shiftlens.llm.queries import QUERIES
 
 RANDOM = random.Random(5)
 
@@ -129,6 +131,22 @@ def test_language_model_is_a_distribution(spark):
     assert all(s < 0 for s in got.values())
 
 
+def test_language_model_of_the_query_has_trigrams(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {(r["doc_id"], round(r["score"], 6)) for r in QUERIES["op6_deleted_interpolation"](spark, folder).collect()}
+    want = interpolated_lm.score_texts(spark.read.parquet(f"{folder}/documents.parquet"), order=3).collect()
+    assert got == {(r["doc_id"], round(r["score"], 6)) for r in want}
+
+
+def test_levels_and_frequencies_follow_the_tokens():
+    p = 2.0 ** -np.arange(0, 34)
+    assert len(set(interpolated_lm._level(p).tolist())) == len(p) and interpolated_lm._level(p).max() < interpolated_lm.classes(2**33)
+    row = {"tokens": [1, 1, 1], "counts": interpolated_lm._packed(np.array([[5_000, 50_000, 1 << 22], [1, 1, 1]], "<u4").tobytes())}
+    for texts in (5_000, 50_000, 1 << 22, 1 << 23):
+        frequency = interpolated_lm._estimates(row, 2, (1 << 23, 3, texts), 0)[1]
+        assert frequency[0] == math.ceil(2 * math.log2(texts + 1)) < interpolated_lm.classes(1 << 23)
+
+
 def test_no_rows(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert interpolated_lm.score_texts(empty).count() == 0
