@@ -1,8 +1,8 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one per block.  Lines of parts that are no article by their element or their
-name (menus, adverts, forms, comments) have no text; if the page marks its article, so have all lines outside it.
-The text of the lines in a sliding window is summed; where the sum surges past a threshold a passage begins, where it
+name (menus, adverts, forms, comments) are taken out, so that they cut no passage in two; if the page marks its article, so
+are all lines outside it.  Lists of links have no text.  The text of the lines in a sliding window is summed; where the sum surges past a threshold a passage begins, where it
 dives to nothing it ends, and the lines between are kept.
 """
 
@@ -146,12 +146,8 @@ def main_text(page: str | None) -> str:
     """The kept lines of a page, joined by line feeds."""
     lines = page_lines(page or "")
     marked = any(article and not chrome for _, chrome, article, _ in lines)
-    if marked:
-        # what is no article inside the article is no line of it; outside lie the dives
-        lines = [x for x in lines if x[2] and not x[1] or not x[2]]
-        sizes = np.array([len(text) if article and not chrome else 0 for text, chrome, article, _ in lines])
-    else:
-        sizes = np.array([0 if chrome or links >= LINKED else len(text) for text, chrome, _, links in lines])
+    lines = [x for x in lines if not x[1] and (x[2] or not marked)]
+    sizes = np.array([0 if links >= LINKED and not marked else len(text) for text, *_, links in lines])
     if not sizes.any():
         return ""
     sums = np.convolve(sizes, np.ones(LINES, np.int64))[LINES - 1 :]  # of the window that begins at a line

@@ -65,6 +65,15 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_chrome_cuts_no_passage():
+    long, advert = "<p>" + "word " * 60 + "</p>", "<div class=ad><p>Buy</p><p>this</p><p>now</p></div>"
+    page = f"<body><p>A lead.</p>{advert}{long}{long}{advert}<p>The end, by Jane.</p></body>"
+    want = ["A lead.", ("word " * 60).strip(), ("word " * 60).strip(), "The end, by Jane."]
+    assert html_text.main_text(page).split("\n") == want
+    outside = "<p>one</p><p>two</p><p>three</p>"
+    assert html_text.main_text(f"{outside}<article>{long}</article>{outside}<article><p>A note.</p></article>{outside}").split("\n") == [want[1], "A note."]
+
+
 def test_long_page_and_no_pages(spark):
     assert html_text.main_text("<article>" + "<p>x</p>" * 50_000 + "</article>").count("\n") == 49_999
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
