@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, html_text, interpolated_lm, packing, path_templates, quality_ratio, token_files, weak_toxicity
+from . import chat, decontaminate, dual_tree, forest, html_text, interpolated_lm, packing, path_templates, quality_ratio, token_files, weak_toxicity
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,23 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SQL["op11_dual_tree"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+total AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d WHERE len(t) > 0),
+b AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+m AS (SELECT doc_id, 100 - 50 + ((50 * len(t) * docs) // length) AS m FROM d, total),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM b JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+
+@query
+def op11_dual_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
