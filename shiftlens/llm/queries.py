@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, dual_tree, forest, html_text, interpolated_lm, packing, path_templates, quality_ratio, token_files, weak_toxicity
+from . import chat, decontaminate, dual_tree, forest, html_text, interpolated_lm, lattice, packing, path_templates, quality_ratio, token_files, weak_toxicity, whitening
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,13 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
 @query
 def op11_dual_tree(spark: SparkSession, folder: str) -> DataFrame:
     return dual_tree.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_lattice_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.linked_vectors(table(spark, folder, "embeddings"))
