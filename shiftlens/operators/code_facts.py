@@ -468,3 +468,10 @@ def member_uses(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def bound_names(files: DataFrame) -> DataFrame:
     return facts(files, X.bound_names, X.BOUND_NAMES).select("repo", "path", "name").distinct()
+
+
+def imported_names(files: DataFrame) -> DataFrame:
+    """(repo, path, module_name, name, local, is_from): imports with the module that each names, without stars."""
+    return imports(files).filter("name <> '*'").select(
+        "repo", "path", F.when(F.col("is_from"), F.col("resolved")).otherwise(F.col("name")).alias("module_name"), "name", "local", "is_from"
+    )
