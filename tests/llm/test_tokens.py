@@ -60,7 +60,8 @@ def test_no_documents(empty):
 
 @pytest.mark.parametrize("per_part", [1 << 16, 20])
 def test_packing(odd, sf, per_part):
-    docs = sf("documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    own = odd.selectExpr("doc_id + 1000000 AS doc_id", "text")  # ids that the other documents do not have
+    docs = sf("documents").select("doc_id", "text").unionByName(own)
     got = packing.pack_documents(docs, per_part=per_part).collect()
     bins, texts = defaultdict(list), defaultdict(list)
     for r in got:
@@ -77,8 +78,8 @@ def test_packing(odd, sf, per_part):
     assert len(got) == sum(-(-n // 4096) for n in want)
     counts = np.bincount([r["length"] for r in got], minlength=4097)
     assert len(bins) <= packing.lower_bound(counts, 4096) + (per_part < 100)
-    assert sorted(texts[8])[0] == (0, 0, 4096)
-    assert len([i for i, _ in ODD if i == 4]) == len(texts[4])
+    assert sorted(texts[1_000_008])[0] == (0, 0, 4096)
+    assert len([i for i, _ in ODD if i == 4]) == len(texts[1_000_004])
 
 
 def test_exchanged_pieces_are_kept_once(spark):
