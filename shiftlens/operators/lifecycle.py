@@ -81,6 +81,7 @@ def resource_decisions(found: DataFrame, helpers: DataFrame) -> DataFrame:
     the request's state that it caches in, files opened relative to the package, the functions that close something, the
     set-up function, and whether connections may cross threads.
     """
+    found = cut_lineage(found)
     tops, made = flow.functions(found), flow.calls(found)
     keys = _gathered(_config_keys(found, F.col("owner_text").rlike(r"(^|\.)config$")), "key", "config_keys")
     cached = found.filter("kind = 'Attribute'").select(*_KEYS, "id", "name", _top()).join(

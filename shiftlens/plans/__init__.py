@@ -6,7 +6,7 @@ from .catalogue import ENTRIES, Entry
 
 _MODULES = (
     "evaluation", "job_queries", "attempt_queries", "text_queries", "code_queries", "graph_queries", "proposal_queries",
-    "seam_queries",
+    "seam_queries", "plan_queries",
 )
 
 
