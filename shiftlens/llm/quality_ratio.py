@@ -86,8 +86,12 @@ def bucket_weights(docs: DataFrame, trusted: Column) -> DataFrame:
     )
 
 
-def _judged(docs: DataFrame, trusted_ids: DataFrame, name: str, threshold: float) -> DataFrame:
-    """``docs`` with all that is known of each text in one column."""
+def _judged(docs: DataFrame, trusted_ids: DataFrame, name: str, threshold: float, once: bool = False) -> DataFrame:
+    """``docs`` with all that is known of each text in one column.
+
+    A filter on that column would take in all that its condition is made of, and measure each text several times.  With
+    ``once`` the measures could differ from one time to the next, for all that the optimizer knows, so they stay below it.
+    """
     text = F.coalesce("text", F.lit(""))
     ids = trusted_ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(True))
     # neither side is bounded, so neither is broadcast; hashing the ids spares a sort of the texts
@@ -108,7 +112,7 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, name: str, threshold: float
         ).alias("w"),
     )
     # each name is used once by the lambda that follows, so the array of weights becomes a constant of the plan
-    held = docs.withColumn(name, measured)
+    held = docs.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, measured) if once else measured)
     array = fresh(held, "weights")
     held = held.withColumn(array, weights.scalar())
     found, of = F.col(name), F.col(f"{name}.w")
@@ -137,4 +141,4 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, *, threshold: float = THRESHO
 def good_documents(docs: DataFrame, trusted_ids: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept."""
     name = fresh(docs, "found")
-    return _judged(docs, trusted_ids, name, threshold).filter(f"{name}.kept").drop(name)
+    return _judged(docs, trusted_ids, name, threshold, once=True).filter(f"{name}.kept").drop(name)
