@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordinal, running_sum, with_running
-from .base import fresh, written
+from .base import fresh, join_by_key, written
 
 MINIMA, DEPTH = 128, 4
 TREES = MINIMA // DEPTH
@@ -326,8 +326,12 @@ def _alike_across(rows: pd.DataFrame) -> pd.DataFrame:
 def _linked_rows(read: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
     """(row, doc_id, n_shingles, component) of every row of ``read``; the component is NULL for texts without words."""
     byte = F.expr(f"unhex(array_join(transform(sequence(1, {4 * MINIMA}, 4), i -> substring(hex(signature), i, 2)), ''))")
-    nodes = read.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("node"))
-    member = written(read.select("row", "doc_id", "key", "n_shingles").join(nodes, "key", "left").drop("key"), "members")
+    # all copies of a text have one key, which may have any share of the rows
+    nodes = written(read.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "keys", narrow=True)
+    rows = read.select("row", "doc_id", "key", "n_shingles")
+    keyed = join_by_key(rows.filter("key IS NOT NULL"), nodes, "key", "copies", read.count()).select("row", "doc_id", "n_shingles", "node")
+    wordless = rows.filter("key IS NULL").select("row", "doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))
+    member = written(keyed.unionByName(wordless), "members")
     signed = written(
         read.select(F.col("row").alias("node"), "signature").join(member.filter("row = node").select("node"), "node").withColumn("minima", byte), "signed"
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordinal, running_sum, with_running
-from .base import written
+from .base import join_by_key, written
 from .forest import _joined
 
 #: Size of the lattice in standard deviations of a projected coordinate, and neighbouring cells probed in each table.
@@ -40,7 +40,7 @@ SIGNS, DIFFERING = 32, 9
 CELL = 1024
 #: Vectors on each side of a compared block.
 RUN = 1024
-#: A key with one row in so many counts as hot: its rows meet what belongs to them by broadcast, at most so many keys.
+#: Cells that are taken as hot, at most.
 HOT = 4096
 #: Share of the vectors, one in so many, that tells which cells are hot.
 SAMPLE = 16
@@ -327,18 +327,6 @@ def _in_core(half: float):
     return run
 
 
-def join_by_key(rows: DataFrame, found: DataFrame, key: str, share: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with one row per key of ``found``, where a key may have any share of the rows.
-
-    ``share`` is the column of ``found`` with the rows of a key, of ``total``.  Keys with a row in 4096 or more, so at most
-    4096 keys, are broadcast; the rest is an ordinary join.
-    """
-    hot = F.col(share) * HOT >= total
-    heavy, light = found.filter(hot), found.filter(~hot)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
-    return rows.join(F.broadcast(heavy), key).unionByName(rest)
-
-
 def _compared_blocks(grouped: DataFrame, sizes: DataFrame, total: int, least: float) -> tuple[DataFrame, DataFrame | None]:
     """(blocks of rows to compare, nodes of cores).  ``grouped``: (group, node, weight, vector) of groups of two or more."""
     block = ["group", "run", "chunk", "node", "weight", "vector", "role"]
