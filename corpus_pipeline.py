@@ -15,26 +15,46 @@ from shiftlens.llm.base import table  # noqa: E402
 from shiftlens.session import use_checkpoint_dir  # noqa: E402
 
 
+#: Bytes of rows that a Python worker gets at once; next to the heap of an executor there is little room.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(stage):
+    """The stage, run with batches of bounded bytes."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return weak_toxicity.civil_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@small_batches
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_ratio.good_documents(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
+@small_batches
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return forest.unique_documents(docs)
 
 
+@small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages of note."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document, with its place in a sequence."""
     return packing.pack_documents(docs)
