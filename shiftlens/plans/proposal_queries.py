@@ -162,11 +162,22 @@ def seam_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("E-27", over("source_files", """
-SELECT repo, 'src/app/db.py' AS path, 'DEFINES' AS section, '  - src/app/db.py::get_db [function] def get_db(name, timeout=1)' AS line FROM source_files WHERE j = 1
-UNION ALL SELECT repo, path, 'CALLS', '  - src/app/db.py::get_db [function] def get_db(name, timeout=1)' FROM source_files WHERE j = 0 OR j BETWEEN 2 AND 12"""))
+, x AS (SELECT repo, list(j) AS js FROM source_files GROUP BY repo),
+f AS (SELECT repo, j, path, nxt, js FROM source_files JOIN x USING (repo)),
+pin AS (SELECT repo, path AS owner, 'create_app [function] def create_app(config=None)' AS what FROM f WHERE j = 0 AND list_contains(js, 16)
+        UNION ALL SELECT repo, path, 'get_db [function] def get_db(name, timeout=1)' FROM f WHERE j = 1 AND list_has_any(js, range(2, 13))
+        UNION ALL SELECT repo, path, 'init_app [function] def init_app(app)' FROM f WHERE j = 1 AND list_contains(js, 0)
+        UNION ALL SELECT repo, path, 'bp [variable] bp = Blueprint(''m2'', __name__)' FROM f WHERE j = 2 AND list_contains(js, 0)
+        UNION ALL SELECT repo, path, 'helper_' || CAST(j AS VARCHAR) || ' [function] def helper_' || CAST(j AS VARCHAR) || '(x, *, flag=None)' FROM f
+          WHERE j BETWEEN 2 AND 12 AND list_contains(js, CASE WHEN j = 2 THEN 12 ELSE j - 1 END)),
+e AS (SELECT repo, path, 'src/app/db.py' AS dep FROM f WHERE j BETWEEN 2 AND 12 OR j = 0
+      UNION ALL SELECT repo, path, 'src/app/m' || CAST(nxt AS VARCHAR) || '.py' FROM f WHERE j BETWEEN 2 AND 12
+      UNION ALL SELECT repo, path, 'src/app/m2.py' FROM f WHERE j = 0 UNION ALL SELECT repo, path, 'src/app/__init__.py' FROM f WHERE j = 16)
+SELECT repo, owner AS path, 'DEFINES' AS section, '  - ' || owner || '::' || what AS line FROM pin
+UNION ALL SELECT e.repo, e.path, 'CALLS', '  - ' || dep || '::' || what FROM e JOIN pin ON pin.repo = e.repo AND pin.owner = e.dep"""))
 def contract_lines(spark: SparkSession, folder: str) -> DataFrame:
     files = _files(spark, folder)
     pins, taken = _pins(files)
     planned = M.planned_files(files).withColumn("position", F.col("order"))
     consumed = K.consumed_pins(pins, taken, C.planned_imports(files, planned))
-    return W.contract_lines(pins, consumed).filter(F.col("line").contains("::get_db "))
+    return W.contract_lines(pins, consumed)
