@@ -599,7 +599,22 @@ def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 _VERSIONS = _VERSIONS.replace("CAST(l_extendedprice AS VARCHAR)", "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)")
 
 
-@query("K-10 S-12", over("jobs", _VERSIONS + "SELECT * FROM snap"))
+@query("S-12 K-10", over("jobs", _VERSIONS + "SELECT * FROM snap"))
+def checkpoint_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots saved as a version, saved again, and read back by the pointer."""
+    from uuid import uuid4
+
+    from ..session import use_checkpoint_dir
+    from ..sources import manifests
+
+    rows = W.snapshot_rows(*_versions(spark, folder))
+    place = f"{use_checkpoint_dir(spark)}/versions-{uuid4().hex}"
+    manifests.save_version(rows.filter("batch < 3"), place, 1)
+    manifests.save_version(rows, place, 2)
+    return manifests.load_version(spark, place, rows.schema)
+
+
+@query("K-10", over("jobs", _VERSIONS + "SELECT * FROM snap"))
 def batch_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return W.snapshot_rows(*_versions(spark, folder))
 

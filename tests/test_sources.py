@@ -124,3 +124,40 @@ def test_shape_facts(spark):
     assert f["keyword_names"] == ["b", "c", "e", "g"]
     assert (f["accepts_varargs"], f["accepts_varkw"], f["is_generator"], f["returns_nested_function"]) == (True, True, False, True)
     assert (found["k"]["is_async"], found["k"]["is_generator"]) == (True, True)
+
+
+def _write(spark, path, text):
+    from shiftlens.sources import manifests
+
+    folder, name = path.rsplit("/", 1)
+    manifests._put(spark, folder, name, text)
+
+
+def test_checkpoint_versions(spark, tmp_path):
+    """Read back; the newest counts; a torn write, a malformed or missing file, or rows that do not fit read as what was before, or empty."""
+    from shiftlens.sources import manifests
+
+    folder, schema = f"file://{tmp_path}/versions", "path string, hash string"
+    rows = lambda found: sorted(tuple(r) for r in found.collect())
+    assert rows(manifests.load_version(spark, folder, schema)) == []
+    first = spark.createDataFrame([("a.py", "1"), ("b.py", None)], schema)
+    manifests.save_version(first, folder, 1)
+    assert rows(manifests.load_version(spark, folder, schema)) == [("a.py", "1"), ("b.py", None)]
+    second = manifests.save_version(spark.createDataFrame([("a.py", "2")], schema), folder, 2)
+    assert rows(manifests.load_version(spark, folder, schema)) == [("a.py", "2")]
+    # a writer that died before its pointer moved
+    first.write.parquet(f"{folder}/v-00000003-{'0' * 32}/rows")
+    assert rows(manifests.load_version(spark, folder, schema)) == [("a.py", "2")]
+    assert rows(manifests.load_version(spark, folder, "path string, other string")) == []
+    good = (tmp_path / "versions" / second / "manifest.json").read_text()
+    for text in ("{", "[]", "{}", good.replace('"rows": 1', '"rows": 7'), good.replace("number", "n")):
+        _write(spark, f"{folder}/{second}/manifest.json", text)
+        assert rows(manifests.load_version(spark, folder, schema)) == []
+    _write(spark, f"{folder}/{second}/manifest.json", good)
+    assert rows(manifests.load_version(spark, folder, schema)) == [("a.py", "2")]
+    for text in ("../../elsewhere", "v-1", f"v-00000009-{'1' * 32}", ""):
+        _write(spark, f"{folder}/CURRENT", text)
+        assert rows(manifests.load_version(spark, folder, schema)) == []
+    _write(spark, f"{folder}/CURRENT", second)
+    manifests.discard_versions(spark, folder)
+    assert rows(manifests.load_version(spark, folder, schema)) == []
