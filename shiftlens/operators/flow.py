@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 
 END, RAISED = -1, -2
 _LOOPS = ("For", "AsyncFor", "While")
@@ -54,13 +54,13 @@ def flow_edges(found: DataFrame) -> DataFrame:
     Errors are those that calls raise, and ``raise``; inside a ``try`` they lead to its handlers (``caught``), else to its ``finally``.
     A jump out of a ``try`` with a ``finally`` goes through it; what comes after that may be either way out.
     """
-    rows = cut_lineage(statements(found))
+    rows = stored(statements(found))
     blocks = rows.filter(F.col("slot").isin(*_BLOCKS))
     first = blocks.filter("place = 0").select(*_KEYS, F.col("parent").alias("owner"), F.col("slot").alias("block"), F.col("id").alias("dst"))
     following = blocks.select(*_KEYS, "parent", "slot", (F.col("place") - 1).alias("place"), F.col("id").alias("dst")).join(
         blocks.select(*_KEYS, "parent", "slot", "place", F.col("id").alias("src")), [*_KEYS, "parent", "slot", "place"]
     ).select(*_KEYS, "src", "dst")
-    around = cut_lineage(_around(rows))
+    around = stored(_around(rows))
 
     # what comes after a statement: the next of its block, else what the statements around it offer, nearest first
     is_try = F.col("owner_kind").isin(*_TRIES)
@@ -71,7 +71,7 @@ def flow_edges(found: DataFrame) -> DataFrame:
     onward = (F.col("through") == "body") & (F.col("block") == "orelse") | F.col("through").isin("body", "handlers", "orelse") & (F.col("block") == "finalbody")
     # an else part comes before the finally part
     tried = parts.filter(onward).select(*_KEYS, "src", "dst", (2 * F.col("far") + 1 + F.when(F.col("block") == "orelse", 0.0).otherwise(0.5)).alias("rank"))
-    after = cut_lineage(_first_of(
+    after = stored(_first_of(
         following.withColumn("rank", F.lit(0.0)).unionByName(next_of_owner.withColumn("rank", F.col("rank").cast("double")))
         .unionByName(loops.withColumn("rank", F.col("rank").cast("double"))).unionByName(ends.withColumn("rank", F.col("rank").cast("double"))).unionByName(tried)
     ))
@@ -139,9 +139,9 @@ def paths_avoiding(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> Dat
     own errors are no way on.  Each round goes one statement further, and a statement is entered once for a key, so there
     are at most as many rounds as a function has statements.
     """
-    steps = cut_lineage(edges.select(*_KEYS, "src", "dst", "kind").distinct())
-    blocked = cut_lineage(stops.select(*_KEYS, "key", F.col("node").alias("dst")).distinct())
-    frontier = cut_lineage(starts.select(*_KEYS, "key", "src", "trail"))
+    steps = stored(edges.select(*_KEYS, "src", "dst", "kind").distinct())
+    blocked = stored(stops.select(*_KEYS, "key", F.col("node").alias("dst")).distinct())
+    frontier = stored(starts.select(*_KEYS, "key", "src", "trail"))
     seen, out = None, None
     while not frontier.isEmpty():
         onward = steps.filter("kind = 'normal'") if seen is None else steps
@@ -149,7 +149,7 @@ def paths_avoiding(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> Dat
         reached = reached.groupBy(*_KEYS, "key", "dst").agg(F.min("trail").alias("trail"))
         if seen is not None:
             reached = reached.join(seen, [*_KEYS, "key", "dst"], "left_anti")
-        reached = cut_lineage(reached)
+        reached = stored(reached)
         seen = reached.select(*_KEYS, "key", "dst") if seen is None else seen.unionByName(reached.select(*_KEYS, "key", "dst"))
         ended = reached.filter(F.col("dst") < 0)
         out = ended if out is None else out.unionByName(ended)
@@ -209,14 +209,14 @@ def reaching(graph: DataFrame, starts: DataFrame, reach: int) -> DataFrame:
 
     ``starts`` is (repo, path, name).  ``way`` names the functions of one shortest chain of calls, the start first.
     """
-    calls_of = cut_lineage(graph)
+    calls_of = stored(graph)
     place = F.concat_ws("::", "path", "name")
-    frontier = cut_lineage(starts.select("repo", F.col("path").alias("start_path"), F.col("name").alias("start"), "path", "name", F.array(place).alias("way")).distinct())
+    frontier = stored(starts.select("repo", F.col("path").alias("start_path"), F.col("name").alias("start"), "path", "name", F.array(place).alias("way")).distinct())
     known = frontier
     for _ in range(reach):
         step = frontier.withColumnsRenamed({"path": "caller_path", "name": "caller"}).join(calls_of, ["repo", "caller_path", "caller"])
         grown = step.groupBy("repo", "start_path", "start", "path", "name").agg(F.min("way").alias("way")).withColumn("way", F.array_append("way", place))
-        frontier = cut_lineage(grown.join(known, ["repo", "start_path", "start", "path", "name"], "left_anti"))
+        frontier = stored(grown.join(known, ["repo", "start_path", "start", "path", "name"], "left_anti"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier.select(*known.columns))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 from . import flow
 
 _KEYS = ["repo", "path"]
@@ -81,7 +81,7 @@ def resource_decisions(found: DataFrame, helpers: DataFrame) -> DataFrame:
     the request's state that it caches in, files opened relative to the package, the functions that close something, the
     set-up function, and whether connections may cross threads.
     """
-    found = cut_lineage(found)
+    found = stored(found)
     tops, made = flow.functions(found), flow.calls(found)
     keys = _gathered(_config_keys(found, F.col("owner_text").rlike(r"(^|\.)config$")), "key", "config_keys")
     cached = found.filter("kind = 'Attribute'").select(*_KEYS, "id", "name", _top()).join(
@@ -116,13 +116,13 @@ def unreleased(found: DataFrame) -> DataFrame:
     made = flow.calls(found)
     targets = found.filter("slot = 'targets' AND kind = 'Name'").select(*_KEYS, F.col("parent").alias("statement"), F.col("name").alias("variable"))
     opened = made.filter(F.col("target").isin(*OPENERS) & (F.col("slot") == "value") & F.col("function").isNotNull() & (F.col("parent") == F.col("statement")))
-    opened = cut_lineage(opened.select(*_KEYS, "function", "statement").join(targets, [*_KEYS, "statement"]).select(*_KEYS, "function", "statement", "variable"))
+    opened = stored(opened.select(*_KEYS, "function", "statement").join(targets, [*_KEYS, "statement"]).select(*_KEYS, "function", "statement", "variable"))
     inner = F.element_at("callables", -1)
     uses = found.filter("kind = 'Name' AND use = 'Load' AND size(callables) > 0").select(
         *_KEYS, F.col("name").alias("variable"), inner.alias("user"), "callables", F.col("statement").alias("node"), "parent", "slot"
     ).join(opened, [*_KEYS, "variable"]).filter(F.array_contains("callables", F.col("function")))
     parents = found.select(*_KEYS, F.col("id").alias("parent"), F.col("kind").alias("parent_kind"), F.col("label").alias("parent_label"))
-    uses = cut_lineage(uses.join(parents, [*_KEYS, "parent"]))
+    uses = stored(uses.join(parents, [*_KEYS, "parent"]))
     closes = made.filter("operation = 'close'").select(*_KEYS, F.col("statement").alias("node"), F.col("receiver").alias("variable"), F.col("function").alias("user"))
     takes = F.col("parent_label").rlike(rf"^Call:(.*\.)?({'|'.join(_TAKES)})$")
     leaves = (
@@ -135,9 +135,9 @@ def unreleased(found: DataFrame) -> DataFrame:
     stops = uses.filter(leaves & (F.col("user") == F.col("function"))).select(*_KEYS, key, "node").unionByName(
         kept.join(closes, [*_KEYS, "variable"]).filter("user = function").select(*_KEYS, key, "node")
     )
-    edges = cut_lineage(flow.flow_edges(found))
+    edges = stored(flow.flow_edges(found))
     starts = kept.select(*_KEYS, key, F.col("statement").alias("src"), F.array("statement").alias("trail"))
-    ordinary = cut_lineage(flow.paths_avoiding(edges.filter("kind <> 'error'"), starts, stops).filter(F.col("dst") == flow.END).withColumn("rule", F.lit("resource_leaks")))
+    ordinary = stored(flow.paths_avoiding(edges.filter("kind <> 'error'"), starts, stops).filter(F.col("dst") == flow.END).withColumn("rule", F.lit("resource_leaks")))
     left = starts.join(ordinary.select(*_KEYS, "key"), [*_KEYS, "key"], "left_anti")
     failing = flow.paths_avoiding(edges, left, stops).filter(F.col("dst") == flow.RAISED).withColumn("rule", F.lit("resource_leaks_on_error"))
     lines = found.filter("above IS NOT NULL").select(*_KEYS, F.col("id").alias("node"), "line")
@@ -155,14 +155,14 @@ def resource_violations(found: DataFrame, brought: DataFrame, named: DataFrame,
     stay in one thread; package files are opened from the working directory or decoded as text; the dependency is called
     by hand; and resources are not released on every path.
     """
-    found, brought, named = cut_lineage(found), cut_lineage(brought), cut_lineage(named)
-    tops = cut_lineage(flow.functions(found))
-    made = cut_lineage(flow.calls(found))
-    arguments = cut_lineage(_arguments(found))
+    found, brought, named = stored(found), stored(brought), stored(named)
+    tops = stored(flow.functions(found))
+    made = stored(flow.calls(found))
+    arguments = stored(_arguments(found))
     first = arguments.filter("place = 0")
-    owners = cut_lineage(_owners(found))
+    owners = stored(_owners(found))
     parsed = found.filter("kind = 'Module'").select(*_KEYS)
-    decisions = cut_lineage(decisions)
+    decisions = stored(decisions)
     own = decisions.join(parsed, _KEYS, "left_semi")
 
     def of(column: str) -> DataFrame:
@@ -170,7 +170,7 @@ def resource_violations(found: DataFrame, brought: DataFrame, named: DataFrame,
         return own.join(tops.select(*_KEYS, F.col("name").alias(column), "function", F.col("line").alias("at_line")), [*_KEYS, column])
 
     inside = lambda names: found.select(*_KEYS, "id", "kind", "name", "use", "line", _top()).join(names, [*_KEYS, "function"])
-    helper = cut_lineage(of("symbol"))
+    helper = stored(of("symbol"))
     calls_in = made.withColumn("function", F.col("top"))
     out = []
 
@@ -192,12 +192,12 @@ def resource_violations(found: DataFrame, brought: DataFrame, named: DataFrame,
     valued = assigned.join(owners.select(*_KEYS, "id", flow.dotted(F.col("owner_label")).alias("value")), [*_KEYS, "id"])
     variables = valued.filter(F.col("function").isNull() & F.col("value").rlike(r"(^|\.)ContextVar$")).select(*_KEYS, F.col("variable").alias("receiver")).distinct()
     connections = valued.filter("value = 'sqlite3.connect'").select(*_KEYS, "function", F.col("variable").alias("arg_name")).distinct()
-    stored = calls_in.filter("operation = 'set'").join(variables, [*_KEYS, "receiver"]).join(first.filter("arg_kind = 'Name'"), [*_KEYS, "id"]).join(connections, [*_KEYS, "function", "arg_name"])
-    out.append(_rows(stored.join(caching.select(*_KEYS, "function", "symbol"), [*_KEYS, "function"]), "symbol", "live_connection_in_context", "arg_name"))
+    put = calls_in.filter("operation = 'set'").join(variables, [*_KEYS, "receiver"]).join(first.filter("arg_kind = 'Name'"), [*_KEYS, "id"]).join(connections, [*_KEYS, "function", "arg_name"])
+    out.append(_rows(put.join(caching.select(*_KEYS, "function", "symbol"), [*_KEYS, "function"]), "symbol", "live_connection_in_context", "arg_name"))
 
     # set-up
     wanted = own.filter("initializer IS NOT NULL")
-    setup = cut_lineage(of("initializer"))
+    setup = stored(of("initializer"))
     out.append(_rows(wanted.join(setup.select(*_KEYS, "initializer"), [*_KEYS, "initializer"], "left_anti"), "initializer", "initializer_missing", F.lit("")))
     parameters = found.filter("kind = 'arg' AND slot IN ('posonlyargs', 'args')").select(*_KEYS, _top(), F.col("name").alias("parameter")).join(setup.select(*_KEYS, "function", "initializer", "cleanup_functions"), [*_KEYS, "function"])
     state = F.col("owner_text").rlike(r"\.state\.config$")
@@ -217,7 +217,7 @@ def resource_violations(found: DataFrame, brought: DataFrame, named: DataFrame,
 
     # clean-up
     cleaners = own.select(*_KEYS, "cache_members", F.explode("cleanup_functions").alias("cleanup"))
-    there = cut_lineage(cleaners.join(tops.select(*_KEYS, F.col("name").alias("cleanup"), "function"), [*_KEYS, "cleanup"]))
+    there = stored(cleaners.join(tops.select(*_KEYS, F.col("name").alias("cleanup"), "function"), [*_KEYS, "cleanup"]))
     out.append(_rows(cleaners.join(there.select(*_KEYS, "cleanup"), [*_KEYS, "cleanup"], "left_anti"), "cleanup", "cleanup_missing", F.lit("")))
     closes = calls_in.filter("operation = 'close' AND receiver IS NOT NULL").select(*_KEYS, "function").distinct()
     out.append(_rows(there.join(closes, [*_KEYS, "function"], "left_anti"), "cleanup", "cleanup_keeps_open", F.lit("")))
@@ -238,7 +238,7 @@ def resource_violations(found: DataFrame, brought: DataFrame, named: DataFrame,
     items = found.filter("kind = 'withitem'").select(*_KEYS, F.col("id").alias("parent"), F.col("statement").alias("entered")).join(
         found.filter("slot = 'optional_vars' AND kind = 'Name'").select(*_KEYS, "parent", F.col("name").alias("variable")), [*_KEYS, "parent"]
     )
-    entered = cut_lineage(made.filter("target = 'open' AND slot = 'context_expr'").join(items, [*_KEYS, "parent"]).join(own.select(*_KEYS, "resource_files"), _KEYS))
+    entered = stored(made.filter("target = 'open' AND slot = 'context_expr'").join(items, [*_KEYS, "parent"]).join(own.select(*_KEYS, "resource_files"), _KEYS))
     relative = entered.join(first.filter("arg_literal IS NOT NULL"), [*_KEYS, "id"]).filter(F.exists("resource_files", lambda f: F.endswith("arg_literal", f)))
     out.append(_rows(relative, "variable", "resource_from_working_directory", "arg_literal"))
     modes = arguments.filter("place = 1").select(*_KEYS, "id", F.col("arg_literal").alias("mode")).unionByName(
@@ -260,7 +260,7 @@ def resource_violations(found: DataFrame, brought: DataFrame, named: DataFrame,
     called = made.join(by_name.unionByName(by_module).filter("path <> owner").distinct(), ["repo", "path", "target"])
     out.append(_rows(called, "dependency", "dependency_called", "line"))
 
-    resources = unreleased(cut_lineage(found.join(own.select(*_KEYS).distinct(), _KEYS, "left_semi")))
+    resources = unreleased(stored(found.join(own.select(*_KEYS).distinct(), _KEYS, "left_semi")))
     return reduce(DataFrame.unionByName, out).unionByName(resources)
 
 
@@ -277,9 +277,9 @@ def session_violations(found: DataFrame, brought: DataFrame, named: DataFrame, s
     the request state.  Functions are followed over files for at most ``REACH`` calls: a provider whose callees use the
     session uses it, and a factory must not get to it before there is a request (the detail is the chain of calls).
     """
-    found, brought, named, surfaces = cut_lineage(found), cut_lineage(brought), cut_lineage(named), cut_lineage(surfaces)
-    tops, made = cut_lineage(flow.functions(found)), cut_lineage(flow.calls(found))
-    first = cut_lineage(_arguments(found).filter("place = 0"))
+    found, brought, named, surfaces = stored(found), stored(brought), stored(named), stored(surfaces)
+    tops, made = stored(flow.functions(found)), stored(flow.calls(found))
+    first = stored(_arguments(found).filter("place = 0"))
     parsed = found.filter("kind = 'Module'").select(*_KEYS)
 
     def files(surface: str, role: str) -> DataFrame:
@@ -289,7 +289,7 @@ def session_violations(found: DataFrame, brought: DataFrame, named: DataFrame, s
     # the session middleware by any name it goes by
     by_name = brought.filter((F.col("module_name") == SESSION_MODULE) & F.col("is_from") & (F.col("name") == SESSION_CLASS)).select(*_KEYS, F.col("local").alias("ref"))
     by_module = brought.filter((F.col("module_name") == SESSION_MODULE) & ~F.col("is_from")).select(*_KEYS, F.concat("local", F.lit(f".{SESSION_CLASS}")).alias("ref"))
-    session_refs = cut_lineage(by_name.unionByName(by_module).distinct())
+    session_refs = stored(by_name.unionByName(by_module).distinct())
     anywhere = surfaces.filter("surface = 'session'").select("repo").distinct()
     called = made.withColumn("ref", F.col("target")).join(session_refs, [*_KEYS, "ref"]).join(anywhere, "repo", "left_semi")
     out.append(_rows(called, "target", "session_middleware_called", F.lit("")))
@@ -297,18 +297,18 @@ def session_violations(found: DataFrame, brought: DataFrame, named: DataFrame, s
     installs = made.filter((F.col("operation") == "add_middleware") | (F.col("operation") == "Middleware")).join(
         first.filter("arg_kind IN ('Name', 'Attribute')").withColumn("ref", F.col("arg_text")), [*_KEYS, "id"]
     ).select(*_KEYS, "id", "parent", "line", "operation", "ref")
-    installs = cut_lineage(installs)
+    installs = stored(installs)
     sessions = installs.join(session_refs, [*_KEYS, "ref"], "left_semi")
     none = F.lit(None).cast("string").alias("symbol")
     lacking = files("session", "factory").join(sessions.select(*_KEYS), _KEYS, "left_anti")
     out.append(_rows(lacking.select(*_KEYS, none), "symbol", "session_middleware_not_installed", F.lit("")))
 
     uses = found.filter("kind = 'Attribute' AND name = 'session'").select(*_KEYS, _top())
-    users = cut_lineage(uses.join(tops.select(*_KEYS, "function", "name"), [*_KEYS, "function"]).select(*_KEYS, "name").distinct())
+    users = stored(uses.join(tops.select(*_KEYS, "function", "name"), [*_KEYS, "function"]).select(*_KEYS, "name").distinct())
     factories = surfaces.filter("role = 'factory'").select(*_KEYS).distinct()
     providers = files("session", "provider")
     starts = tops.select(*_KEYS, "name").join(factories.unionByName(providers).distinct(), _KEYS, "left_semi")
-    reached = cut_lineage(flow.reaching(flow.call_graph(found, named, brought), starts, REACH).join(users, ["repo", "path", "name"]))
+    reached = stored(flow.reaching(flow.call_graph(found, named, brought), starts, REACH).join(users, ["repo", "path", "name"]))
     through = reached.select("repo", F.col("start_path").alias("path"), F.col("start").alias("symbol"), F.array_join("way", " > ").alias("detail"))
     out.append(_rows(through.join(factories, _KEYS, "left_semi"), "symbol", "session_outside_request", "detail"))
     without = providers.join(uses.select(*_KEYS), _KEYS, "left_anti").join(through.select(*_KEYS), _KEYS, "left_anti")
@@ -326,13 +326,13 @@ def session_violations(found: DataFrame, brought: DataFrame, named: DataFrame, s
     handlers = found.filter("kind IN ('FunctionDef', 'AsyncFunctionDef') AND name IN ('dispatch', '__call__')").select(*_KEYS, F.col("parent").alias("id"))
     out.append(_rows(classes.join(ambient, _KEYS, "left_semi").join(handlers, [*_KEYS, "id"], "left_anti"), "symbol", "context_class_without_dispatch", F.lit("")))
     provider_names = surfaces.filter("surface = 'ambient' AND role = 'provider'").select("repo", F.col("path").alias("owner")).distinct().join(named.withColumnRenamed("path", "owner"), ["repo", "owner"])
-    from_provider = cut_lineage(brought.filter("is_from").join(provider_names, ["repo", "module_name"]).filter("path <> owner").select(*_KEYS, "owner", "name", "local").distinct())
+    from_provider = stored(brought.filter("is_from").join(provider_names, ["repo", "module_name"]).filter("path <> owner").select(*_KEYS, "owner", "name", "local").distinct())
     parallel = tested.join(from_provider.select(*_KEYS), _KEYS, "left_anti").unionByName(tested.join(variables, _KEYS, "left_semi")).distinct()
     out.append(_rows(parallel.select(*_KEYS, none), "symbol", "parallel_context", F.lit("")))
 
     # factories: the owner of the state inside of the session
     owned = owners_of_context.select("repo", F.col("path").alias("owner"), F.col("symbol").alias("name"))
-    context_refs = cut_lineage(from_provider.join(owned, ["repo", "owner", "name"]).select(*_KEYS, F.col("local").alias("ref"), "name").distinct())
+    context_refs = stored(from_provider.join(owned, ["repo", "owner", "name"]).select(*_KEYS, F.col("local").alias("ref"), "name").distinct())
     contexts = installs.join(context_refs, [*_KEYS, "ref"])
     ambient_factories = files("ambient", "factory").join(context_refs.select(*_KEYS), _KEYS, "left_semi")
     missing = ambient_factories.join(contexts.select(*_KEYS), _KEYS, "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..session import cut_lineage
+from ..session import stored
 
 FACT = ["repo", "owner", "relation", "name", "value"]
 # What offers a request's state, and what the class that owns it has to have.
@@ -174,23 +174,23 @@ LOG = ["repo", "owner", "action", "relation", "name", "value", "rule", "layer"]
 
 def completed(facts: DataFrame, needs: DataFrame, factories: DataFrame, layers: Sequence[Sequence[Rule]] = LAYERS) -> tuple[DataFrame, DataFrame]:
     """(facts, log): the proposal with all changes, and the changes (repo, owner, action, relation, name, value, rule, layer)."""
-    state = cut_lineage(facts.select(*FACT).distinct())
-    needs, factories = cut_lineage(needs), cut_lineage(factories)
+    state = stored(facts.select(*FACT).distinct())
+    needs, factories = stored(needs), stored(factories)
     log = state.limit(0).select("repo", "owner", F.lit("").alias("action"), "relation", "name", "value", F.lit("").alias("rule"), F.lit(0).alias("layer"))
     for layer, rules in enumerate(layers):
         view = state
         while True:
-            found = cut_lineage(reduce(DataFrame.unionByName, [rule(view, needs, factories) for rule in rules]))
+            found = stored(reduce(DataFrame.unionByName, [rule(view, needs, factories) for rule in rules]))
             removed = found.filter("action = 'remove'").join(state, FACT, "left_semi")
             added = found.filter("action = 'add'").join(state, FACT, "left_anti").join(removed, FACT, "left_anti")
             added = added.join(log.filter("action = 'remove'").select(*FACT), FACT, "left_anti")
             new = added.unionByName(removed).groupBy(*LOG[:-2]).agg(F.min("rule").alias("rule"))
-            new = cut_lineage(new.withColumn("layer", F.lit(layer)).select(*LOG))
+            new = stored(new.withColumn("layer", F.lit(layer)).select(*LOG))
             if new.isEmpty():
                 break
             kept = state.join(new.filter("action = 'remove'"), FACT, "left_anti")
-            state = cut_lineage(kept.unionByName(new.filter("action = 'add'").select(*FACT)))
-            log = cut_lineage(log.unionByName(new))
+            state = stored(kept.unionByName(new.filter("action = 'add'").select(*FACT)))
+            log = stored(log.unionByName(new))
             # rules look at one repository at a time, so only those that changed can change again
             view = state.join(new.select("repo").distinct(), "repo", "left_semi")
     return state, log
@@ -213,7 +213,7 @@ def audit(log: DataFrame) -> DataFrame:
 
 def violations(facts: DataFrame, needs: DataFrame, allowed: DataFrame) -> DataFrame:
     """(repo, subject, rule, detail): what a proposal gets wrong.  ``allowed`` is (repo, owner), the paths a module may take."""
-    facts, needs = cut_lineage(facts.select(*FACT).distinct()), cut_lineage(needs)
+    facts, needs = stored(facts.select(*FACT).distinct()), stored(needs)
 
     def rows(found: DataFrame, subject: str, rule: str, detail: Column) -> DataFrame:
         return found.select("repo", F.col(subject).alias("subject"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail")).distinct()
