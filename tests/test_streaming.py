@@ -1,10 +1,11 @@
 """Micro-batch folds give what the batch operators give on all rows at once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shiftlens.operators import accounts, attempts, queue_state
 from shiftlens.plans import relations as R
-from shiftlens.streaming import folds, windows
+from shiftlens.streaming import folds, live, windows
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -78,3 +79,37 @@ def test_rate_limit_stream(spark, tmp_path):
     query.stop()
     want = queue_state.requests_per_minute(requests, 1)
     assert plain(spark.table("minutes"), "address", "minute", "n") == plain(want, "address", "minute", "n")
+
+
+def collected(spark, frame, folder, name):
+    query = frame.writeStream.format("parquet").option("path", str(folder / name)).option("checkpointLocation", str(folder / f"{name}-c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(str(folder / name))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_live_token_families(spark, tmp_path, parts):
+    """State kept by Spark gives what the batch operator gives, over one batch or several."""
+    live.use_state_store(spark)
+    uses = R.table(spark, FOLDER, "events").select(
+        R.text_of("user_id").alias("family_id"), F.col("event_id").alias("seq"),
+        (F.floor(F.col("event_id") / 100) + F.when(F.col("event_type") == "error", -1).otherwise(0)).alias("generation"),
+    )
+    got = collected(spark, live.token_uses(stream_of(spark, uses, tmp_path, parts)), tmp_path, "out")
+    columns = ("family_id", "seq", "generation", "outcome")
+    assert plain(got, *columns) == plain(accounts.token_uses(uses), *columns)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_live_leases(spark, tmp_path, parts):
+    """Gaps, and the silence of jobs whose lease is over by the watermark."""
+    live.use_state_store(spark)
+    beats = R.table(spark, FOLDER, "events").select(R.text_of("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    got = collected(spark, live.lapses(stream_of(spark, beats, tmp_path, parts), 86400.0, "0 seconds"), tmp_path, "out")
+    gaps = set(plain(queue_state.expired_leases(beats, 86400.0), "job_id", "seq"))
+    found = plain(got, "job_id", "seq")
+    assert len(found) == len(set(found)) and gaps <= set(found)
+    last = beats.groupBy("job_id").agg(F.max_by(F.struct("seq", "at"), F.struct("at", "seq")).alias("l")).select("job_id", "l.seq", "l.at")
+    end = beats.agg(F.max("at")).first()[0]
+    silent = {tuple(r) for r in last.filter(F.col("at") + F.expr("INTERVAL 1 DAY") < F.lit(end)).select("job_id", "seq").collect()}
+    assert set(found) - gaps == silent
