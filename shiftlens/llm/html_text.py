@@ -1,16 +1,21 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one per block.  Lines of parts that are no article by their element or their
-name (menus, adverts, forms, comments) are taken out, so that they cut no passage in two; if the page marks its article, so
-are all lines outside it.  Lists of links have no text.  The text of the lines in a sliding window is summed; where the sum surges past a threshold a passage begins, where it
-dives to nothing it ends, and the lines between are kept.
+Markup is stripped into lines, one per block.  A line weighs its text outside links, a list of links nothing.  The
+weights of the lines in a sliding window are summed; where the sum surges past a threshold taken from the page itself a
+passage begins, where it dives to nothing it ends.  Outside a marked article, at both ends a run of lines as short as menu entries is cut off.
+
+Names are votes.  A part named as no article (menu, advert, comments) is taken out of the sequence, so that it cuts no
+passage in two, unless it holds most of the page's text.  A marked article is believed if it holds most of what is left.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +26,10 @@ from pyspark.sql import functions as F
 LINES, SURGE, SHARE = 3, 80, 0.5
 #: The share of a line's characters inside links from which it counts as a list of links.
 LINKED = 0.6
+#: So many short lines in a row at an end of a passage are entries of a menu.
+ENTRIES = 3
+#: The share of the page's text from which a part is not believed to be no article: by its name, by a name of reader comments.
+MOST, NEARLY_ALL = 0.5, 0.9
 
 # fixed values: elements of the HTML standard
 _BLOCKS = frozenset(
@@ -40,65 +49,100 @@ _NAMES = frozenset(
     "related respond reply replies share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets "
     "complementary contentinfo search signup login".split()
 )
+# words that say nothing, beside a word of the list above
+_PLAIN = frozenset(
+    "area bar block body bottom box center container content dropdown foot form global group head holder inner item items layout left link links "
+    "list lower main mobile module outer page panel post primary region right row secondary section site slot sticky text top unit upper view wrap wrapper".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _ARTICLE_NAMES = frozenset("article articlebody".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SENTENCE_END = tuple(".!?:;…。！？۔।\"'”»)")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's names mark it as no article, or as the article."""
-    chrome = article = False
+class Line(NamedTuple):
+    text: str
+    part: int  # innermost part that may be no article, -1 if none
+    article: bool
+    linked: float  # share of the text inside links
+    heading: bool
+
+
+class Part(NamedTuple):
+    """A part that may be no article; ``most`` is the share of the page's text from which it is not believed."""
+
+    outer: int
+    most: float
+
+
+def _marks(attributes: str) -> tuple[float | None, bool]:
+    """From which share of the text the names of an element are not believed that it is no article, and whether it is the article.
+
+    A name counts if all its words are known (``ad-box``, not ``share-prices`` or ``has-sidebar``).
+    """
+    most, article = None, False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            chrome = True
-        elif key != "hidden":
-            named = {w.lower() for w in _WORD.findall(value)}
-            chrome |= bool(named & _NAMES)
-            article |= bool(named & _ARTICLE_NAMES) or key == "role" and value.lower() == "main"
-    return chrome, article
+            return math.inf, False
+        for name in value.split() if key != "aria-hidden" else ():
+            words = {w.lower() for w in _WORD.findall(name)}
+            if words & _NAMES and words <= _NAMES | _PLAIN:
+                most = max(most or 0.0, NEARLY_ALL if words & _COMMENTS else MOST)
+            article |= words <= _ARTICLE_NAMES | _PLAIN and bool(words & _ARTICLE_NAMES) or key == "role" and value.lower() == "main"
+    return most, article
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, in a part that is no article, in a marked article, share inside links) of every block, in page order."""
-    lines, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # name, no article, article
-    chrome = article = link = 0
+def page_lines(page: str) -> tuple[list[Line], list[Part]]:
+    """The text of every block in page order, and the parts that may be no article; the time is linear in the page."""
+    lines, parts, texts, linked = [], [], [], 0
+    stack: list[tuple[str, int, bool]] = []  # name, part outside this element, article
+    opened: Counter[str] = Counter()
+    blocks, paragraphs = [], []  # places in the stack of blocks but p, and of p
+    part, article, headings = -1, 0, 0
 
     def flush() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal texts, linked
+        if texts:
+            text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                lines.append((text, chrome > 0, article > 0, min(1.0, linked / len(text))))
-            parts, linked = [], 0
+                lines.append(Line(text, part, article > 0, min(1.0, linked / len(text)), headings > 0))
+            texts, linked = [], 0
 
     def pop() -> None:
-        nonlocal chrome, article, link
-        name, was_chrome, was_article = stack.pop()
-        if name in _BLOCKS or was_chrome:
+        nonlocal part, article, headings
+        name, outside, was_article = stack[-1]
+        if name in _BLOCKS or outside != part:
             flush()
-        chrome, article, link = chrome - was_chrome, article - was_article, link - (name == "a")
+        stack.pop()
+        opened[name] -= 1
+        if name == "p":
+            paragraphs.pop()
+        elif name in _BLOCKS:
+            blocks.pop()
+        part, article, headings = outside, article - was_article, headings - (name in _HEADINGS)
 
     at, end = 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else end]
         if text:
-            parts.append(text)
-            linked += len(text) if link else 0
+            texts.append(text)
+            linked += len(text) if opened["a"] else 0
         if not found:
             break
         at = found.end()
         if not found[2]:
             if found[0].startswith("<![CDATA["):
-                parts.append(html.escape(found[0][9:].removesuffix("]]>"), quote=False))
+                texts.append(html.escape(found[0][9:].removesuffix("]]>"), quote=False))
             continue
         name, attributes = found[2].lower(), found[3]
         if found[1]:
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -113,55 +157,101 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
                 at = close.end() if close else end
             continue
         if name == "br":
-            parts.append(" ")
+            texts.append(" ")
             continue
-        if name in _CLOSES_P and any(s[0] == "p" for s in stack):
+        if name in _CLOSES_P and paragraphs and (not blocks or blocks[-1] < paragraphs[-1]):
             # a block ends an open paragraph, and with it the inline elements left open in it
-            place = max(i for i, s in enumerate(stack) if s[0] == "p")
-            if all(s[0] not in _BLOCKS or s[0] == "p" for s in stack[place:]):
-                while len(stack) > place:
-                    pop()
+            for _ in range(len(stack) - paragraphs[-1]):
+                pop()
         if name in _SIBLINGS and stack and stack[-1][0] in _SIBLINGS[name]:
             pop()
         if name in _BLOCKS:
             flush()
         if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
             continue
-        chrome_name, article_name = _marks(attributes) if attributes else (False, False)
-        no_article = name in _CHROME or chrome_name
-        if no_article and name not in _BLOCKS:
-            flush()
-        is_article = not no_article and (name in ("article", "main") or article_name)
-        if article and name in ("header", "hgroup") and not chrome_name:
-            no_article = False  # the head of the article itself
+        most, is_article = _marks(attributes) if attributes else (None, False)
+        if name in _CHROME and not (most is None and article and name in ("header", "hgroup")):  # but for the head of the article itself
+            most = max(most or 0.0, MOST if name in ("form", "fieldset", "header") else math.inf)
+        is_article = most is None and (is_article or name in ("article", "main"))
         if name in ("html", "body"):
-            no_article = is_article = False
-        stack.append((name, no_article, is_article))
-        chrome, article, link = chrome + no_article, article + is_article, link + (name == "a")
+            most, is_article = None, False
+        stack.append((name, part, is_article))
+        opened[name] += 1
+        if name == "p":
+            paragraphs.append(len(stack) - 1)
+        elif name in _BLOCKS:
+            blocks.append(len(stack) - 1)
+        if most is not None:
+            flush()
+            parts.append(Part(part, most))
+            part = len(parts) - 1
+        article, headings = article + is_article, headings + (name in _HEADINGS)
     flush()
-    return lines
+    return lines, parts
 
 
-def main_text(page: str | None) -> str:
-    """The kept lines of a page, joined by line feeds."""
-    lines = page_lines(page or "")
-    marked = any(article and not chrome for _, chrome, article, _ in lines)
-    lines = [x for x in lines if not x[1] and (x[2] or not marked)]
-    sizes = np.array([0 if links >= LINKED and not marked else len(text) for text, *_, links in lines])
+def _left_out(lines: list[Line], parts: list[Part], weights: list[int]) -> list[bool]:
+    """Which parts are left out: those named as no article, but for one that holds most of the text, and all that lies in one."""
+    sure = [p.most == math.inf for p in parts]
+    for i, p in enumerate(parts):
+        sure[i] |= p.outer >= 0 and sure[p.outer]
+    held, total = [0] * len(parts), 0
+    for line, weight in zip(lines, weights, strict=True):
+        if line.part < 0 or not sure[line.part]:
+            total += weight
+            if line.part >= 0:
+                held[line.part] += weight
+    for i in range(len(parts) - 1, -1, -1):
+        if parts[i].outer >= 0 and not sure[i]:
+            held[parts[i].outer] += held[i]
+    out = [sure[i] or held[i] <= p.most * total or held[i] < SURGE for i, p in enumerate(parts)]
+    for i, p in enumerate(parts):
+        out[i] |= p.outer >= 0 and out[p.outer]
+    return out
+
+
+def passages(weights: list[int]) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of lines between a surge and a dive of the window sums."""
+    sizes = np.array(weights, np.int64)
     if not sizes.any():
-        return ""
+        return []
     sums = np.convolve(sizes, np.ones(LINES, np.int64))[LINES - 1 :]  # of the window that begins at a line
     surge = min(SURGE, SHARE * sums.max())
-    kept, inside, begin = [], False, 0
-    for i in range(len(sizes) + 1):
-        if i < len(sizes) and sums[i] > 0:
-            if not inside:
-                inside, begin = True, i
-        elif inside:
-            if sums[begin:i].max() >= surge:
-                kept += range(begin, i)
-            inside = False
-    return "\n".join(lines[i][0] for i in kept if sizes[i])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], sums > 0, [0]]).astype(np.int8)))
+    runs = zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+    return [(begin, end) for begin, end in runs if sums[begin:end].max() >= surge]
+
+
+def without_entries(lines: list[Line], weights: list[int], begin: int, end: int) -> tuple[int, int]:
+    """The passage without runs of short lines at its ends.
+
+    Short is less than half of what makes a surge, or of the longest line, and without the end of a sentence.  Fewer than
+    ``ENTRIES`` of them are a title or a name and stay, and so does the last heading before the text with what follows it.
+    """
+    least = min(SURGE, max(weights[begin:end])) / 2
+    full = [i for i in range(begin, end) if weights[i] >= least or lines[i].text.endswith(_SENTENCE_END) and weights[i]]
+    if not full:
+        return begin, end
+    if sum(weights[i] > 0 for i in range(begin, full[0])) >= ENTRIES:
+        begin = max((i for i in range(begin, full[0]) if lines[i].heading and weights[i]), default=full[0])
+    if sum(weights[i] > 0 for i in range(full[-1] + 1, end)) >= ENTRIES:
+        end = full[-1] + 1
+    return begin, end
+
+
+def main_text(page: str | None) -> str:
+    """The kept lines of a page, joined by line feeds."""
+    lines, parts = page_lines(page or "")
+    weights = [0 if x.linked >= LINKED else round(len(x.text) * (1 - x.linked)) for x in lines]
+    out = _left_out(lines, parts, weights)
+    left = [(x, w) for x, w in zip(lines, weights, strict=True) if x.part < 0 or not out[x.part]]
+    marked = sum(w for x, w in left if x.article)
+    believed = marked > 0 and marked >= MOST * sum(w for _, w in left)
+    if believed:  # what lies outside cuts nothing in two, and lists of links inside are text
+        left = [(x, len(x.text)) for x, _ in left if x.article]
+    lines, weights = [x for x, _ in left], [w for _, w in left]
+    ends = [run if believed else without_entries(lines, weights, *run) for run in passages(weights)]
+    return "\n".join(lines[i].text for begin, end in ends for i in range(begin, end) if weights[i])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

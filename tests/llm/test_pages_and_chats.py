@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -74,6 +75,68 @@ def test_chrome_cuts_no_passage():
     assert html_text.main_text(f"{outside}<article>{long}</article>{outside}<article><p>A note.</p></article>{outside}").split("\n") == [want[1], "A note."]
 
 
+PARAGRAPH = "One sentence of the text, and then another one that goes on for longer than a menu does."
+WRAPPED = f"<h1>Title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH} Again.</p>"
+WANTED = f"Title\n{PARAGRAPH}\n{PARAGRAPH} Again."
+
+
+def test_names_are_votes():
+    """No name takes away a part that holds the text of the page; compound names are no names of menus."""
+    for open_, close in (
+        ("<main class='has-sidebar'>", "</main>"), ("<div class='site right-sidebar'>", "</div>"), ("<article class='post comments-open'>", "</article>"),
+        ("<form id=page>", "</form>"), ("<body class=menu>", "</body>"), ("<div id=sidebar><div class='post'>", "</div></div>"),
+    ):
+        notice, comments = "<div class=notice>We use cookies on all of this site.</div>", "<div class='comments-area'><p>Nice text, that I did read.</p></div>"
+        assert html_text.main_text(f"<nav>Home</nav>{notice}{open_}{WRAPPED}{close}{comments}<footer>Imprint</footer>") == WANTED, open_
+        assert html_text.main_text(f"<nav>Home</nav>{open_}{WRAPPED}{comments}{notice}{close}") == WANTED, open_
+    inside = "<section id='share-prices'><p>Prices rose.</p></section><div class='social-history'><p>They had fallen.</p></div>"
+    assert html_text.main_text(f"<article>{WRAPPED}{inside}</article>") == WANTED + "\nPrices rose.\nThey had fallen."
+    long_comments = "<section class=comments>" + f"<p>{PARAGRAPH}</p>" * 6 + "</section>"
+    assert html_text.main_text(f"<div>{WRAPPED}</div>{long_comments}") == WANTED
+    teasers = "<article><p>Read this</p></article>" * 3
+    assert html_text.main_text(f"<div>{WRAPPED}</div><div class=related>{teasers}</div>") == WANTED
+
+
+def test_entries_without_marks():
+    menu = "".join(f"<div>{x}</div>" for x in ("Home", "About us", "Products", "Contact"))
+    legal = "".join(f"<p>{x}</p>" for x in ("Terms", "Privacy", "Imprint"))
+    items = "<ul><li>flour<li>sugar<li>salt<li>butter</ul>"
+    assert html_text.main_text(f"{menu}{WRAPPED}{legal}") == WANTED
+    assert html_text.main_text(f"{menu}{WRAPPED}{items}<p>{PARAGRAPH}</p>{legal}") == f"{WANTED}\nflour\nsugar\nsalt\nbutter\n{PARAGRAPH}"
+    assert html_text.main_text(f"<p>by Jane</p>{WRAPPED}<p>Jane</p>") == f"by Jane\n{WANTED}\nJane"
+    links = "".join(f"<p><a href={i}>A link to another page of this site</a></p>" for i in range(4))
+    assert html_text.main_text(f"{links}{WRAPPED}{links}") == WANTED
+
+
+def test_passages_against_plain_windows():
+    r = random.Random(3)
+    for _ in range(300):
+        weights = [r.choice([0, 0, 0, 5, 30, 200]) for _ in range(r.randint(0, 30))]
+        sums = [sum(weights[i : i + html_text.LINES]) for i in range(len(weights))]
+        want, i = [], 0
+        while i < len(weights):
+            j = i
+            while j < len(weights) and sums[j]:
+                j += 1
+            if j > i and max(sums[i:j]) >= min(html_text.SURGE, html_text.SHARE * max(sums)):
+                want.append((i, j))
+            i = max(j, i + 1)
+        assert html_text.passages(weights) == want
+
+
+def test_given_pages_without_marks_give_the_same(sf):
+    for row in sf("pages").select("html").collect():
+        bare = row["html"].replace("<article", "<div").replace("</article", "</div")
+        assert html_text.main_text(bare) == html_text.main_text(row["html"]) != ""
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p>", "</b>", "<b>", "</p>", "<a b=\"", "<li>", "<td><table>", "<form><p>", "<h1></div>", "<a b='x\""])
+def test_broken_pages_take_linear_time(piece):
+    begin = time.process_time()
+    html_text.main_text(piece * 100_000 + "x")
+    assert time.process_time() - begin < 10
+
+
 def test_long_page_and_no_pages(spark):
     assert html_text.main_text("<article>" + "<p>x</p>" * 50_000 + "</article>").count("\n") == 49_999
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
