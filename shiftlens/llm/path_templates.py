@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .base import lower_ascii, written
 
-#: Levels of a path that stand in a template one by one; what lies deeper is one further level.
-DEPTH = 8
-#: A node with at least so many different children, on average seen at most ``FEW`` times each, has a variable segment.
-MANY, FEW = 16, 4
-#: Two shares of rejected labels differ if they are so many standard deviations apart.
-Z = 1.96
-#: The smoothed share of rejected labels from which a template is rejected, and the weight of the prior.
+#: A segment with one url in so many of its node stands by itself.  The others of the node are one variable segment if two of its
+#: urls meet in one of them less often than that, and would still with ``SPARE`` meetings more.  Both are shares, so that
+#: they come out alike on small and large tables.
+COMMON, SPARE = 16, 3
+#: A branch without labels is like rejected (or accepted) siblings if so much of what lies below it points to these.
+LIKE = 0.6
+#: The smoothed share of rejected labels from which a template is rejected, and the weight of what it is smoothed with.
 REJECT, WEIGHT = 0.5, 4.0
 
 
@@ -39,88 +39,106 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def _shapes(path: Column) -> Column:
-    """The segments with numbers and long hexadecimal strings as placeholders, at most DEPTH and the rest."""
+    """The segments, with numbers and long hexadecimal strings as placeholders."""
     shaped = F.regexp_replace(F.regexp_replace(path, r"[0-9a-fA-F]{16,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "{h}"), r"[0-9]+", "{n}")
-    parts = F.split(F.regexp_replace(shaped, "^/", ""), "/")
-    return F.when(F.size(parts) > DEPTH, F.array_append(F.slice(parts, 1, DEPTH), F.lit("**"))).otherwise(parts)
+    return F.split(F.regexp_replace(shaped, "^/", ""), "/")
 
 
-def _levels(paths: DataFrame) -> int:
-    return paths.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).first()[0]
+def _levels(state: DataFrame, children: int) -> list[int]:
+    """The levels at which some host has that many different segments; at the others there is nothing to do.  One number a level."""
+    segments = state.select("host", F.posexplode("template").alias("level", "segment"))
+    found = segments.groupBy("host", "level").agg(F.count_distinct("segment").alias("n")).filter(F.col("n") >= children)
+    return sorted(r["level"] for r in found.select("level").distinct().collect())
 
 
-def _general(paths: DataFrame) -> DataFrame:
-    """Wildcards for variable segments, level by level from the root: adds ``template`` to rows of (host, shape)."""
-    state = paths.withColumn("template", F.expr("CAST(array() AS array<string>)"))
-    for level in range(_levels(paths)):
-        segment = F.get("shape", F.lit(level))
-        nodes = (
-            state.filter(segment.isNotNull())
-            .groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("n"))
-            .groupBy("host", "template").agg((F.count("*").alias("children")), F.sum("n").alias("n"))
-        )
-        wide = nodes.filter((F.col("children") >= MANY) & (F.col("n") <= FEW * F.col("children"))).select("host", "template", F.lit(True).alias("wide"))
-        state = written(
-            state.join(wide, ["host", "template"], "left").withColumn(
-                "template",
-                F.when(segment.isNull(), F.col("template")).otherwise(F.array_append("template", F.when(F.col("wide"), F.lit("*")).otherwise(segment))),
-            ).drop("wide"),
-            "templates",
-        )
+def _at(state: DataFrame, level: int) -> DataFrame:
+    """Adds the node at a level (``head``), the ``segment`` there and the ``rest`` below, of rows that are as deep."""
+    return state.withColumns({
+        "head": F.slice("template", 1, level), "segment": F.get("template", F.lit(level)),
+        "rest": F.slice("template", F.lit(level + 2), F.greatest(F.size("template") - (level + 1), F.lit(0))),
+    })
+
+
+def _named(at: DataFrame, names: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows with ``name`` in place of their segment where ``names`` has one for their keys."""
+    template = F.when(F.col("name").isNotNull(), F.concat("head", F.array("name"), "rest")).otherwise(F.col("template"))
+    return at.join(names, keys, "left").withColumn("template", template).select(*columns)
+
+
+def _general(state: DataFrame) -> DataFrame:
+    """Wildcards for variable segments, level by level from the root."""
+    for level in _levels(state, SPARE):
+        at = _at(state, level)
+        children = at.filter("segment IS NOT NULL").groupBy("host", "head", "segment").agg(F.sum("n").alias("n"))
+        nodes = children.groupBy("host", "head").agg(F.sum("n").alias("all"))
+        rare = children.join(nodes, ["host", "head"]).filter(F.col("n") * COMMON < F.col("all")).select("host", "head", "segment", "n")
+        met = F.sum(F.col("n") * (F.col("n") - 1)) + 2 * SPARE
+        wide = rare.groupBy("host", "head").agg(met.alias("met"), F.sum("n").alias("all")).filter(F.col("met") * COMMON <= F.col("all") * (F.col("all") - 1))
+        names = rare.join(wide, ["host", "head"], "left_semi").select("host", "head", "segment", F.lit("*").alias("name"))
+        state = written(_named(at, names, ["host", "head", "segment"], state.columns), "templates")
     return state
 
 
 def _merged(state: DataFrame) -> DataFrame:
-    """Branches below one node that lead to the same rest and whose labels do not set them apart are merged.
+    """Branches below one node that are alike are merged where they lead to the same rest, level by level from the root.
 
-    A branch with labels is held against all its labelled siblings together, by the difference of two shares; those
-    that agree share ``*``, the others stay by themselves.  Nothing says that a branch without labels is like
-    one that has some, so such branches share ``?``.
+    A branch with labels is on the side of most of them (accepted if they are even).  One without is held against both
+    sides by what lies below it: each rest points to a side by the share of the side's urls that have it, against
+    the same share of the other side.  It joins the side to which ``LIKE`` of its urls point, and none if rests are
+    common to both or not known.  Branches of one side and rest become ``*-`` (rejected) or ``*+``.
     """
-    for level in range(_levels(state)):
-        segment = F.get("template", F.lit(level))
-        rest = F.slice("template", F.lit(level + 2), F.greatest(F.size("template") - (level + 1), F.lit(0)))
-        head = F.slice("template", 1, level)
-        at = state.withColumns({"head": head, "segment": segment, "rest": rest})
-        branches = at.filter("segment NOT IN ('*', '**')").groupBy("host", "head", "rest", "segment").agg(
-            F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")
+    for level in _levels(state, 2):
+        at = _at(state, level)
+        node, branch = ["host", "head"], ["host", "head", "segment"]
+        cells = at.filter("segment IS NOT NULL").groupBy(*branch, "rest").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")])
+        branches = cells.groupBy(*branch).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "labelled")])
+        side = F.when(F.col("all_labelled") > 0, F.when(2 * F.col("all_bad") > F.col("all_labelled"), F.lit("*-")).otherwise(F.lit("*+")))
+        cells = written(cells.join(branches.withColumn("side", side), branch), "branches")
+        sums = [F.sum(F.when(F.col("side") == name, F.col("n")).otherwise(0)).alias(c) for c, name in (("minus", "*-"), ("plus", "*+"))]
+        known = cells.filter("side IS NOT NULL")
+        below = known.groupBy(*node, "rest").agg(*sums).join(
+            known.groupBy(*node).agg(*[s.alias(f"all_{c}") for s, c in zip(sums, ("minus", "plus"), strict=True)]), node
         )
-        pool = branches.groupBy("host", "head", "rest").agg(
-            F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled")
-        )
-        others = F.col("all_labelled") - F.col("labelled")
-        share = F.col("all_bad") / F.col("all_labelled")
-        spread = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others))
-        apart = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / others) > Z * spread
-        similar = branches.join(pool, ["host", "head", "rest"]).select(
-            "host", "head", "rest", "segment",
-            F.when(F.col("labelled") == 0, F.lit("?")).when((others > 0) & ~apart, F.lit("*")).alias("shared"),
-        )
-        state = written(
-            at.join(similar, ["host", "head", "rest", "segment"], "left").withColumn(
-                "template",
-                F.when(F.col("shared").isNotNull(), F.concat("head", F.array("shared"), "rest")).otherwise(F.col("template")),
-            ).select(*state.columns),
-            "merged",
+        minus = F.coalesce(F.try_divide("minus", "all_minus"), F.lit(0.0))
+        plus = F.coalesce(F.try_divide("plus", "all_plus"), F.lit(0.0))
+        points = below.select(*node, "rest", (minus / (minus + plus)).alias("to_minus"))
+        like = (
+            cells.filter("side IS NULL").join(points, [*node, "rest"]).groupBy(*branch)
+            .agg((F.sum(F.col("n") * F.col("to_minus")) / F.first("all_n")).alias("minus"), (F.sum(F.col("n") * (1 - F.col("to_minus"))) / F.first("all_n")).alias("plus"))
+            .select(*branch, F.when(F.col("minus") >= LIKE, F.lit("*-")).when(F.col("plus") >= LIKE, F.lit("*+")).alias("found"))
         )
+        sided = cells.join(like, branch, "left").withColumn("name", F.coalesce("side", "found")).filter("name IS NOT NULL")
+        several = sided.groupBy(*node, "rest", "name").agg(F.count("*").alias("branches")).filter("branches > 1")
+        names = sided.join(several, [*node, "rest", "name"], "left_semi").select(*branch, "rest", "name")
+        state = written(_named(at, names, [*branch, "rest"], state.columns), "merged")
     return state
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """(host, shape, template, labelled, bad_share, rejected) for each host and shape of path.
 
-    ``urls`` has host, path and ``bad`` (1 rejected, 0 accepted, NULL unlabelled).  The share of rejected labels
-    of a template is smoothed with the share among all labels, at the weight of four.  A template without labels has
-    that share alone (0 without any label at all) and is not rejected: nothing speaks against it.
+    ``urls`` has host, path and ``bad`` (1 rejected, 0 accepted, NULL unlabelled).  The share of rejected labels of a
+    template is smoothed with that of its parent's other templates, this with that of the host's others, and this with
+    that among all labels (0 without any), each at the weight of four.  A template without labels is not rejected.
+    There is no limit on depth; a level at which no host branches costs no job.
     """
     paths = urls.groupBy("host", _shapes(F.col("path")).alias("shape")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled")
     )
-    merged = _merged(_general(written(paths, "paths")))
+    merged = _merged(_general(written(paths.withColumn("template", F.col("shape")), "paths")))
+    totals = [F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")]
     prior = merged.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("prior")).select("prior").scalar()
-    judged = merged.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled")).withColumn(
-        "bad_share", (F.col("all_bad") + WEIGHT * prior) / (F.col("all_labelled") + WEIGHT)
-    )
+    templates = merged.groupBy("host", "template").agg(*totals).withColumn("parent", F.slice("template", F.lit(1), F.size("template") - 1))
+    for keys, name in ((["host"], "host"), (["host", "parent"], "parent")):
+        above = templates.groupBy(*keys).agg(F.sum("bad").alias(f"{name}_bad"), F.sum("labelled").alias(f"{name}_labelled"))
+        templates = templates.join(above, keys)
+
+    def smoothed(bad: Column, labelled: Column, share: Column) -> Column:
+        return (bad + WEIGHT * share) / (labelled + WEIGHT)
+
+    share = smoothed(F.col("host_bad") - F.col("parent_bad"), F.col("host_labelled") - F.col("parent_labelled"), prior)
+    share = smoothed(F.col("parent_bad") - F.col("bad"), F.col("parent_labelled") - F.col("labelled"), share)
+    judged = templates.select("host", "template", F.col("labelled").alias("all_labelled"), smoothed(F.col("bad"), F.col("labelled"), share).alias("bad_share"))
     return merged.join(judged, ["host", "template"]).select(
         "host", "shape", F.array_join("template", "/").alias("template"), F.col("all_labelled").alias("labelled"), "bad_share", ((F.col("all_labelled") > 0) & (F.col("bad_share") >= REJECT)).alias("rejected")
     )

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import time
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -189,3 +191,108 @@ def test_templates_learn_from_labels(spark):
     assert len({x["template"] for x in got if x["shape"][0] == "user"}) == 1
     # against the plain share: every shape is in one template, and its share is that of the template's labels
     assert len({(x["host"], tuple(x["shape"])) for x in got}) == len(got)
+
+
+def plain_templates(rows):
+    """The tree written out in Python: {(host, shape): (template, labelled, share, rejected)}."""
+    pt, shapes = path_templates, {}
+    for host, path, bad in rows:
+        found = shapes.setdefault((host, tuple(re.sub("[0-9]+", "{n}", path.removeprefix("/")).split("/"))), [0, 0, 0])
+        found[0], found[1], found[2] = found[0] + 1, found[1] + (bad or 0), found[2] + (bad is not None)
+    template = {k: k[1] for k in shapes}
+    depth = max(len(k[1]) for k in shapes)
+
+    def nodes(level):
+        found = defaultdict(lambda: defaultdict(list))
+        for k in shapes:
+            if len(template[k]) > level:
+                found[k[0], template[k][:level]][template[k][level]].append(k)
+        return found.items()
+
+    def rename(keys, level, name):
+        for k in keys:
+            template[k] = (*template[k][:level], name, *template[k][level + 1 :])
+
+    for level in range(depth):
+        for _, children in nodes(level):
+            count = {s: sum(shapes[k][0] for k in keys) for s, keys in children.items()}
+            rare = {s: n for s, n in count.items() if n * pt.COMMON < sum(count.values())}
+            total, met = sum(rare.values()), sum(n * (n - 1) for n in rare.values())
+            if rare and (met + 2 * pt.SPARE) * pt.COMMON <= total * (total - 1):
+                for s in rare:
+                    rename(children[s], level, "*")
+    for level in range(depth):
+        for _, children in nodes(level):
+            side, rests = {}, {s: Counter() for s in children}
+            for s, keys in children.items():
+                bad, labelled = sum(shapes[k][1] for k in keys), sum(shapes[k][2] for k in keys)
+                if labelled:
+                    side[s] = "*-" if 2 * bad > labelled else "*+"
+                for k in keys:
+                    rests[s][template[k][level + 1 :]] += shapes[k][0]
+            pool = {x: sum((rests[s] for s in side if side[s] == x), Counter()) for x in ("*-", "*+")}
+            likes = {}
+            for s in children.keys() - side.keys():
+                score = Counter()
+                for rest, n in rests[s].items():
+                    share = {x: pool[x][rest] / pool[x].total() if pool[x] else 0 for x in pool}
+                    for x in pool:
+                        score[x] += n / rests[s].total() * share[x] / sum(share.values()) if sum(share.values()) else 0
+                likes |= {s: x for x in ("*+", "*-") if score[x] >= pt.LIKE}
+            cells = defaultdict(dict)
+            for s, x in (side | likes).items():
+                for k in children[s]:
+                    cells[x, template[k][level + 1 :]].setdefault(s, []).append(k)
+            for (x, _), found in cells.items():
+                if len(found) > 1:
+                    rename([k for keys in found.values() for k in keys], level, x)
+    labels = [(k[0], template[k], *shapes[k][1:]) for k in shapes]
+
+    def total(keep):
+        return sum(x[2] for x in labels if keep(x)), sum(x[3] for x in labels if keep(x))
+
+    def smoothed(counts, share):
+        return (counts[0] + pt.WEIGHT * share) / (counts[1] + pt.WEIGHT)
+
+    bad, labelled = total(lambda x: True)
+    out = {}
+    for k, t in template.items():
+        own = total(lambda x: x[:2] == (k[0], t))
+        share = smoothed(total(lambda x: x[0] == k[0] and x[1][:-1] != t[:-1]), bad / labelled if labelled else 0)
+        share = smoothed(total(lambda x: x[0] == k[0] and x[1][:-1] == t[:-1] and x[1] != t), share)
+        share = smoothed(own, share)
+        out[k] = "/".join(t), own[1], pytest.approx(share), own[1] > 0 and share >= pt.REJECT
+    return out
+
+
+def test_tree_against_plain_python(spark):
+    r, rows = random.Random(4), []
+    for _ in range(1500):
+        host = r.choice(["a.net", "a.net", "b.com", ""])
+        first = r.choice(["de", "en", "x1", "shop", "".join(r.choice("abcdefgh") for _ in range(5))])
+        rest = r.choice([["{}"], ["p", "{}"], ["".join(r.choice("ijkl") for _ in range(4)), "z"], []])
+        bad = {"de": r.choice([1, 1, 1, 0]), "en": r.choice([0, 0, None]), "shop": r.choice([1, None])}.get(first)
+        rows.append((host, "/" + "/".join([first, *rest]).format(r.randint(0, 9999)), bad if host != "b.com" or first == "de" else None))
+    rows += [("deep.org", "/" + "/".join(["d"] * 3000), 1), ("deep.org", "", None), ("deep.org", "//", 0)]
+    got = path_templates.template_verdicts(spark.createDataFrame(rows, "host string, path string, bad int")).collect()
+    want = plain_templates(rows)
+    assert {(x["host"], tuple(x["shape"])): (x["template"], x["labelled"], x["bad_share"], x["rejected"]) for x in got} == want
+    assert len(got) == len(want) and len({x["rejected"] for x in got}) == 2
+
+
+def test_branches_without_labels_follow_those_they_are_like(spark):
+    rows = []
+    for i in range(30):
+        rows += [("a.net", f"/pills/{i}/buy/now.html", 1), ("a.net", f"/casino/{i}/buy/now.html", None)]
+        rows += [("a.net", f"/news/2024/{i}/story", 0), ("a.net", f"/sport/2024/{i}/story", None), ("a.net", f"/wiki/{i}", None)]
+        rows += [("b.net", f"/casino/{i}/buy/now.html", None)]
+    got = path_templates.template_verdicts(spark.createDataFrame(rows, "host string, path string, bad int")).collect()
+    assert {(x["host"], x["shape"][0]) for x in got if x["rejected"]} == {("a.net", "pills"), ("a.net", "casino")}
+
+
+def test_segments_are_judged_alike_at_every_size():
+    """A rare segment among few stays a name, names of users are variable, however many urls there are."""
+    r = random.Random(5)
+    for size in (400, 4000, 40_000):
+        rows = [("a.net", f"/{r.choice(['news', 'shop'])}/{''.join(r.choice('abcdef') for _ in range(4))}", None) for _ in range(size)]
+        assert {x[0] for x in plain_templates(rows).values()} == {"news/*", "shop/*"}
