@@ -4,10 +4,12 @@ A turn is ``### role ###``, a line feed, the text and ``</turn>``, a line feed.
 stands before every backslash, every ``#`` and the slash of ``</turn>``, so no control string occurs there, and taking
 away one backslash of each pair gives the text back.
 
-Prefix sums of the turns' tokens choose the windows: a turn belongs to the cell of ``stride`` tokens in which it
-ends.  The sums come from ordered ranges, so a conversation with a large share of all turns is spread over many
-tasks.  A window begins with the conversation's system turn and the last turns of the window before, up to ``history``
-tokens; what is repeated is masked, so that every assistant text is a target once.
+Prefix sums of the turns' tokens choose the windows.  A conversation that fits the budget is one window.  Of a longer one,
+what the system turn and the history leave of the budget is the space of a window: a turn belongs to the cell, of three
+quarters of the space, in which it ends, and one longer than a quarter stands in a window of its own.  So a cell's turns
+never take more than the space; beside a turn of its own the history gets what is left.  A window passes the budget only
+where its one new turn and the system turn do.  The sums come from ordered ranges, so a conversation with a large share of
+all turns is spread over many tasks.  What a window repeats is masked, so that every assistant text is a target once.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ _HEAD, _HEAD_END = "### ", " ###\n"
 
 @dataclass(frozen=True)
 class Budget:
-    """``tokens`` holds for windows of turns of up to ``stride`` tokens each; a longer turn is never cut."""
+    """``tokens`` holds for every window, but where the system turn and one other alone are longer; no turn is cut.
+
+    A system turn over half the budget is repeated all the same; the turns beside it then come one to a window where
+    they have to.
+    """
 
     tokens: int = 4096
-    stride: int = 1280
     history: int = 512
     chars_per_token: int = 4
 
@@ -61,23 +66,37 @@ def format_windows(conversations: DataFrame, budget: Budget = Budget()) -> DataF
         F.concat(F.lit(_HEAD), escape(role), F.lit(_HEAD_END)).alias("head"), escape(text).alias("body"),
     )
     turns = written(turns.withColumn("tokens", F.ceil((F.length("head") + F.length("body") + len(END)) / budget.chars_per_token)), "turns")
-    placed = with_running(turns, ["conv_id"], ["turn", "tie"], {"place": ordinal(), "stop": running_sum(F.col("tokens"))})
+    placed = written(with_running(turns, ["conv_id"], ["turn", "tie"], {"place": ordinal(), "stop": running_sum(F.col("tokens"))}), "placed")
+    whole = placed.groupBy(F.col("conv_id").alias("c")).agg(
+        F.sum("tokens").alias("total"), F.coalesce(F.max(F.when(F.col("system") & (F.col("place") == 1), F.col("tokens"))), F.lit(0)).alias("fixed")
+    )
+    left = F.greatest(budget.tokens - F.col("fixed"), F.lit(0))
+    placed = placed.join(whole, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c").withColumns({
+        "system": F.col("system") & (F.col("place") == 1), "begin": F.col("stop") - F.col("tokens"),
+        "space": F.when(F.col("total") > budget.tokens, left - F.least(F.lit(budget.history), F.floor(left / 8))),
+    })
+    quarter = F.floor(F.col("space") / 4)  # NULL, as is the space, where nothing is cut
+    placed = placed.withColumns({
+        "cell": F.when(F.col("space").isNull(), 0).otherwise(F.floor((F.col("stop") - 1) / F.greatest(F.col("space") - quarter, F.lit(1)))),
+        "alone": F.coalesce((F.col("tokens") > quarter).cast("long"), F.lit(0)),
+    })
     placed = written(
-        placed.withColumns({
-            "begin": F.col("stop") - F.col("tokens"), "window": F.floor((F.col("stop") - 1) / budget.stride),
-            "system": F.col("system") & (F.col("place") == 1),
-        }),
-        "placed",
+        with_running(placed, ["conv_id"], ["place"], {"breaks": running_sum(F.col("alone"))}).withColumn(
+            # neither falls from turn to turn, so the sum changes where one of the two does
+            "window", F.col("cell") + 2 * F.col("breaks") - F.col("alone")
+        ),
+        "cells",
     )
-    spans = placed.groupBy("conv_id", "window").agg(F.min("begin").alias("first"), F.max("stop").alias("last"))
-    later = spans.select(F.col("conv_id").alias("c"), F.col("window").alias("next"), F.col("first").alias("at"))
-    chained = spans.join(later, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("last") == F.col("at"))).select("conv_id", "window", "next", "last")
+    spans = placed.groupBy("conv_id", "window").agg(F.min("begin").alias("first"), F.max("stop").alias("last"), F.max("fixed").alias("fixed"))
+    room = F.least(F.lit(budget.history), budget.tokens - F.col("fixed") - (F.col("last") - F.col("first")))
+    later = spans.select(F.col("conv_id").alias("c"), F.col("window").alias("next"), F.col("first").alias("at"), room.alias("room"))
+    chained = spans.join(later, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("last") == F.col("at"))).select("conv_id", "window", "next", "last", "room")
     part = ["conv_id", "window", "kind", "place", "head", "body", "target", "tokens"]
     fresh = placed.withColumn("kind", F.lit(2)).select(*part)
-    before = chained.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "next", "last")
+    before = chained.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "next", "last", "room")
     history = (
         placed.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
-        .filter((F.col("last") - F.col("begin") <= budget.history) & ~F.col("system"))
+        .filter((F.col("last") - F.col("begin") <= F.col("room")) & ~F.col("system"))
         .withColumns({"window": F.col("next"), "kind": F.lit(1), "target": F.lit(False)}).select(*part)
     )
     system = placed.filter("system").select(F.col("conv_id").alias("c"), F.col("window").alias("own"), "place", "head", "body", "tokens")

@@ -32,12 +32,16 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 s AS (SELECT *, length({_escaped('role')}) + length({_escaped('text')}) + 17 AS chars FROM c),
 t AS (SELECT *, (chars + 3) // 4 AS tokens FROM s),
 p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AND role = 'system' AS sys FROM t),
-w AS (SELECT *, (stop - 1) // 1280 AS win FROM p),
-l AS (SELECT *, max(stop) OVER (PARTITION BY conv_id, win) AS last, max(stop) OVER (PARTITION BY conv_id) AS total FROM w)
+q AS (SELECT *, sum(tokens) OVER c AS total, max(CASE WHEN sys THEN tokens ELSE 0 END) OVER c AS fixed FROM p WINDOW c AS (PARTITION BY conv_id)),
+r AS (SELECT *, CASE WHEN total > 4096 THEN greatest(4096 - fixed, 0) - least(512, greatest(4096 - fixed, 0) // 8) END AS space FROM q),
+a AS (SELECT *, coalesce(CAST(tokens > space // 4 AS BIGINT), 0) AS alone, CASE WHEN space IS NULL THEN 0 ELSE (stop - 1) // greatest(space - space // 4, 1) END AS cell FROM r),
+w AS (SELECT *, cell + 2 * sum(alone) OVER (PARTITION BY conv_id ORDER BY turn) - alone AS win FROM a),
+v AS (SELECT conv_id, win, max(stop) AS last, lead(max(stop) - min(stop - tokens)) OVER (PARTITION BY conv_id ORDER BY win) AS coming FROM w GROUP BY conv_id, win),
+l AS (SELECT w.*, last, coming, least(512, 4096 - fixed - coming) AS room FROM w JOIN v ON w.conv_id = v.conv_id AND w.win = v.win)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
-       CAST(sum(chars) + sum(CASE WHEN last < total AND last - (stop - tokens) <= 512 AND NOT sys THEN chars ELSE 0 END)
+       CAST(sum(chars) + sum(CASE WHEN coming IS NOT NULL AND last - (stop - tokens) <= room AND NOT sys THEN chars ELSE 0 END)
             + sum(CASE WHEN sys THEN chars ELSE 0 END) * (count(DISTINCT win) - 1) AS BIGINT) AS formatted_chars
 FROM l GROUP BY conv_id"""
 

@@ -24,7 +24,7 @@ def conversations():
     return rows
 
 
-@pytest.mark.parametrize("budget", [chat.Budget(), chat.Budget(tokens=200, stride=60, history=30)])
+@pytest.mark.parametrize("budget", [chat.Budget(), chat.Budget(tokens=200, history=30)])
 def test_windows_give_every_turn_back(spark, budget):
     rows = conversations()
     table = spark.createDataFrame([(*r, 0, "w") for r in rows], "conv_id long, turn long, role string, text string, window int, place string").repartition(4)
@@ -41,11 +41,30 @@ def test_windows_give_every_turn_back(spark, budget):
     assert got.keys() == {r[0] for r in rows}
     for w in found:
         assert w["text"].count("</turn>\n") == w["n_turns"]
-        assert not w["over_budget"] or w["n_turns"] - w["n_context"] == 1 or w["tokens"] > budget.tokens
+        marked = w["text"].split("</turn>\n")[:-1]
+        sizes = [-(-(len(m) + len("</turn>\n")) // budget.chars_per_token) for m in marked]
+        assert w["tokens"] == sum(sizes) and w["over_budget"] == (sum(sizes) > budget.tokens)
+        # only a turn that does not fit beside the system turn passes the budget, and then nothing else stands in its window
+        assert sum(sizes) <= budget.tokens or w["n_turns"] == 1 or w["n_turns"] == 2 and marked[0].startswith("### system ###\n")
     first = min((w for w in found if w["conv_id"] == 1), key=lambda w: w["window"])
     assert all(w["text"].startswith(first["text"].split("</turn>\n")[0]) for w in found if w["conv_id"] == 1)
 
 
+def test_turns_that_fit_are_never_over_budget(spark):
+    sizes = {1: [500, 500, 3000, 1100], 2: [1024] * 9, 3: [1, 1025, 1, 4096, 1, 1], 4: [3800, 200, 290, 5, 5, 5], 5: [40] * 300, 6: [40] * 100}
+    rows = []
+    for conv, tokens in sizes.items():
+        for turn, n in enumerate(tokens):
+            role = "system" if conv == 4 and turn == 0 else "assistant"
+            rows.append((conv, turn, role, "x" * (4 * n - len(f"### {role} ###\n</turn>\n"))))
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert not any(w["over_budget"] for w in windows) and max(w["tokens"] for w in windows) <= 4096
+    many = [w for w in windows if w["conv_id"] == 5]
+    assert len(many) == 5 and [w["n_turns"] for w in windows if w["conv_id"] == 6] == [100]
+    assert sum(w["n_context"] > 0 for w in many) == len(many) - 1
+    assert sum(w["n_turns"] - w["n_context"] for w in windows) == len(rows)
+
+
 def test_no_conversations(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.conversation_digests(chat.format_windows(none)).count() == 0
