@@ -20,6 +20,39 @@ def key_owner(presented: DataFrame, keys: DataFrame, users: DataFrame) -> DataFr
     return presented.join(live.join(people, "user_id"), "key_hash", "left").select("key_hash", "user_id", "login", "role")
 
 
+def request_gate(requests: DataFrame, keys: DataFrame, claims: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Who is behind each request, and whether the request may pass.
+
+    ``requests`` has (request_id, header, admin_only), ``keys`` (key_hash, user_id, revoked), ``claims`` the content of access
+    tokens whose signature holds, one row per (token_hash, user_id, purpose, expires_at).  A token that begins with
+    ``pk_`` is looked up as a key only, any other as an access token only.  A token of the sign-on exchange, an expired
+    or revoked one, and a disabled or unknown user give 401, a user without the role 403 where the request asks for it.
+    NULL headers carry no token.  The lookups are resolved to users before requests meet them, so every request
+    meets at most one row, and a token that sends most of the requests is split by adaptive execution.
+    """
+    bearer = F.coalesce(F.col("header").startswith("Bearer "), F.lit(False))
+    token = F.when(bearer, F.regexp_replace(F.substring("header", len("Bearer ") + 1, 2**31 - 1), r"^\s+|\s+$", "")).otherwise("")
+    rows = requests.select("request_id", "admin_only", token.alias("token"))
+    rows = rows.withColumn("token_hash", F.when(F.col("token") != "", F.sha2("token", 256))).withColumn("by_key", F.col("token").startswith("pk_"))
+    sign_on = F.coalesce(F.col("purpose") == "oauth-state", F.lit(False))
+    valid = keys.select(F.col("key_hash").alias("token_hash"), "user_id", F.lit(True).alias("by_key"), (~F.col("revoked")).alias("valid")).unionByName(
+        claims.select("token_hash", "user_id", F.lit(False).alias("by_key"), (~sign_on & (F.col("expires_at") > now)).alias("valid"))
+    )
+    people = users.select(F.col("id").alias("user_id"), "role", "disabled", F.lit(True).alias("known"))
+    known = valid.join(people, "user_id", "left").select("token_hash", "by_key", "user_id", "role", "valid", (F.coalesce("known", F.lit(False)) & ~F.coalesce("disabled", F.lit(False))).alias("may_act"))
+    met = rows.join(known, ["token_hash", "by_key"], "left")
+    reason = (
+        F.when(F.col("token") == "", "no_token")
+        .when(~F.coalesce("valid", F.lit(False)) | (F.col("by_key") & ~F.col("may_act")), F.when(F.col("by_key"), "bad_key").otherwise("bad_token"))
+        .when(~F.col("may_act"), "bad_user")
+        .when(F.col("admin_only") & ~F.coalesce(F.col("role") == "admin", F.lit(False)), "not_admin")
+        .otherwise("passed")
+    )
+    status = F.when(F.col("reason") == "passed", 200).when(F.col("reason") == "not_admin", 403).otherwise(401)
+    judged = met.withColumn("reason", reason).withColumn("status", status)
+    return judged.select("request_id", F.when(F.col("status") != 401, F.col("user_id")).alias("user_id"), "status", "reason")
+
+
 def token_outcome(known: Column, revoked: Column, expires_at: Column, now: Column, disabled: Column) -> Column:
     """What presenting a refresh token leads to; the first rule that applies wins."""
     return (

@@ -660,6 +660,42 @@ def api_key_owners(spark: SparkSession, folder: str) -> DataFrame:
     return A.key_owner(presented, R.api_keys(spark, folder), R.users(spark, folder))
 
 
+@query(
+    "F-42",
+    over("api_keys users", """
+, c AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'error' THEN 'oauth-state' END AS purpose, ts + INTERVAL 15 DAY AS expires_at FROM events),
+r AS (SELECT event_id, event_type = 'purchase' AS admin_only,
+      CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Bearer   ' WHEN 2 THEN 'Basic at_' || event_id WHEN 3 THEN 'Bearer at_' || event_id
+           WHEN 4 THEN 'Bearer  at_' || event_id || ' ' ELSE 'Bearer pk_' || event_id END AS header FROM events),
+t AS (SELECT *, CASE WHEN header LIKE 'Bearer %' THEN trim(substr(header, 8)) ELSE '' END AS token FROM r),
+m AS (SELECT t.*, CASE WHEN token LIKE 'pk\\_%' ESCAPE '\\' THEN k.user_id ELSE c.user_id END AS uid, NOT k.revoked AS key_ok,
+      coalesce(c.purpose, '') <> 'oauth-state' AND c.expires_at > TIMESTAMP '2024-01-31' AS token_ok
+      FROM t LEFT JOIN api_keys k ON k.key_hash = sha256(token) LEFT JOIN c ON 'at_' || c.event_id = token),
+j AS (SELECT m.*, CASE WHEN token = '' THEN 'no_token'
+             WHEN token LIKE 'pk\\_%' ESCAPE '\\' AND (NOT coalesce(key_ok, false) OR coalesce(u.disabled, true)) THEN 'bad_key'
+             WHEN token NOT LIKE 'pk\\_%' ESCAPE '\\' AND NOT coalesce(token_ok, false) THEN 'bad_token'
+             WHEN coalesce(u.disabled, true) THEN 'bad_user' WHEN admin_only AND u.role <> 'admin' THEN 'not_admin' ELSE 'passed' END AS reason
+      FROM m LEFT JOIN users u ON u.id = m.uid)
+SELECT event_id AS request_id, CASE WHEN reason IN ('passed', 'not_admin') THEN uid END AS user_id,
+       CASE reason WHEN 'passed' THEN 200 WHEN 'not_admin' THEN 403 ELSE 401 END AS status, reason FROM j"""),
+)
+def request_gates(spark: SparkSession, folder: str) -> DataFrame:
+    events = R.table(spark, folder, "events")
+    number, kind = R.text_of("event_id"), F.col("event_id") % 6
+    header = (
+        F.when(kind == 1, "Bearer   ").when(kind == 2, F.concat(F.lit("Basic at_"), number)).when(kind == 3, F.concat(F.lit("Bearer at_"), number))
+        .when(kind == 4, F.concat(F.lit("Bearer  at_"), number, F.lit(" "))).when(kind == 5, F.concat(F.lit("Bearer pk_"), number))
+    )
+    requests = events.select(F.col("event_id").alias("request_id"), header.alias("header"), (F.col("event_type") == "purchase").alias("admin_only"))
+    claims = events.select(
+        F.sha2(F.concat(F.lit("at_"), number), 256).alias("token_hash"), R.text_of("user_id").alias("user_id"),
+        F.when(F.col("event_type") == "error", "oauth-state").alias("purpose"),
+        (F.col("ts") + F.make_dt_interval(days=F.lit(15))).alias("expires_at"),
+    )
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return A.request_gate(requests, R.api_keys(spark, folder), claims, R.users(spark, folder), now)
+
+
 @query(
     "J-18 Q-11",
     over("api_keys users", """
