@@ -28,8 +28,10 @@ LINES, SURGE, SHARE = 3, 80, 0.5
 LINKED = 0.6
 #: So many short lines in a row at an end of a passage are entries of a menu.
 ENTRIES = 3
-#: The share of the page's text from which a part is not believed to be no article: by its name, by a name of reader comments.
-MOST, NEARLY_ALL = 0.5, 0.9
+#: The share of the text around it from which a part is not believed to be no article: by its name, by a name of reader comments.
+MOST, NEARLY_ALL = 0.8, 0.9
+#: The share of the text left from which a marked article is believed.
+MARKED = 0.5
 
 # fixed values: elements of the HTML standard
 _BLOCKS = frozenset(
@@ -191,20 +193,24 @@ def page_lines(page: str) -> tuple[list[Line], list[Part]]:
 
 
 def _left_out(lines: list[Line], parts: list[Part], weights: list[int]) -> list[bool]:
-    """Which parts are left out: those named as no article, but for one that holds most of the text, and all that lies in one."""
+    """Which parts are left out: those named as no article, and all that lies in one.
+
+    One that holds most of the text stays, measured against what lies around it in no other such part.
+    """
     sure = [p.most == math.inf for p in parts]
+    own = [0] * (len(parts) + 1)  # the text in no inner part; the last is that in no part at all
     for i, p in enumerate(parts):
         sure[i] |= p.outer >= 0 and sure[p.outer]
-    held, total = [0] * len(parts), 0
     for line, weight in zip(lines, weights, strict=True):
-        if line.part < 0 or not sure[line.part]:
-            total += weight
-            if line.part >= 0:
-                held[line.part] += weight
+        own[line.part] += weight
+    held, around = own[:-1], [own[-1]] * (len(parts) + 1)
     for i in range(len(parts) - 1, -1, -1):
         if parts[i].outer >= 0 and not sure[i]:
             held[parts[i].outer] += held[i]
-    out = [sure[i] or held[i] <= p.most * total or held[i] < SURGE for i, p in enumerate(parts)]
+    for i, p in enumerate(parts):
+        if p.outer >= 0:
+            around[i] = around[p.outer] + own[p.outer]
+    out = [sure[i] or held[i] <= p.most * (held[i] + around[i]) or held[i] < SURGE for i, p in enumerate(parts)]
     for i, p in enumerate(parts):
         out[i] |= p.outer >= 0 and out[p.outer]
     return out
@@ -246,7 +252,7 @@ def main_text(page: str | None) -> str:
     out = _left_out(lines, parts, weights)
     left = [(x, w) for x, w in zip(lines, weights, strict=True) if x.part < 0 or not out[x.part]]
     marked = sum(w for x, w in left if x.article)
-    believed = marked > 0 and marked >= MOST * sum(w for _, w in left)
+    believed = marked > 0 and marked >= MARKED * sum(w for _, w in left)
     if believed:  # what lies outside cuts nothing in two, and lists of links inside are text
         left = [(x, len(x.text)) for x, _ in left if x.article]
     lines, weights = [x for x, _ in left], [w for _, w in left]

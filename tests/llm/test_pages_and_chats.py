@@ -114,6 +114,9 @@ def test_names_are_votes():
     assert html_text.main_text(f"<article>{WRAPPED}{inside}</article>") == WANTED + "\nPrices rose.\nThey had fallen."
     long_comments = "<section class=comments>" + f"<p>{PARAGRAPH}</p>" * 6 + "</section>"
     assert html_text.main_text(f"<div>{WRAPPED}</div>{long_comments}") == WANTED
+    advert = f"<div class=ad>{PARAGRAPH} {PARAGRAPH}</div>"
+    assert html_text.main_text(f"{advert}<article><h1>Short</h1><p>{PARAGRAPH}</p></article>") == f"Short\n{PARAGRAPH}"
+    assert html_text.main_text(f"<div class='site right-sidebar'>{advert}{WRAPPED}{long_comments}</div>") == WANTED
     teasers = "<article><p>Read this</p></article>" * 3
     assert html_text.main_text(f"<div>{WRAPPED}</div><div class=related>{teasers}</div>") == WANTED
 
