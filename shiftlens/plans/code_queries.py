@@ -11,14 +11,14 @@ from ..operators import contracts as K
 from ..operators import migration_plan as M
 from ..session import cut_lineage
 from . import relations as R
-from .catalogue import over, query
+from .catalogue import growing, over
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     return R.source_files(spark, folder).select("repo", "path", "text")
 
 
-@query("E-15 E-14", over("source_files", "SELECT repo, path, j <> 19 AS parses, CASE WHEN j = 19 THEN 1 END AS line FROM source_files"))
+@growing("E-15 E-14", over("source_files", "SELECT repo, path, j <> 19 AS parses, CASE WHEN j = 19 THEN 1 END AS line FROM source_files"))
 def parse_status(spark: SparkSession, folder: str) -> DataFrame:
     return C.parse_status(_files(spark, folder))
 
@@ -37,7 +37,7 @@ _IMPORTS = """
 """
 
 
-@query("E-01 X-03", over("source_files", _IMPORTS + "SELECT repo, path, r[1] AS resolved, r[2] AS name, r[3] AS local FROM i"))
+@growing("E-01 X-03", over("source_files", _IMPORTS + "SELECT repo, path, r[1] AS resolved, r[2] AS name, r[3] AS local FROM i"))
 def import_facts(spark: SparkSession, folder: str) -> DataFrame:
     return C.imports(_files(spark, folder)).select("repo", "path", "resolved", "name", "local")
 
@@ -55,7 +55,7 @@ contract AS (SELECT DISTINCT repo, path, symbol, CASE WHEN symbol = 'bp' THEN 'v
 """
 
 
-@query("J-07 E-01 E-02", over("source_files", _BINDINGS + "SELECT * FROM b"))
+@growing("J-07 E-01 E-02", over("source_files", _BINDINGS + "SELECT * FROM b"))
 def import_bindings(spark: SparkSession, folder: str) -> DataFrame:
     return C.bindings(_files(spark, folder)).drop("seq")
 
@@ -64,17 +64,17 @@ def _used(files: DataFrame) -> DataFrame:
     return C.used_symbols(C.bindings(files), C.references(files))
 
 
-@query("E-04 J-12", over("source_files", _BINDINGS + "SELECT repo, path, symbol, importer AS consumer, local, binding FROM used"))
+@growing("E-04 J-12", over("source_files", _BINDINGS + "SELECT repo, path, symbol, importer AS consumer, local, binding FROM used"))
 def symbol_consumers(spark: SparkSession, folder: str) -> DataFrame:
     return K.consumers(_used(_files(spark, folder)))
 
 
-@query("E-04", over("source_files", _BINDINGS + "SELECT DISTINCT repo, path, symbol FROM used"))
+@growing("E-04", over("source_files", _BINDINGS + "SELECT DISTINCT repo, path, symbol FROM used"))
 def export_contract(spark: SparkSession, folder: str) -> DataFrame:
     return C.export_contract(_used(_files(spark, folder)))
 
 
-@query(
+@growing(
     "E-03",
     over("source_files", _BINDINGS + """
 SELECT b.repo, b.path, importer, CASE WHEN b.path LIKE '%/db.py' AND symbol IS NULL THEN 'db.init_app(app)'
@@ -87,13 +87,13 @@ def call_sites(spark: SparkSession, folder: str) -> DataFrame:
     return C.call_sites(C.bindings(files), files).select("repo", "path", "importer", "line")
 
 
-@query("E-07 E-05", over("source_files", _BINDINGS + "SELECT * FROM contract"))
+@growing("E-07 E-05", over("source_files", _BINDINGS + "SELECT * FROM contract"))
 def interface_contract(spark: SparkSession, folder: str) -> DataFrame:
     files = _files(spark, folder)
     return C.interface_contract(files, _used(files)).select("repo", "path", "symbol", "kind")
 
 
-@query(
+@growing(
     "E-05 E-06",
     over("source_files", """
 SELECT repo, path, name, n AS required_positional, k AS positional_capacity, kw AS keyword_names, g AS is_generator FROM (
@@ -117,12 +117,12 @@ _PLANNED = """
 """
 
 
-@query("F-30 T-05 X-08", over("source_files", _PLANNED + 'SELECT repo, path, role, ord AS "order", subtasks FROM planned'))
+@growing("F-30 T-05 X-08", over("source_files", _PLANNED + 'SELECT repo, path, role, ord AS "order", subtasks FROM planned'))
 def planned_files(spark: SparkSession, folder: str) -> DataFrame:
     return M.planned_files(_files(spark, folder))
 
 
-@query(
+@growing(
     "F-29 F-31",
     over("source_files", "SELECT repo, bool_or(j <= 12) AS matches, bool_or(j BETWEEN 17 AND 18) AS wants_new_modules FROM source_files GROUP BY repo"),
 )
@@ -131,7 +131,7 @@ def repo_traits(spark: SparkSession, folder: str) -> DataFrame:
     return M.matching_repos(files).join(M.wants_new_modules(files), "repo")
 
 
-@query(
+@growing(
     "X-08",
     over("source_files", """SELECT repo, path, j = 0 OR j BETWEEN 1 AND 12 OR j IN (17, 18) AS framework_import, j BETWEEN 2 AND 12 AS route, j = 0 AS app_factory,
          j IN (16, 17, 18) AS test_client, j = 1 AS request_context FROM source_files"""),
@@ -141,7 +141,7 @@ def idiom_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flags.select("repo", "path", "framework_import", "route", "app_factory", "test_client", "request_context")
 
 
-@query(
+@growing(
     "X-09",
     over("source_files", "SELECT repo, path, 'cmd-' || p_brand AS command, 'run_' || CAST(j AS VARCHAR) AS function, 'page.' || CAST(p_size AS VARCHAR) AS endpoint FROM source_files"),
 )
@@ -160,7 +160,7 @@ def command_facts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("repo", "path", "r.*")
 
 
-@query(
+@growing(
     "F-38",
     over("source_files", """SELECT repo, path, 'direct_test_surface' AS surface FROM source_files WHERE j IN (16, 17, 18)
          UNION ALL SELECT repo, path, 'request_context' FROM source_files WHERE j = 1"""),
@@ -169,7 +169,7 @@ def surfaces(spark: SparkSession, folder: str) -> DataFrame:
     return M.surfaces(_files(spark, folder))
 
 
-@query(
+@growing(
     "G-20",
     over("source_files", "SELECT repo, 'direct_test_surface' AS surface, count(*) AS consumers FROM source_files WHERE j IN (16, 17, 18) GROUP BY repo HAVING count(*) >= 2"),
 )
@@ -178,7 +178,7 @@ def surface_requirements(spark: SparkSession, folder: str) -> DataFrame:
     return M.requirements(M.surfaces(files), M.planned_files(files))
 
 
-@query(
+@growing(
     "G-20 U-02",
     """
 SELECT l_suppkey AS owner, 'c' || CAST(l_partkey % 60 AS VARCHAR) AS surface, count(DISTINCT l_orderkey) AS consumers
@@ -215,7 +215,7 @@ def _ownership(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"required": required.select("repo", "surface"), "owners": owners, "declared": declared, "needed": needed}
 
 
-@query(
+@growing(
     "E-22",
     over("source_files", _OWN + """
 SELECT repo, 'direct_test_surface' AS surface, 'owner_count' AS rule, CAST(n AS VARCHAR) AS detail FROM n WHERE n <> 1
@@ -227,7 +227,7 @@ def ownership_violations(spark: SparkSession, folder: str) -> DataFrame:
     return M.ownership_violations(o["required"], o["owners"], o["needed"], o["declared"])
 
 
-@query(
+@growing(
     "E-23",
     over("source_files", _OWN + """
 SELECT repo, owner, path FROM decl UNION SELECT need.repo, n.owner, need.path FROM need JOIN n ON n.repo = need.repo AND n.n = 1"""),
@@ -237,7 +237,7 @@ def completed_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return M.completed_artifacts(o["declared"], o["owners"], o["needed"])[0]
 
 
-@query(
+@growing(
     "E-25",
     over("source_files", """
 , n AS (SELECT unnest(['authentication.py', 'database.py', 'testing.py', 'context.py', 'session.py', 'templating.py', 'runtime_context.py', 'runtime.py', 'compat.py', 'support.py', 'adapters.py']) AS b)
@@ -248,7 +248,7 @@ def allowed_new_paths(spark: SparkSession, folder: str) -> DataFrame:
     return M.allowed_new_paths(files, M.planned_files(files))
 
 
-@query(
+@growing(
     "F-25 E-11",
     over("source_files", """SELECT repo, path, CASE WHEN j = 16 THEN 'adapter_wiring' WHEN j IN (17, 18) THEN 'unsupported_test_seam' ELSE 'unchanged' END AS strategy FROM source_files"""),
 )
@@ -256,7 +256,7 @@ def test_strategies(spark: SparkSession, folder: str) -> DataFrame:
     return M.test_strategy(_files(spark, folder))
 
 
-@query(
+@growing(
     "E-24",
     over("source_files", """
 SELECT repo, path, CAST(2 AS INTEGER) AS line, 'from flask import jsonify' || chr(10) || 'from src.app.runtime_context import g, request as req' AS after
@@ -270,7 +270,7 @@ def test_normalizations(spark: SparkSession, folder: str) -> DataFrame:
     return M.test_normalizations(M.context_imports(files), owners).select("repo", "path", "line", "after")
 
 
-@query(
+@growing(
     "X-16",
     over("source_files", """
 SELECT repo, path, sha256('import pytest' || chr(10) || 'from flask import jsonify' || chr(10) || 'from src.app.runtime_context import g, request as req' || chr(10) || chr(10)
@@ -287,7 +287,7 @@ def normalized_tests(spark: SparkSession, folder: str) -> DataFrame:
     return K.normalized_lines(files, changes).select("repo", "path", F.sha2("text", 256).alias("content_hash"))
 
 
-@query(
+@growing(
     "E-20",
     over("source_files", """
 SELECT repo, path, 'config_key' AS fact, 'KEY_' || replace(p_brand, '#', '_') AS name, NULL AS detail FROM source_files WHERE j = 0
@@ -306,7 +306,7 @@ def _pins(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return K.manifest(C.interface_contract(files, used), M.planned_files(files)), K.consumers(used)
 
 
-@query(
+@growing(
     "E-08 J-11 V-03",
     over("source_files", _BINDINGS + """
 SELECT repo, path, symbol, kind, true AS preserve_shape, kind AS target_kind, CASE WHEN symbol = 'get_db' THEN ['get_db_dep'] ELSE [] END AS companions FROM contract"""),
@@ -316,7 +316,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return pins.select("repo", "path", "symbol", "kind", "preserve_shape", "target_kind", "companions")
 
 
-@query(
+@growing(
     "J-09",
     over("source_files", _BINDINGS + """
 , e AS (SELECT DISTINCT repo, importer AS consumer, path FROM b)
@@ -348,14 +348,14 @@ def _drafts(spark: SparkSession, folder: str) -> DataFrame:
 _ROUTERS = ", d AS (SELECT *, CAST(j AS VARCHAR) AS n FROM source_files WHERE j BETWEEN 2 AND 12)\n"
 
 
-@query("E-14", over("source_files", _ROUTERS + """
+@growing("E-14", over("source_files", _ROUTERS + """
 SELECT repo, path, CAST(NULL AS VARCHAR) AS symbol, 'unparseable' AS rule, '16' AS detail FROM d WHERE p_size % 5 = 4
 UNION ALL SELECT repo, path, NULL, 'unparseable', '1' FROM source_files WHERE j = 19"""))
 def unparseable_drafts(spark: SparkSession, folder: str) -> DataFrame:
     return K.unparseable(_drafts(spark, folder))
 
 
-@query("E-14 U-02", over("source_files", _ROUTERS + """
+@growing("E-14 U-02", over("source_files", _ROUTERS + """
 SELECT repo, path, 'helper_' || n AS symbol, rule, detail FROM d, (SELECT unnest([('required_grew', '1 -> 2'), ('required_keyword_only', 'flag'), ('async_changed', '')]) AS v), LATERAL (SELECT v[1] AS rule, v[2] AS detail) WHERE p_size % 5 = 0
 UNION ALL SELECT repo, path, 'helper_' || n, 'missing', '' FROM d WHERE p_size % 5 = 1
 UNION ALL SELECT repo, path, 'get_db', 'companion_missing', 'get_db_dep' FROM source_files WHERE j = 1"""))
@@ -364,7 +364,7 @@ def definition_violations(spark: SparkSession, folder: str) -> DataFrame:
     return K.definition_violations(pins, _drafts(spark, folder))
 
 
-@query("E-12", over("source_files", _ROUTERS + """
+@growing("E-12", over("source_files", _ROUTERS + """
 SELECT repo, path, 'get_db' AS symbol, 'too_many_positional' AS rule, '9:get_db' AS detail FROM d WHERE p_size % 5 = 2
 UNION ALL SELECT repo, path, 'get_db', 'binding_removed', 'get_db' FROM d WHERE p_size % 5 = 3"""))
 def caller_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,14 +372,14 @@ def caller_violations(spark: SparkSession, folder: str) -> DataFrame:
     return K.caller_violations(pins, taken, _drafts(spark, folder))
 
 
-@query("E-16", over("source_files", _ROUTERS + """
+@growing("E-16", over("source_files", _ROUTERS + """
 SELECT repo, path, 'flash_message' AS symbol, 'undefined_name' AS rule, '' AS detail FROM d WHERE p_size % 5 <> 4
 UNION ALL SELECT repo, path, 'get_db', 'undefined_name', '' FROM d WHERE p_size % 5 = 3"""))
 def undefined_names(spark: SparkSession, folder: str) -> DataFrame:
     return K.undefined_name_violations(_drafts(spark, folder))
 
 
-@query("E-14 G-21", over("source_files", """
+@growing("E-14 G-21", over("source_files", """
 , w AS (SELECT *, 'Store' || CAST(j AS VARCHAR) AS symbol FROM source_files WHERE j BETWEEN 13 AND 15)
 SELECT repo, path, symbol, 'member_not_callable' AS rule, 'name' AS detail FROM w
 UNION ALL SELECT repo, path, symbol, 'member_not_manager', 'rows' FROM w
@@ -394,7 +394,7 @@ def member_violations(spark: SparkSession, folder: str) -> DataFrame:
     return K.member_violations(wanted, _drafts(spark, folder))
 
 
-@query("G-21", over("source_files", """
+@growing("G-21", over("source_files", """
 SELECT DISTINCT repo, 'get' AS member, 'method' AS shape FROM source_files WHERE j = 17 UNION ALL
 SELECT DISTINCT repo, 'args', 'attribute' FROM source_files WHERE j = 2 UNION ALL
 SELECT DISTINCT repo, 'raises', 'context_manager' FROM source_files WHERE j = 17"""))
@@ -404,7 +404,7 @@ def member_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return C.member_uses(files, wanted)
 
 
-@query("N-08", over("source_files", """
+@growing("N-08", over("source_files", """
 SELECT repo, 'src/app/db.py' AS path, 'src/app/m3.py' AS symbol, 'imports_consumer' AS rule, '1' AS detail FROM source_files WHERE j = 1 AND p_size % 2 = 0"""))
 def topology_violations(spark: SparkSession, folder: str) -> DataFrame:
     return K.topology_violations(*_topology(spark, folder))
@@ -419,7 +419,7 @@ def _topology(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return declared, drafts
 
 
-@query("N-09", over("source_files", "SELECT repo, path FROM source_files WHERE j = 1 AND p_size % 2 = 0"))
+@growing("N-09", over("source_files", "SELECT repo, path FROM source_files WHERE j = 1 AND p_size % 2 = 0"))
 def circular_import_targets(spark: SparkSession, folder: str) -> DataFrame:
     declared, drafts = _topology(spark, folder)
     batch = R.source_files(spark, folder).filter("j <= 4").select(
@@ -427,7 +427,7 @@ def circular_import_targets(spark: SparkSession, folder: str) -> DataFrame:
     return K.circular_targets(batch, K.topology_violations(declared, drafts))
 
 
-@query("E-13", over("source_files", """
+@growing("E-13", over("source_files", """
 SELECT repo, path, 'Facade' AS symbol, 'capability_not_imported' AS rule, 'src/app/testing.py' AS detail FROM source_files WHERE j = 0 AND p_size % 3 = 0
 UNION ALL SELECT repo, path, 'Facade', 'capability_not_built', 'src/app/testing.py' FROM source_files WHERE j = 0 AND p_size % 3 = 1"""))
 def capability_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -443,7 +443,7 @@ def capability_violations(spark: SparkSession, folder: str) -> DataFrame:
 # ----------------------------------------------------------------------------- test oracle
 
 
-@query("E-11 E-09 E-10", over("source_files", """
+@growing("E-11 E-09 E-10", over("source_files", """
 SELECT repo, path, CASE WHEN j = 16 THEN 'adapter_wiring' ELSE 'unsupported_test_seam' END AS strategy, CAST(CASE WHEN j = 16 THEN 0 ELSE 2 END AS BIGINT) AS tests,
   CAST(CASE WHEN j = 16 THEN 0 ELSE 2 END AS BIGINT) AS assertions, CAST(CASE WHEN j = 16 THEN 1 ELSE 0 END AS BIGINT) AS fixtures FROM source_files WHERE j IN (16, 17, 18)"""))
 def oracle_manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -479,13 +479,13 @@ UNION ALL SELECT repo, path, 'client', 'fixture_changed', '' FROM source_files W
 """
 
 
-@query("J-19 E-09 E-10 U-03", over("source_files", _ORACLE + "SELECT * FROM v"))
+@growing("J-19 E-09 E-10 U-03", over("source_files", _ORACLE + "SELECT * FROM v"))
 def oracle_violations(spark: SparkSession, folder: str) -> DataFrame:
     before = _files(spark, folder).filter("path LIKE 'tests/%'")
     return K.oracle_violations(before, _test_drafts(spark, folder))
 
 
-@query("G-09", over("source_files", _ORACLE + """
+@growing("G-09", over("source_files", _ORACLE + """
 , x AS (SELECT repo, path FROM v GROUP BY ALL)
 SELECT s.repo, count(*) AS protected_files, round_even(count(*) FILTER (x.path IS NULL) / count(*), 4) AS integrity_rate
 FROM source_files s LEFT JOIN x ON x.repo = s.repo AND x.path = s.path WHERE j IN (16, 17, 18) GROUP BY s.repo"""))
@@ -496,7 +496,7 @@ def oracle_integrity(spark: SparkSession, folder: str) -> DataFrame:
     return K.integrity_or_one(files.select("repo").distinct(), rates)
 
 
-@query("E-18", over("source_files", _ROUTERS + """
+@growing("E-18", over("source_files", _ROUTERS + """
 SELECT repo, path, count(*) AS violations FROM (
   SELECT repo, path FROM d WHERE p_size % 5 = 4 UNION ALL SELECT repo, path FROM source_files WHERE j IN (19, 1)
   UNION ALL SELECT repo, path FROM d, range(3) WHERE p_size % 5 = 0 UNION ALL SELECT repo, path FROM d WHERE p_size % 5 IN (1, 2, 3)
@@ -513,7 +513,7 @@ def draft_violation_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("repo", "path").agg(F.count("*").alias("violations"))
 
 
-@query("E-19", """
+@growing("E-19", """
 WITH d AS (SELECT doc_id, 1 AS draft, doc_id % 3 <> 0 AS parses, doc_id % 5 AS n FROM labels UNION ALL SELECT doc_id, 2, doc_id % 4 <> 0, doc_id % 7 FROM labels),
 p AS (SELECT a.doc_id, a.parses AS p1, b.parses AS p2, a.n AS n1, b.n AS n2 FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.draft = 1 AND b.draft = 2)
 SELECT doc_id, CASE WHEN NOT p2 THEN 1 WHEN NOT p1 THEN 2 WHEN n2 <= n1 THEN 2 ELSE 1 END AS draft FROM p""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import plan_completion as PC
 from . import relations as R
-from .catalogue import query
+from .catalogue import growing
 
 _BITS = 1 << 17
 _RUNTIME, _COMPAT, _TESTING, _TEMPLATES = "src/app/runtime.py", "src/app/compat.py", "src/app/testing.py", "src/app/templating.py"
@@ -28,7 +28,7 @@ def _facts_of(rows: DataFrame, columns: list[str], some: list[tuple]) -> DataFra
 
 
 def _proposals(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    rows, b, yes = R.table(spark, folder, "part").select("p_partkey"), _bit, F.lit(True)
+    rows, b, yes = R.spread(R.table(spark, folder, "part").select("p_partkey")), _bit, F.lit(True)
     facts = _facts_of(rows, ["owner", "relation", "name", "value"], [
         (_RUNTIME, "capability", "request_context", "", yes), (_RUNTIME, "capability", "session_and_flash", "", b(1)),
         (_RUNTIME, "export", "Ctx", "class", b(2)), (_RUNTIME, "member", "dispatch", "Ctx", b(2) & b(3)), (_RUNTIME, "member", "extra", "Ctx", b(2) & b(4)),
@@ -76,7 +76,7 @@ UNION ALL SELECT repo, ts, 'add', 'dependency', rt, '', 'test_dependency', 2 FRO
 UNION ALL SELECT repo, tp, 'add', 'dependency', rt, '', 'template_dependency', 2 FROM d WHERE solo"""
 
 
-@query("E-23", _PLANS_SQL + """
+@growing("E-23", _PLANS_SQL + """
 SELECT repo, rt AS owner, 'capability' AS relation, 'request_context' AS name, '' AS value FROM d
 UNION ALL SELECT repo, rt, 'capability', 'session_and_flash', '' FROM d WHERE b1
 UNION ALL SELECT repo, cp, 'capability', 'request_context', '' FROM d WHERE b8
@@ -113,7 +113,7 @@ def completed_plans(spark: SparkSession, folder: str) -> DataFrame:
     return PC.completed(p["facts"], p["needs"], p["factories"])[0]
 
 
-@query("E-23", _PLANS_SQL + _LOG_SQL)
+@growing("E-23", _PLANS_SQL + _LOG_SQL)
 def plan_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The log of the completion: each addition and removal with its rule."""
     p = _proposals(spark, folder)
@@ -124,7 +124,7 @@ def _listed(action: str, relation: str, text: str) -> str:
     return f"coalesce(list_sort(list_distinct(list({text}) FILTER (action = '{action}' AND relation = '{relation}'))), [])"
 
 
-@query("E-23", f"""{_PLANS_SQL}, log AS ({_LOG_SQL})
+@growing("E-23", f"""{_PLANS_SQL}, log AS ({_LOG_SQL})
 SELECT repo, owner, {_listed('add', 'consumer', 'name')} AS added_consumers, {_listed('add', 'export', 'name')} AS added_exports, {_listed('remove', 'export', 'name')} AS removed_exports,
        {_listed('add', 'member', "value || '.' || name")} AS added_members, {_listed('remove', 'member', "value || '.' || name")} AS removed_members,
        {_listed('add', 'dependency', 'name')} AS added_dependencies FROM log GROUP BY repo, owner""")
@@ -134,7 +134,7 @@ def plan_audit(spark: SparkSession, folder: str) -> DataFrame:
     return PC.audit(PC.completed(p["facts"], p["needs"], p["factories"])[1])
 
 
-@query("E-22", _PLANS_SQL + """
+@growing("E-22", _PLANS_SQL + """
 SELECT repo, 'tests/test_rt.py' AS subject, 'test_path' AS rule, '' AS detail FROM d WHERE b13
 UNION ALL SELECT repo, cp, 'path_not_allowed', '' FROM d WHERE b8
 UNION ALL SELECT repo, 'request_context', 'owner_count', '2' FROM d WHERE b8

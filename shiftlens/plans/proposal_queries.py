@@ -14,12 +14,12 @@ from ..operators import seams as W
 from ..sources import job_reports as J
 from ..sources import sinks as S
 from . import relations as R
-from .catalogue import over, query
+from .catalogue import growing, over
 from .evaluation import _METRICS_SQL
 from .code_queries import _files, _pins
 
 
-@query("X-14 X-15 N-06", """
+@growing("X-14 X-15 N-06", """
 WITH e AS (SELECT CAST(event_id AS VARCHAR) AS plan_id, event_id % 12 AS m FROM events)
 SELECT plan_id, CAST(CASE WHEN m IN (1, 2, 3) THEN NULL ELSE 0 END AS INTEGER) AS item,
   CASE m WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_a_list' WHEN 3 THEN 'too_many_artifacts' WHEN 4 THEN 'path_unsafe' WHEN 5 THEN 'no_exports' WHEN 6 THEN 'role_not_identifier'
@@ -73,21 +73,21 @@ def _replies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return replies, replies.select("reply_id", F.explode(F.array(F.lit("a.py"), F.lit("b.py"))).alias("path"))
 
 
-@query("X-05", _REPLIES + """
+@growing("X-05", _REPLIES + """
 SELECT reply_id, 'a.py' AS path, body FROM r UNION ALL
 SELECT reply_id, CASE turn % 3 WHEN 0 THEN 'a.py' WHEN 1 THEN 'b.py' ELSE 'x.py' END, body FROM r""")
 def cluster_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return X.cluster_files(*_replies(spark, folder))[0]
 
 
-@query("X-05 U-02", _REPLIES + """
+@growing("X-05 U-02", _REPLIES + """
 SELECT reply_id, 'a.py' AS path, 'duplicate' AS rule FROM r WHERE turn % 3 = 0 UNION ALL SELECT reply_id, 'b.py', 'missing' FROM r WHERE turn % 3 <> 1
 UNION ALL SELECT reply_id, 'x.py', 'unexpected' FROM r WHERE turn % 3 = 2""")
 def cluster_problems(spark: SparkSession, folder: str) -> DataFrame:
     return X.cluster_files(*_replies(spark, folder))[1]
 
 
-@query("F-39", """
+@growing("F-39", """
 SELECT CAST(event_id AS VARCHAR) AS id, unnest(['tests/test_' || event_type || '.py', 'src/a_test.py']) AS test FROM events""")
 def affected_tests(spark: SparkSession, folder: str) -> DataFrame:
     document = F.concat(
@@ -97,7 +97,7 @@ def affected_tests(spark: SparkSession, folder: str) -> DataFrame:
     return X.test_files_in(results, "/work/r")
 
 
-@query("X-22", """
+@growing("X-22", """
 SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN ['inject_fault', 'ref', 'user'] ELSE ['ref', 'user'] END) AS key,
        unnest(CASE WHEN event_id % 2 = 0 THEN ['bad_patch', event_type, CAST(user_id AS VARCHAR)] ELSE [event_type, CAST(user_id AS VARCHAR)] END) AS value FROM events""")
 def job_configs(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +110,7 @@ def job_configs(spark: SparkSession, folder: str) -> DataFrame:
     return R.table(spark, folder, "events").select("event_id", F.explode(merged).alias("key", "value"))
 
 
-@query("S-09 K-14", over("runs", """
+@growing("S-09 K-14", over("runs", """
 SELECT id AS job_id, tasks_total, tasks_done, tasks_skipped, recover_visits, CAST(0 AS INTEGER) AS recover_budget_used, escalation_attempted, escalation_rescued,
        CAST(0 AS INTEGER) AS no_progress_retries, llm_calls, cost_usd, CAST(0 AS DOUBLE) AS oracle_integrity_rate, CASE WHEN status = 'green' THEN 'success' ELSE 'failed' END AS migration_outcome
 FROM runs"""))
@@ -125,14 +125,14 @@ def report_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return J.flat(J.parsed(J.written(reports)))
 
 
-@query("K-13 K-07", over("runs", f"""
+@growing("K-13 K-07", over("runs", f"""
 SELECT corpus_name, metric, '| ' || corpus_name || ' | ' || scenario || ' | ' || metric || ' | ' || CAST(k AS VARCHAR) || ' | ' || printf('%.4f', mean) || ' | ' || printf('%.6f', variance) || ' |' AS line
 FROM ({_METRICS_SQL})"""))
 def metric_lines(spark: SparkSession, folder: str) -> DataFrame:
     return S.metric_lines(E.cell_metrics(R.runs(spark, folder))).select("corpus_name", "metric", "line")
 
 
-@query("E-21 E-20", over("source_files", """
+@growing("E-21 E-20", over("source_files", """
 SELECT repo, 'application_factory' AS kind, path, 'KEY_' || replace(p_brand, '#', '_') AS name, CAST(NULL AS VARCHAR) AS detail FROM source_files WHERE j = 0
 UNION ALL SELECT repo, 'application_factory', path, 'create_app', 'config=None' FROM source_files WHERE j = 0
 UNION ALL SELECT repo, 'route_names', path, 'view_' || CAST(j AS VARCHAR), '/x' || CAST(j AS VARCHAR) FROM source_files WHERE j BETWEEN 2 AND 12
@@ -143,7 +143,7 @@ def seam_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return W.decisions(files, M.planned_files(files))
 
 
-@query("E-17", over("source_files", """
+@growing("E-17", over("source_files", """
 , d AS (SELECT *, p_size % 4 AS s FROM source_files WHERE j BETWEEN 2 AND 12)
 SELECT repo, path, 'flask' AS symbol, 'package_unavailable' AS rule, '1' AS detail FROM d WHERE s = 0
 UNION ALL SELECT repo, path, 'errorhandler', 'router_lacks_member', '5' FROM d WHERE s = 1
@@ -161,7 +161,7 @@ def seam_violations(spark: SparkSession, folder: str) -> DataFrame:
     return W.draft_violations(drafts, seam, local)
 
 
-@query("E-27", over("source_files", """
+@growing("E-27", over("source_files", """
 , x AS (SELECT repo, list(j) AS js FROM source_files GROUP BY repo),
 f AS (SELECT repo, j, path, nxt, js FROM source_files JOIN x USING (repo)),
 pin AS (SELECT repo, path AS owner, 'create_app [function] def create_app(config=None)' AS what FROM f WHERE j = 0 AND list_contains(js, 16)

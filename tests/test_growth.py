@@ -1,11 +1,32 @@
 """What one process holds does not grow with the tables."""
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+import __spark_entry__ as entry
 from shiftlens.functions import syntax as X
 from shiftlens.operators import code_facts as C
+from shiftlens.plans import relations as R
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["contract_owners", "contract_targets", "traceback_leaves", "call_sites", "symbol_consumers", "caller_violations", "proposal_violations"])
+def test_no_broadcast_by_the_size_of_the_files(spark, name):
+    before = dict(spark.conf.getAll)
+    planned = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in planned and "Broadcast" not in planned
+    assert dict(spark.conf.getAll) == before
+
+
+def test_small_sides_are_still_broadcast_once_measured(spark):
+    found = entry.queries()["call_sites"](spark, FOLDER)
+    found.collect()
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
 
 def test_facts_leave_python_in_batches():
     arrow = to_arrow_schema(StructType.fromDDL("repo string, path string, seq int, " + X.NODES))
@@ -13,3 +34,9 @@ def test_facts_leave_python_in_batches():
     batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 201, "path": [str(i) for i in range(201)], "text": texts})
     sizes = [b.num_rows for b in C.read_facts(iter([batch]), X.nodes, arrow, 50)]
     assert sum(sizes) == 200 * 7 and max(sizes) <= 50 + 7
+
+
+def test_tasks_grow_with_rows(spark):
+    assert R.spread(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(40 * R.ROWS_PER_TASK).select(F.col("id"))
+    assert R.spread(many).rdd.getNumPartitions() == 40
