@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import cut_lineage
 from . import code_facts as C
@@ -310,6 +312,21 @@ def migration_units(planned: DataFrame, deps: DataFrame, owners: DataFrame, invo
     return usable.join(numbered.select("repo", "owner", unit_id.alias("unit_id")), ["repo", "owner"]).select("repo", "unit_id", "path")
 
 
+def _merged(rows: list[dict], limit: int) -> Iterator[tuple[int, int, str]]:
+    """(is_cut, rank, path) of one cluster's sets once its cuts have been merged in, the lowest rank first."""
+    found: dict = {}
+    for r in rows:
+        found.setdefault((r["is_cut"], r["rank"]), set()).add(r["path"])
+    merged = [(k, found[k]) for k in sorted(found) if k[0] == 0]
+    for k in sorted(k for k in found if k[0] == 1):
+        touching = [u for u in merged if u[1] & found[k]]
+        together = found[k].union(*[u[1] for u in touching])
+        if len(together) <= limit:
+            merged = [u for u in merged if u not in touching] + [(k, together)]
+    for k, paths in merged:
+        yield from ((*k, p) for p in sorted(paths))
+
+
 def merged_units(units: DataFrame, cuts: DataFrame, members: DataFrame, limit: int = 4) -> DataFrame:
     """Units and coordinated cuts that overlap, merged while they stay small: (repo, unit_id, path).
 
@@ -326,18 +343,17 @@ def merged_units(units: DataFrame, cuts: DataFrame, members: DataFrame, limit: i
     cluster = components(links).select("repo", F.col("node").alias("src"), "component")
     keyed = named.withColumn("src", F.concat(F.lit("s:"), F.col("set_id"))).join(cluster, ["repo", "src"]).drop("src", "set_id")
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        found = {k: list(g["path"]) for k, g in frame.sort_values("path").groupby(["is_cut", "rank"])}
-        merged = [(k, set(v)) for k, v in sorted(found.items()) if k[0] == 0]
-        for k in sorted(k for k in found if k[0] == 1):
-            touching = [u for u in merged if u[1] & set(found[k])]
-            together = set(found[k]).union(*[u[1] for u in touching])
-            if len(together) <= limit:
-                merged = [u for u in merged if u not in touching] + [(k, together)]
-        rows = [(frame["repo"].iloc[0], int(k[0]), int(k[1]), p) for k, paths in merged for p in sorted(paths)]
-        return pd.DataFrame(rows, columns=["repo", "is_cut", "rank", "path"])
-
-    done = keyed.groupBy("repo", "component").applyInPandas(merge, "repo string, is_cut int, rank int, path string")
+    clusters = keyed.groupBy("repo", "component").agg(F.collect_list(F.struct("is_cut", "rank", "path")).alias("rows"))
+    schema = StructType.fromDDL("repo string, is_cut int, rank int, path string")
+    arrow = to_arrow_schema(schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repos, rows = (c.to_pylist() for c in batch.columns)
+            out = [(repo, *row) for repo, members in zip(repos, rows, strict=True) for row in _merged(members, limit)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True) if out else [[]] * 4, arrow, strict=True)], schema=arrow)
+
+    done = clusters.select("repo", "rows").mapInArrow(merge, schema)
     heads = done.select("repo", "is_cut", "rank").distinct()
     numbered = with_running(heads, ["repo"], ["is_cut", "rank"], {"n": ordinal()})
     unit_id = F.concat(F.lit("coordinated-unit-"), F.col("n").cast("string"))

@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 import __spark_entry__ as entry
 from shiftlens.functions import syntax as X
 from shiftlens.operators import code_facts as C
+from shiftlens.operators import cuts as U
+from shiftlens.operators import graphs as G
 from shiftlens.plans import relations as R
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +42,25 @@ def test_tasks_grow_with_rows(spark):
     assert R.spread(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(40 * R.ROWS_PER_TASK).select(F.col("id"))
     assert R.spread(many).rdd.getNumPartitions() == 40
+
+
+def _stored(spark):
+    from pathlib import Path
+
+    from shiftlens.session import use_checkpoint_dir
+
+    return {p.name for p in Path(use_checkpoint_dir(spark).removeprefix("file:")).glob("stored-*")}
+
+
+def test_components_keep_one_round(spark):
+    edges = spark.range(1000).select(F.lit("r").alias("repo"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    before = _stored(spark)
+    found = G.components(edges)
+    assert len(_stored(spark) - before) == 1
+    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(0, 1001)]
+    assert G.components(edges.limit(0)).count() == 0
+
+
+def test_clusters_merge_without_a_frame_each():
+    rows = [{"is_cut": c, "rank": r, "path": p} for c, r, ps in ((0, 1, "ab"), (0, 2, "gh"), (1, 1, "bc"), (1, 2, "xy"), (1, 3, "hijk"), (1, 10, "cd")) for p in ps]
+    assert list(U._merged(rows, 4)) == [(0, 2, p) for p in "gh"] + [(1, 2, p) for p in "xy"] + [(1, 10, p) for p in "abcd"]
