@@ -11,19 +11,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from shiftlens.llm import decontaminate, forest, packing, quality_ratio, weak_toxicity  # noqa: E402
-from shiftlens.llm.base import table  # noqa: E402
+from shiftlens.llm.base import SMALL_BATCHES, table  # noqa: E402
 from shiftlens.session import use_checkpoint_dir  # noqa: E402
 
 
-#: Bytes of rows that a Python worker gets at once; next to the heap of an executor there is little room.
-BATCH_BYTES = 8 << 20
-
-
 def small_batches(stage):
     """The stage, run with batches of bounded bytes."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        for key, value in SMALL_BATCHES.items():
+            spark.conf.set(key, value)
         return stage(spark, docs, sf_dir)
 
     run.__name__, run.__doc__ = stage.__name__, stage.__doc__

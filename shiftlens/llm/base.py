@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from ..session import use_checkpoint_dir
 
+#: Bytes of rows that a Python worker gets at once; next to the heap of an executor there is little room.
+BATCH_BYTES = 8 << 20
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 #: What separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A key with one row in so many counts as hot: its rows meet what belongs to them by broadcast, at most so many keys.

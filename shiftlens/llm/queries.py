@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import beside
 from . import chat, decontaminate, dual_tree, forest, html_text, interpolated_lm, lattice, packing, path_templates, quality_ratio, token_files, weak_toxicity, whitening
-from .base import table
+from .base import SMALL_BATCHES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = run
+    """Register the function, run with batches of bounded bytes."""
+    QUERIES[run.__name__] = wraps(run)(lambda spark, folder: run(beside(spark, SMALL_BATCHES), folder))
     return run
 
 

@@ -28,6 +28,15 @@ def session(app: str = "shiftlens", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def beside(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with the settings of ``spark`` and these; ``spark`` keeps its own."""
+    other = spark.newSession()
+    for key, value in (spark.conf.getAll | settings).items():
+        if spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
 def sized_when_run(spark: SparkSession) -> SparkSession:
     """A session beside ``spark`` in which a join broadcasts a side by the size it turned out to have.
 
@@ -35,14 +44,9 @@ def sized_when_run(spark: SparkSession) -> SparkSession:
     several rows each, that is a small part of what a broadcast would bring to the driver.  Here no side is broadcast
     before it was shuffled and measured; the caller's limit then holds for the measured size.
     """
-    beside = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if spark.conf.isModifiable(key):
-            beside.conf.set(key, value)
     limit = "spark.sql.autoBroadcastJoinThreshold"
-    beside.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or spark.conf.get(limit))
-    beside.conf.set(limit, "-1")
-    return beside
+    measured = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or spark.conf.get(limit)
+    return beside(spark, {"spark.sql.adaptive.autoBroadcastJoinThreshold": measured, limit: "-1"})
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
