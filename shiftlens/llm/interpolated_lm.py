@@ -51,6 +51,12 @@ def _record(columns: dict, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one; a chunk is megabytes, so no two are unpacked at a time."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -104,8 +110,14 @@ def _grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before[first] = _START
         longer = _mix(before * np.uint64(31) + np.uint64(n), single)
         grams.append(longer)
-    keys, which = np.unique(np.concatenate(grams), return_inverse=True)
-    return keys, which.reshape(order, total), first
+    every = np.concatenate(grams)
+    del grams, longer, single, words
+    ranked = np.argsort(every)
+    every = every[ranked]
+    new = np.append(True, every[1:] != every[:-1]) if len(every) else np.zeros(0, bool)
+    which = np.empty(len(every), np.int32)
+    which[ranked] = np.cumsum(new, dtype=np.int32) - 1
+    return every[new], which.reshape(order, total), first
 
 
 def _send(order: int, buckets: int):
@@ -113,7 +125,7 @@ def _send(order: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 keys, which, _ = _grams(row, order)
                 trained = np.repeat(np.array(row["training"], float), row["tokens"])
                 counts = np.zeros(len(keys), np.int64)
@@ -202,7 +214,7 @@ def _cells(order: int, facts: tuple[int, int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 p, code, _ = _estimates(row, order, facts, 1)
                 for estimate in p[1:]:
                     code = code * levels + _level(estimate)
@@ -240,7 +252,7 @@ def _score(order: int, facts: tuple[int, int, int], weights: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 p, frequency, counts = _estimates(row, order, facts, 0)
                 mixed = weights[frequency].T.copy()
                 lengths = np.array(row["tokens"], np.int64)

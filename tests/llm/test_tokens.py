@@ -103,3 +103,27 @@ def test_bounds_and_best_fit():
     assert packing.lower_bound(np.bincount([51] * 5, minlength=101), 100) == 5
     assert packing.lower_bound(np.bincount([34] * 5, minlength=101), 100) == 3
     assert packing.lower_bound(np.zeros(101, int), 100) == 0
+
+
+def test_batches_are_bounded(spark):
+    from shiftlens.llm import base, queries
+
+    folder = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    for name in ("op5_lsh_forest", "op6_deleted_interpolation"):
+        run = queries.QUERIES[name](spark, folder)
+        assert run.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(base.BATCH_BYTES)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_grams_are_ranked_as_by_unique():
+    import numpy as np
+
+    from shiftlens.llm import interpolated_lm as lm
+
+    texts = [b"a b a b c", b"", b"c b a"]
+    row = {"texts": lm._packed(b"".join(texts)), "sizes": [len(t) for t in texts], "tokens": [len(t.split()) + 1 for t in texts]}
+    keys, which, first = lm._grams(row, 3)
+    assert which.dtype == np.int32 and which.shape == (3, 11) and first.tolist() == [0, 6, 7]
+    assert (np.diff(keys.astype(object)) > 0).all()
+    assert len(np.unique(which)) == len(keys) and which[0][0] == which[0][2] == which[0][9]
