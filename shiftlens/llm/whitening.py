@@ -7,7 +7,8 @@ job.  Rayleigh-Ritz on the subspace gives the next approximations, and those who
 locked.  What the driver holds is of the size (numbers of a vector) x (columns of the subspace), whatever the rows.
 
 Vectors become whole numbers first.  A distinct vector is stored once, in blocks of whole numbers less the offset, in as
-few bytes as they need.
+few bytes as they need.  Blocks are filled from few enough partitions that each task of a product has many vectors, so the
+sums that tasks hand on follow the vectors and not the partitions that these came in.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .base import written
 
 SCALE, OFFSET = 64, 1_000_000
-#: Vectors of a stored block.
-BLOCK = 4096
+#: Vectors of a stored block, and of a task.
+BLOCK, TASK = 4096, 1 << 16
 #: Pairs beyond those asked for that take part, columns the subspace may have as a multiple of the pairs, MINRES steps.
 GUARD, WIDEST, STEPS = 4, 3, 10
 #: A residual is at rounding when it is so many times the spacing of doubles at the largest eigenvalue.
@@ -294,6 +295,13 @@ def _whitened(size: int, n: int, sums: list[int], mean: np.ndarray, project: np.
     return run
 
 
+def blocks_of(good: DataFrame, size: int) -> DataFrame:
+    """(n, x): the distinct vectors in blocks, written; the blocks of up to ``TASK`` vectors lie in one partition."""
+    distinct = written(good.mapInArrow(_encoded(size), "x binary").distinct(), "distinct")
+    tasks = max(1, -(-distinct.count() // TASK))
+    return written(distinct.coalesce(tasks).mapInArrow(_blocked(size), "n long, x binary"), "whole")
+
+
 def whitened(embeddings: DataFrame, *, components: int = 16, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error): every vector on the leading components.
 
@@ -311,8 +319,7 @@ def whitened(embeddings: DataFrame, *, components: int = 16, id_column: str = "v
     size = lengths["size"] if lengths else 0
     if not size:
         return spark.createDataFrame([], WHITE)
-    distinct = good.select("vector").mapInArrow(_encoded(size), "x binary").distinct()
-    centred = Centred(written(distinct.mapInArrow(_blocked(size), "n long, x binary"), "whole"), size)
+    centred = Centred(blocks_of(good.select("vector"), size), size)
     trace = float(centred.added(lambda c: np.array([(c * c).sum()]), (1,))[0])
     values, vectors = leading_pairs(centred.times, size, min(components, size)) if trace > 0 else (np.zeros(0), np.zeros((size, 0)))
     if not len(values):

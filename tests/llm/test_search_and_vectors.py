@@ -105,6 +105,16 @@ def test_whitened(spark, size):
     assert np.allclose(white * np.sign((white * want).sum(0)), want, atol=1e-8)  # one sign for all rows
 
 
+def test_tasks_of_a_product_follow_the_vectors(spark):
+    """Vectors come in 40 partitions, held at 40 by the shuffle; they still are one block, whose sum is one task's."""
+    from shiftlens.session import beside
+
+    many = beside(spark, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    rows = vectors(many, [(i, [float(i), float(i % 7)]) for i in range(400)]).repartition(40)
+    blocks = whitening.blocks_of(rows.select(rows["embedding"].alias("vector")), 2)
+    assert [r["n"] for r in blocks.collect()] == [400]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [])], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])]])
 def test_no_variance_no_components(spark, rows):
     assert whitening.whitened(vectors(spark, rows)).collect() == []
