@@ -5,7 +5,7 @@ was seen and are learned by expectation-maximisation on counts from which the to
 
 Texts are written once as compressed chunks of a few megabytes.  A chunk counts its own n-grams as sorted 64-bit hashes
 and deals them to buckets, which are ranges of the hash; a bucket adds up what all chunks have sent and answers each with
-the totals of its own n-grams, in their order.  So an n-gram is moved once per chunk that has it, packed, and no chunk
+what the others have of its n-grams, in their order.  So an n-gram is moved once per chunk that has it, packed, and no chunk
 looks anything up in a table that grows.  There are as many buckets as keep each at about ``KEYS`` hashes.
 """
 
@@ -45,6 +45,15 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, equal bytes together: the upper ones are nearly all zero."""
+    return _packed(numbers.astype("<u4").ravel().view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(_unpacked(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _record(columns: dict, schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "double": pa.float64(), "boolean": pa.bool_()}
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -65,7 +74,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> pa.RecordBatch:
         ids, training, texts, tokens = zip(*held, strict=True)
         return _record(
-            {"chunk": [chunk], "doc_ids": [ids], "training": [training], "sizes": [[len(t) for t in texts]], "tokens": [tokens], "texts": [_packed(b"".join(texts), 3)]}, CHUNKS
+            {"chunk": [chunk], "doc_ids": [ids], "training": [training], "sizes": [[len(t) for t in texts]], "tokens": [tokens], "texts": [_packed(b"".join(texts), 5)]}, CHUNKS
         )
 
     for batch in batches:
@@ -120,6 +129,15 @@ def _grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return every[new], which.reshape(order, total), first
 
 
+def _trained(row: dict, which: np.ndarray, keys: int) -> np.ndarray:
+    """How often a chunk has each of its n-grams in training texts."""
+    trained = np.repeat(np.array(row["training"], bool), row["tokens"])
+    counts = np.zeros(keys, np.int64)
+    for places in which:
+        counts += np.bincount(places[trained], minlength=keys)
+    return counts
+
+
 def _send(order: int, buckets: int):
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
@@ -127,10 +145,7 @@ def _send(order: int, buckets: int):
         for batch in batches:
             for row in _rows(batch):
                 keys, which, _ = _grams(row, order)
-                trained = np.repeat(np.array(row["training"], float), row["tokens"])
-                counts = np.zeros(len(keys), np.int64)
-                for places in which:
-                    counts += np.bincount(places, trained, minlength=len(keys)).astype(np.int64)
+                counts = _trained(row, which, len(keys))
                 word = np.zeros(len(keys), bool)
                 word[which[0]] = True
                 bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
@@ -141,7 +156,7 @@ def _send(order: int, buckets: int):
                 yield _record(
                     {
                         "bucket": full, "chunk": [row["chunk"]] * len(full), "keys": [_packed(s) for s in steps],
-                        "counts": [_packed(counts[c].astype("<u4").tobytes()) for c in cuts], "words": [np.packbits(word[c]).tobytes() for c in cuts],
+                        "counts": [_narrow(counts[c]) for c in cuts], "words": [_packed(np.packbits(word[c]).tobytes()) for c in cuts],
                     },
                     "bucket int, chunk long, keys binary, counts binary, words binary",
                 )
@@ -150,24 +165,28 @@ def _send(order: int, buckets: int):
 
 
 def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
-    """The totals of a bucket, for each chunk in the order of its keys, and how many words were seen in training."""
+    """What all other chunks have of a bucket's n-grams, for each chunk in the order of its keys, and how many words were seen in training.
+
+    A chunk knows its own counts, so those of the others say all: they are 0 for what no other has.
+    """
     keys = [np.cumsum(np.frombuffer(_unpacked(k), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64) for k in rows["keys"]]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(_unpacked(c), "<u4") for c in rows["counts"]])
-    words = np.concatenate([np.unpackbits(np.frombuffer(w, np.uint8), count=len(k)) for w, k in zip(rows["words"], keys, strict=True)]).astype(bool)
+    counts = np.concatenate([_wide(c) for c in rows["counts"]])
+    words = np.concatenate([np.unpackbits(np.frombuffer(_unpacked(w), np.uint8), count=len(k)) for w, k in zip(rows["words"], keys, strict=True)]).astype(bool)
     total = np.bincount(place, counts, minlength=len(every)).astype("<u4")
     word = np.zeros(len(every), bool)
     word[place[words]] = True
     ends = np.cumsum([len(k) for k in keys])
-    answers = [_packed(total[place[e - len(k) : e]].tobytes()) for k, e in zip(keys, ends, strict=True)]
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "totals": answers, "known": [int((word & (total > 0)).sum())] + [0] * (len(rows) - 1)})
+    answers = [_narrow(total[place[e - len(k) : e]] - counts[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)]
+    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "others": answers, "known": [int((word & (total > 0)).sum())] + [0] * (len(rows) - 1)})
 
 
 def _count(order: int):
     def run(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = texts.iloc[0].to_dict()
-        _, which, _ = _grams(row, order)
-        totals = np.frombuffer(b"".join(_unpacked(t) for t in answers.sort_values("bucket")["totals"]), "<u4")
+        keys, which, _ = _grams(row, order)
+        totals = _trained(row, which, len(keys)).astype("<u4")
+        totals += np.concatenate([_wide(t) for t in answers.sort_values("bucket")["others"]])
         return pd.DataFrame({"doc_ids": [row["doc_ids"]], "training": [row["training"]], "tokens": [row["tokens"]], "counts": [_packed(totals[which].tobytes())]})
 
     return run
@@ -293,7 +312,7 @@ def score_texts(docs: DataFrame, *, order: int = 2, folds: int = 10, held_out: i
     ).first()
     buckets = int((sizes["every"] or 0) * order * 0.4 / KEYS) + 1
     sent = chunks.mapInArrow(_send(order, buckets), "bucket int, chunk long, keys binary, counts binary, words binary")
-    answers = written(sent.groupBy("bucket").applyInPandas(_add_up, "chunk long, bucket int, totals binary, known long"), "answers")
+    answers = written(sent.groupBy("bucket").applyInPandas(_add_up, "chunk long, bucket int, others binary, known long"), "answers")
     known = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     facts = (sizes["tokens"] or 0, known, sizes["texts"])
     counted = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_count(order), COUNTED), "counted")

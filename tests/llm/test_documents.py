@@ -8,6 +8,8 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import ODD
 
@@ -147,6 +149,33 @@ def test_levels_and_frequencies_follow_the_tokens():
         assert frequency[0] == math.ceil(2 * math.log2(texts + 1)) < interpolated_lm.classes(1 << 23)
 
 
+def test_packed_counts_are_small_and_whole():
+    """What chunks send and are answered besides hashes: under 3 bits an n-gram each way, and the same totals."""
+    lm, rng = interpolated_lm, np.random.default_rng(1)
+    chunks = []
+    for number in range(4):
+        texts = [b" ".join(b"w%d" % w for w in np.minimum(rng.zipf(1.3, 400), 1 << 20)) for _ in range(60)]
+        chunks.append({
+            "chunk": number, "doc_ids": list(range(60)), "training": [i % 10 > 0 for i in range(60)], "sizes": [len(t) for t in texts],
+            "tokens": [401] * 60, "texts": lm._packed(b"".join(texts)),
+        })
+    sent = [pa.Table.from_batches(lm._send(3, 1)(iter([lm._record({k: [v] for k, v in c.items()}, lm.CHUNKS)]))).to_pandas() for c in chunks]
+    answers = lm._add_up(pd.concat(sent, ignore_index=True))
+    totals: dict[int, int] = {}
+    keys = []
+    for c in chunks:
+        grams, which, _ = lm._grams(c, 3)
+        keys.append(grams)
+        for place, n in enumerate(lm._trained(c, which, len(grams))):
+            totals[grams[place]] = totals.get(grams[place], 0) + int(n)
+    every = sum(map(len, keys))
+    assert sum(len(b) for s in sent for b in (*s["counts"], *s["words"])) * 8 < 3 * every and sum(len(b) for b in answers["others"]) * 8 < 3 * every
+    for c, grams, at in zip(chunks, keys, range(4), strict=True):
+        _, which, _ = lm._grams(c, 3)
+        got = lm._count(3)((at,), pd.DataFrame([c]), answers[answers["chunk"] == at])["counts"][0]
+        assert np.frombuffer(lm._unpacked(got), "<u4").tolist() == [totals[k] for k in grams[which].ravel()]
+
+
 def test_no_rows(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert interpolated_lm.score_texts(empty).count() == 0
