@@ -1,5 +1,7 @@
 """What one process holds does not grow with the tables."""
 
+import ast
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +40,23 @@ def test_facts_leave_python_in_batches():
     assert sum(sizes) == 200 * 7 and max(sizes) <= 50 + 7
 
 
+def test_nodes_write_out_only_what_is_asked(monkeypatch):
+    """Names, dotted names and plain constants are written as by ``ast.unparse`` without it; no text without ``with_text``."""
+    source = "import a\n@a.mark\ndef f(x=-1, *, y='q', z=b'q'):\n    return a.b(x)[y].c, 1.5, None, (lambda: u'k')(1 .real)\n"
+    tree = ast.parse(source)
+    for node in ast.walk(tree):
+        if isinstance(node, ast.expr):
+            assert X._said(node) == ast.unparse(node)
+    whole = list(X.nodes(tree, source))
+    plain = ast.parse("@a.mark\ndef f(x=1, y='q'):\n    return a.b(x, None)\n")
+    said = []
+    monkeypatch.setattr(ast, "unparse", lambda node: said.append(node) or "")
+    assert {r["text"] for r in X.nodes(plain, "") if r["text"]} >= {"a.mark", "x", "None"} and [type(n).__name__ for n in said] == ["arguments", "Call"]
+    said.clear()
+    assert [r | {"text": None} for r in whole] == list(X.nodes(tree, source, with_text=False))
+    assert all(isinstance(n, ast.Attribute) for n in said)
+
+
 def test_tasks_grow_with_rows(spark):
     assert R.spread(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(40 * R.ROWS_PER_TASK).select(F.col("id"))
