@@ -23,6 +23,12 @@ from ..functions import syntax as X
 
 
 def read_facts(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Schema, at_once: int) -> Iterator[pa.RecordBatch]:
+    wanted = arrow.names[3:]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     for batch in batches:
         rows = []
         for repo, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -30,11 +36,11 @@ def read_facts(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Sche
                 tree = ast.parse(text)
             except (SyntaxError, ValueError, RecursionError):
                 continue
-            rows.extend({"repo": repo, "path": path, "seq": i, **row} for i, row in enumerate(read(tree, text)))
+            rows.extend((repo, path, i, *[row[w] for w in wanted]) for i, row in enumerate(read(tree, text)))
             if len(rows) >= at_once:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+                yield batch_of(rows)
                 rows = []
-        yield pa.RecordBatch.from_pylist(rows, arrow)
+        yield batch_of(rows)
 
 
 #: Facts that a task's Python holds at a time, besides those of one file.
@@ -353,11 +359,11 @@ def bindings(files: DataFrame) -> DataFrame:
     ``path`` is the imported file; ``symbol`` is NULL when the whole module is bound.  A file goes by
     the last part of its name too, on purpose: an import that could mean it counts.  All names of a
     file end alike, so that part is the join key; only ``from package import module`` needs the full
-    name.
+    name.  An import asks for both in one join, so that files are parsed once.
     """
-    targets = files.select("repo", "path")
-    named = names_of(targets)
-    tails = named.select("repo", "path", P.last_segment(F.col("name")).alias("tail")).distinct()
+    named = names_of(files.select("repo", "path"))
+    tails = named.select("repo", "path", P.last_segment(F.col("name")).alias("asked")).distinct().withColumn("whole", F.lit(False))
+    known = tails.unionByName(named.select("repo", "path", F.col("name").alias("asked"), F.lit(True).alias("whole")))
     found = imports(files).filter("name <> '*'").withColumnRenamed("path", "importer")
     own = F.col("importer") != F.col("path")
 
@@ -368,24 +374,22 @@ def bindings(files: DataFrame) -> DataFrame:
         .when(absolute, P.last_segment(F.col("resolved")))
         .otherwise(P.last_segment(F.col("name")))
     )
-    symbol = F.when(absolute, F.col("name"))
-    by_tail = (
-        found.withColumn("tail", key)
-        .join(tails, ["repo", "tail"])
-        .filter(own)
-        .select("repo", "path", "importer", symbol.alias("symbol"), "local", "seq")
-    )
     # from package import module
-    submodule = found.filter(absolute).withColumn(
-        "dotted", F.regexp_replace(F.concat_ws(".", "resolved", F.col("name")), r"^\.+", "")
-    )
+    dotted = F.regexp_replace(F.concat_ws(".", "resolved", F.col("name")), r"^\.+", "")
+    asked = F.array_compact(F.array(
+        F.struct(F.lit(False).alias("whole"), key.alias("asked")), F.when(absolute, F.struct(F.lit(True).alias("whole"), dotted.alias("asked")))
+    ))
     hits = (
-        submodule.join(named.withColumnRenamed("name", "dotted"), ["repo", "dotted"])
-        .filter(own & (P.last_segment(F.col("resolved")) != P.last_segment(F.col("dotted"))))
-        .join(reexported(files).select("repo", F.col("module").alias("resolved"), "name"), ["repo", "resolved", "name"], "left_anti")
-        .select("repo", "path", "importer", F.lit(None).cast("string").alias("symbol"), "local", "seq")
+        found.select("repo", "importer", "seq", "resolved", "name", "local", F.when(absolute, F.col("name")).alias("symbol"), F.explode(asked).alias("a"))
+        .select("*", "a.*")
+        .join(known, ["repo", "whole", "asked"])
+        .filter(own & (~F.col("whole") | (P.last_segment(F.col("resolved")) != P.last_segment(F.col("asked")))))
+        .withColumn("package", F.when(F.col("whole"), F.col("resolved")))
+    )
+    symbols = reexported(files).select("repo", F.col("module").alias("package"), "name")
+    return hits.join(symbols, ["repo", "package", "name"], "left_anti").select(
+        "repo", "path", "importer", F.when(~F.col("whole"), F.col("symbol")).alias("symbol"), "local", "seq"
     )
-    return by_tail.unionByName(hits)
 
 
 def planned_imports(files: DataFrame, planned: DataFrame) -> DataFrame:
@@ -399,7 +403,8 @@ def planned_imports(files: DataFrame, planned: DataFrame) -> DataFrame:
         .groupBy("repo", "name")
         .agg(F.max_by("path", F.struct("position", "path")).alias("dep"))
     )
-    found = imports(files.join(planned.select("repo", "path"), ["repo", "path"], "left_semi"))
+    # parsed where the texts are: they are not shuffled, and tasks are not made few by their bytes
+    found = imports(files).join(planned.select("repo", "path"), ["repo", "path"], "left_semi")
     whole = F.regexp_replace(F.concat_ws(".", F.nullif("resolved", F.lit("")), F.col("name")), r"^\.+", "")
     asked = (
         F.when(F.col("is_from") & F.col("module").isNull(), F.array(whole))
@@ -423,16 +428,15 @@ def used_symbols(bound: DataFrame, refs: DataFrame) -> DataFrame:
 
     A symbol import names it; a module import takes the attributes used on it.
     """
-    direct = bound.filter("symbol IS NOT NULL").select(
-        "repo", "path", "symbol", "importer", "local", F.lit("symbol").alias("binding")
-    )
     attributes = refs.filter("owner IS NOT NULL").select(
-        "repo", F.col("path").alias("importer"), F.col("owner").alias("local"), F.col("name").alias("symbol")
+        "repo", F.col("path").alias("importer"), F.col("owner").alias("module"), F.col("name").alias("attribute")
+    ).distinct()
+    # one join for both, so that what is bound is found once
+    named = F.col("symbol").isNotNull()
+    taken = bound.withColumn("module", F.when(~named, F.col("local"))).join(attributes, ["repo", "importer", "module"], "left")
+    return taken.filter(named | F.col("attribute").isNotNull()).select(
+        "repo", "path", F.coalesce("symbol", "attribute").alias("symbol"), "importer", "local", F.when(named, "symbol").otherwise("module").alias("binding")
     ).distinct()
-    through = bound.filter("symbol IS NULL").drop("symbol").join(attributes, ["repo", "importer", "local"]).select(
-        "repo", "path", "symbol", "importer", "local", F.lit("module").alias("binding")
-    )
-    return direct.unionByName(through).distinct()
 
 
 def call_sites(bound: DataFrame, files: DataFrame, limit: int = 3) -> DataFrame:

@@ -303,7 +303,7 @@ def web_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pins(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     used = cut_lineage(_used(files))
-    return K.manifest(C.interface_contract(files, used), M.planned_files(files)), K.consumers(used)
+    return cut_lineage(K.manifest(C.interface_contract(files, used), M.planned_files(files))), K.consumers(used)
 
 
 @growing(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
 ROWS_PER_TASK = 20_000
 
@@ -20,9 +21,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Narrow rows over all cores, before each of them grows into a long text that Python parses.
 
     Real source tables come in enough splits; these rows come from one small file.  The number of tasks grows with the
-    rows, so what one task holds does not.
+    rows, so what one task holds does not.  The narrow rows are cut off here: a filter on the texts would otherwise go below
+    the exchange, to the one task that reads the file, and every branch of a query would read and deal the rows again.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK)))
+    return cut_lineage(df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))))
 
 
 def seconds(value: Column) -> Column:

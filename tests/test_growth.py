@@ -63,6 +63,37 @@ def test_tasks_grow_with_rows(spark):
     assert R.spread(many).rdd.getNumPartitions() == 40
 
 
+def test_no_filter_on_texts_in_the_task_that_reads_the_file(spark):
+    files = R.source_files(spark, FOLDER).filter(F.col("text").rlike("Blueprint"))
+    planned = files._jdf.queryExecution().sparkPlan().toString()
+    assert "Filter" in planned and "Exchange" not in planned and "FileScan" not in planned
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_what_is_bound_is_parsed_once(spark):
+    """One pass for the imports and one for the names in use, two over the packages' own files."""
+    files = R.source_files(spark, FOLDER).select("repo", "path", "text")
+    used = C.used_symbols(C.bindings(files), C.references(files))
+    assert used._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 4
+
+
+def test_readers_keep_to_the_order_and_the_texts_of_ast():
+    source = (
+        "import a.b, c as d\nif TYPE_CHECKING:\n    from x import (y,\n        z)\n@m.route('/é', k=f(1))\nasync def f(p=u.v):\n    with open(  'ü' , q.r(s)[0]) as t:\n"
+        "        try:\n            import late\n        except E:\n            from .. import w\n        else:\n            import n\n        finally:\n            import o\n"
+        "    match p:\n        case [1]:\n            import g\n    return (a or b).c, (-x).y, 1 .real, 'k'.join(h\n      .i()), l[1].j, (lambda: 1).e, [].d, t().u().v\n"
+    )
+    tree = ast.parse(source)
+    assert X._walk(tree) == [n for n in ast.walk(tree) if not isinstance(n, ast.expr_context)]
+    standing = (ast.Module, ast.stmt, ast.ExceptHandler, ast.match_case)
+    assert X._walk_statements(tree) == [n for n in ast.walk(tree) if isinstance(n, standing)]
+    asked = [n for n in ast.walk(tree) if isinstance(n, ast.Attribute) or isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)]
+    assert [r["text"] for r in X.references(tree, source)] == [ast.unparse(n) for n in asked]
+    called = [n for n in ast.walk(tree) if isinstance(n, ast.Call)]
+    assert [r["evidence"] for r in X.calls(tree, source)] == [" ".join(ast.get_source_segment(source, n).split()) for n in called]
+    assert [r["target"] for r in X.calls(tree, source)] == [ast.unparse(n.func) for n in called]
+
+
 def _stored(spark):
     from pathlib import Path
 
