@@ -20,7 +20,8 @@ NEW_BASENAMES = (
 
 def planned_files(files: DataFrame) -> DataFrame:
     """Files to change with role, order and subtasks; sorted by (order, path) by a reader."""
-    with_role = files.withColumn("role", I.role(F.col("path"), F.col("text"))).filter("role IS NOT NULL")
+    # not a column and a filter on it, which would search the text twice
+    with_role = files.select("repo", "path", "text", F.explode(F.array_compact(F.array(I.role(F.col("path"), F.col("text"))))).alias("role"))
     return with_role.select(
         "repo", "path", "role", I.role_order(F.col("role")).alias("order"), I.subtasks(F.col("role"), F.col("text")).alias("subtasks")
     )

@@ -301,9 +301,9 @@ def web_facts(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------------------- contracts
 
 
-def _pins(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pins(files: DataFrame, planned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     used = cut_lineage(_used(files))
-    return cut_lineage(K.manifest(C.interface_contract(files, used), M.planned_files(files))), K.consumers(used)
+    return cut_lineage(K.manifest(C.interface_contract(files, used), M.planned_files(files) if planned is None else planned)), K.consumers(used)
 
 
 @growing(
@@ -324,8 +324,8 @@ SELECT DISTINCT e.repo, e.consumer, c.path, c.symbol FROM e JOIN contract c ON c
 )
 def consumed_pins(spark: SparkSession, folder: str) -> DataFrame:
     files = _files(spark, folder)
-    pins, taken = _pins(files)
-    planned = M.planned_files(files).withColumn("position", F.col("order"))
+    planned = cut_lineage(M.planned_files(files)).withColumn("position", F.col("order"))
+    pins, taken = _pins(files, planned)
     return K.consumed_pins(pins, taken, C.planned_imports(files, planned))
 
 

@@ -27,7 +27,8 @@ _EDGES = """
 
 def _planned(files: DataFrame) -> DataFrame:
     """Planned files with their place in the plan."""
-    return cut_lineage(with_running(M.planned_files(files), ["repo"], ["order", "path"], {"position": ordinal()}))
+    # ranges are cut by a sample of the rows first, so texts would be searched twice
+    return cut_lineage(with_running(cut_lineage(M.planned_files(files)), ["repo"], ["order", "path"], {"position": ordinal()}))
 
 
 @growing("J-08", over("source_files", _EDGES + "SELECT * FROM e"))

@@ -11,6 +11,7 @@ from ..operators import evaluation as E
 from ..operators import migration_plan as M
 from ..operators import proposals as X
 from ..operators import seams as W
+from ..session import cut_lineage
 from ..sources import job_reports as J
 from ..sources import sinks as S
 from . import relations as R
@@ -140,7 +141,7 @@ UNION ALL SELECT repo, 'test_harness', path, NULL, NULL FROM source_files WHERE
 UNION ALL SELECT repo, 'ambient_context_runtime', path, NULL, NULL FROM source_files WHERE j = 1"""))
 def seam_decisions(spark: SparkSession, folder: str) -> DataFrame:
     files = _files(spark, folder)
-    return W.decisions(files, M.planned_files(files))
+    return W.decisions(files, cut_lineage(M.planned_files(files)))
 
 
 @growing("E-17", over("source_files", """
@@ -177,7 +178,7 @@ SELECT repo, owner AS path, 'DEFINES' AS section, '  - ' || owner || '::' || wha
 UNION ALL SELECT e.repo, e.path, 'CALLS', '  - ' || dep || '::' || what FROM e JOIN pin ON pin.repo = e.repo AND pin.owner = e.dep"""))
 def contract_lines(spark: SparkSession, folder: str) -> DataFrame:
     files = _files(spark, folder)
-    pins, taken = _pins(files)
-    planned = M.planned_files(files).withColumn("position", F.col("order"))
+    planned = cut_lineage(M.planned_files(files)).withColumn("position", F.col("order"))
+    pins, taken = _pins(files, planned)
     consumed = K.consumed_pins(pins, taken, C.planned_imports(files, planned))
     return W.contract_lines(pins, consumed)

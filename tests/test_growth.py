@@ -114,3 +114,22 @@ def test_components_keep_one_round(spark):
 def test_clusters_merge_without_a_frame_each():
     rows = [{"is_cut": c, "rank": r, "path": p} for c, r, ps in ((0, 1, "ab"), (0, 2, "gh"), (1, 1, "bc"), (1, 2, "xy"), (1, 3, "hijk"), (1, 10, "cd")) for p in ps]
     assert list(U._merged(rows, 4)) == [(0, 2, p) for p in "gh"] + [(1, 2, p) for p in "xy"] + [(1, 10, p) for p in "abcd"]
+
+
+def test_definitions_take_few_nodes():
+    """Nodes that say nothing on definitions neither leave Python nor are written out."""
+    source = "import a\n@a.b(1)\nclass C(B):\n    x: int = f(2)\n    def __init__(self, y=g(3)):\n        self.y = h(y)[4]\n        return self\nif T:\n    z = w = k(5)\n"
+    tree = ast.parse(source)
+    every, kept = list(X.nodes(tree, source)), list(X.nodes(tree, source, keep=X.defines))
+    assert [r for r in every if X.defines(r["kind"], r["slot"], r["within"])] == kept
+    said = {(r["kind"], r["name"] or r["text"]) for r in kept}
+    assert {("alias", "a"), ("Call", "a.b(1)"), ("ClassDef", "C"), ("FunctionDef", "__init__"), ("arg", "y"), ("Name", "self"), ("Call", "k(5)"), ("Name", "w")} <= said
+    assert not {("Constant", "4"), ("Call", "h(y)"), ("Subscript", "h(y)[4]"), ("Name", "h")} & said and len(kept) < len(every) * 0.7
+
+
+def test_role_is_sought_once(spark):
+    from shiftlens.operators import migration_plan as M
+
+    files = R.source_files(spark, FOLDER).select("repo", "path", "text")
+    planned = M.planned_files(files).select("repo", "path")._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in planned and "Filter" not in planned
