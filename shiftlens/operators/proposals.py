@@ -65,19 +65,19 @@ def plan_violations(plans: DataFrame, existing: DataFrame, rewrites: DataFrame)
     """(plan_id, item, rule): every rule a proposed plan breaks; a plan without rows is accepted.
 
     ``plans`` is (plan_id, text), ``existing`` and ``rewrites`` (plan_id, path).  The text must be a
-    JSON list of at most ``MAX_ARTIFACTS`` objects.
+    JSON list of at most ``MAX_ARTIFACTS`` objects.  The texts are parsed once; what the rules across items need of them
+    is written out as plain columns.
     """
+    from ..session import stored
+
     parsed = plans.select("plan_id", F.try_parse_json("text").alias("v"))
     is_list = F.schema_of_variant("v").startswith("ARRAY")
-    whole = parsed.select(
-        "plan_id", F.lit(None).cast("int").alias("item"),
-        F.when(F.col("v").isNull(), "not_json").when(~is_list, "not_a_list")
-        .when(F.size(F.try_variant_get("v", "$", "array<variant>")) > MAX_ARTIFACTS, "too_many_artifacts").alias("rule"),
-    ).filter("rule IS NOT NULL")
-    items = parsed.filter(is_list).select("plan_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("item", "i"))
+    listing = parsed.select("plan_id", F.col("v").isNull().alias("broken"), F.when(is_list, F.try_variant_get("v", "$", "array<variant>")).alias("items"))
+    wrong = F.when(F.col("broken"), "not_json").when(F.col("items").isNull(), "not_a_list").when(F.size("items") > MAX_ARTIFACTS, "too_many_artifacts")
+    items = listing.select("plan_id", wrong.alias("wrong"), F.posexplode_outer("items").alias("item", "i"))
     i = F.col("i")
     fields = items.select(
-        "plan_id", "item", "i",
+        "plan_id", "wrong", "item", "i",
         _text(i, "path").alias("path"), _text(i, "purpose").alias("purpose"), _text(i, "instructions").alias("instructions"),
         F.when(_absent(i, "role"), F.lit("support")).otherwise(_text(i, "role")).alias("role"),
         _strings(i, "capabilities").alias("capabilities"), _strings(i, "consumers").alias("consumers"), _strings(i, "depends_on").alias("depends_on"),
@@ -132,7 +132,10 @@ def plan_violations(plans: DataFrame, existing: DataFrame, rewrites: DataFrame)
         when(F.array_contains("depends_on", path), "depends_on_itself"),
         when(F.arrays_overlap("consumers", "depends_on"), "depends_on_consumer"),
     ))
-    alone = fields.select("plan_id", "item", F.explode(rules).alias("rule"))
+    judged = stored(fields.select("plan_id", "wrong", "item", "path", "consumers", "depends_on", F.when(F.col("item").isNotNull(), rules).alias("rules")))
+    whole = judged.filter("wrong IS NOT NULL AND coalesce(item, 0) = 0").select("plan_id", F.lit(None).cast("int").alias("item"), F.col("wrong").alias("rule"))
+    fields = judged.filter("item IS NOT NULL")
+    alone = fields.select("plan_id", "item", F.explode("rules").alias("rule"))
 
     def rows(found: DataFrame, rule: str) -> DataFrame:
         return found.select("plan_id", "item", F.lit(rule).alias("rule"))

@@ -51,7 +51,8 @@ def plan_violations(spark: SparkSession, folder: str) -> DataFrame:
         .when(m == 9, F.lit(f"[{looped}, {back}]"))
         .otherwise(F.concat(F.lit("["), first, F.lit("]")))
     )
-    plans = R.table(spark, folder, "events").select(R.text_of("event_id").alias("plan_id"), F.replace(text, F.lit("@"), F.col("event_type")).alias("text"))
+    events = R.spread(R.table(spark, folder, "events").select("event_id", "event_type"))
+    plans = events.select(R.text_of("event_id").alias("plan_id"), F.replace(text, F.lit("@"), F.col("event_type")).alias("text"))
     existing = plans.select("plan_id", F.lit("src/app/old.py").alias("path"))
     rewrites = plans.select("plan_id", F.lit("src/a.py").alias("path"))
     return X.plan_violations(plans, existing, rewrites)

@@ -133,3 +133,20 @@ def test_role_is_sought_once(spark):
     files = R.source_files(spark, FOLDER).select("repo", "path", "text")
     planned = M.planned_files(files).select("repo", "path")._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" in planned and "Filter" not in planned
+
+
+def test_plans_are_parsed_once_and_in_many_tasks(spark):
+    found = entry.queries()["plan_violations"](spark, FOLDER)
+    planned = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in planned and "events.parquet" not in planned and "variant" not in planned
+
+
+def test_a_plan_that_is_an_empty_list_breaks_no_rule(spark):
+    from shiftlens.operators import proposals as X
+
+    plans = spark.createDataFrame([("a", "[]"), ("b", "[1]"), ("c", "{}"), ("d", "[" * 2), ("e", "[" + ",".join("1" * 99) + "]"), ("f", None), ("g", "null")], "plan_id string, text string")
+    none = spark.createDataFrame([], "plan_id string, path string")
+    rows = X.plan_violations(plans, none, none).filter("rule IN ('not_json', 'not_a_list', 'too_many_artifacts', 'not_an_object')").groupBy("plan_id", "rule").count().collect()
+    assert {tuple(r) for r in rows} == {
+        ("b", "not_an_object", 1), ("c", "not_a_list", 1), ("d", "not_json", 1), ("e", "too_many_artifacts", 1), ("e", "not_an_object", 99), ("f", "not_json", 1), ("g", "not_a_list", 1)
+    }
