@@ -604,10 +604,11 @@ def checkpoint_read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshots saved as a version, saved again, and read back by the pointer."""
     from uuid import uuid4
 
-    from ..session import use_checkpoint_dir
+    from ..session import stored, use_checkpoint_dir
     from ..sources import manifests
 
-    rows = W.snapshot_rows(*_versions(spark, folder))
+    # both versions are written from it
+    rows = stored(W.snapshot_rows(*_versions(spark, folder)))
     place = f"{use_checkpoint_dir(spark)}/versions-{uuid4().hex}"
     manifests.save_version(rows.filter("batch < 3"), place, 1)
     manifests.save_version(rows, place, 2)

@@ -150,3 +150,12 @@ def test_a_plan_that_is_an_empty_list_breaks_no_rule(spark):
     assert {tuple(r) for r in rows} == {
         ("b", "not_an_object", 1), ("c", "not_a_list", 1), ("d", "not_json", 1), ("e", "too_many_artifacts", 1), ("e", "not_an_object", 99), ("f", "not_json", 1), ("g", "not_a_list", 1)
     }
+
+
+def test_snapshots_are_worked_out_once(spark, monkeypatch):
+    from shiftlens.sources import manifests
+
+    saved, save = [], manifests.save_version
+    monkeypatch.setattr(manifests, "save_version", lambda rows, *rest: saved.append(rows) or save(rows, *rest))
+    assert entry.queries()["checkpoint_read_back"](spark, FOLDER).count() > 0
+    assert len(saved) == 2 and all("Window" not in rows._jdf.queryExecution().optimizedPlan().toString() for rows in saved)
