@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Names of files that hold credentials.
 DENIED_NAMES = (
     ".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx",
@@ -83,13 +85,18 @@ def is_recipe_test(path: Column) -> Column:
 
 def module_names(path: Column) -> Column:
     """Every dotted name the file can be imported under: its full name and all suffixes of it."""
-    parts = F.split(without_suffix(path), "/")
-    parts = F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    size = F.size(parts)
-    names = F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.greatest(size - i + 1, F.lit(0))), ".")
-    )
-    return F.when(size > 0, names).otherwise(F.array().cast("array<string>"))
+    def names_of(parts: Column) -> Column:
+        size = F.size(parts)
+        names = F.transform(
+            F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.greatest(size - i + 1, F.lit(0))), ".")
+        )
+        return F.when(size > 0, names).otherwise(F.array().cast("array<string>"))
+
+    def without_init(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+
+    # the path is taken apart once, not once for every use of its parts
+    return let(F.split(without_suffix(path), "/"), lambda parts: let(without_init(parts), names_of))
 
 
 def resolve_module(module: Column, level: Column, importer: Column) -> Column:

@@ -36,17 +36,16 @@ def contract_owner(outputs: DataFrame, pins: DataFrame, members: DataFrame, batc
         T.missing_name_module(text).alias("symbol_module"),
         T.missing_attribute(text).alias("member"),
     )
-    named = pins.withColumn("name", F.explode(P.module_names(F.col("path"))))
-    by_module = said.filter("module IS NOT NULL").select("job_id", F.col("module").alias("name")).join(
-        named.filter("planned").select("job_id", "name", "path"), ["job_id", "name"]
-    )
-    by_symbol = said.filter("symbol IS NOT NULL").select("job_id", "symbol", F.col("symbol_module").alias("name")).join(
-        named.select("job_id", "name", "symbol", "path"), ["job_id", "name", "symbol"]
-    )
+    # one join for modules and names of modules, so that the pins' names are worked out and dealt once
+    asked = said.select("job_id", F.explode(F.array_compact(F.array(
+        F.when(F.col("module").isNotNull(), F.struct(F.col("module").alias("name"), F.lit(None).cast("string").alias("wanted"))),
+        F.when(F.col("symbol").isNotNull(), F.struct(F.col("symbol_module").alias("name"), F.col("symbol").alias("wanted"))),
+    ))).alias("a")).select("job_id", "a.*")
+    named = pins.select("job_id", "path", "symbol", "planned", F.explode(P.module_names(F.col("path"))).alias("name"))
+    by_name = asked.join(named, ["job_id", "name"]).filter(F.when(F.col("wanted").isNull(), F.col("planned")).otherwise(F.col("wanted") == F.col("symbol")))
     by_member = said.filter("member IS NOT NULL").select("job_id", "member").join(members, ["job_id", "member"])
     found = (
-        by_module.select("job_id", "path")
-        .unionByName(by_symbol.select("job_id", "path"))
+        by_name.select("job_id", "path")
         .unionByName(by_member.select("job_id", "path"))
         .distinct()
     )

@@ -37,16 +37,26 @@ def beside(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     return other
 
 
+#: Bytes of a side that may be broadcast once it is measured.  As a hash table a side takes about three times its bytes, and a
+#: query has up to forty of them in the driver at once.
+MOST_BROADCAST = 1 << 20
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return -1 if size.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+
+
 def sized_when_run(spark: SparkSession) -> SparkSession:
     """A session beside ``spark`` in which a join broadcasts a side by the size it turned out to have.
 
     Before a query runs, Spark only knows the size of the files.  Where narrow rows grow into texts, syntax nodes or
     several rows each, that is a small part of what a broadcast would bring to the driver.  Here no side is broadcast
-    before it was shuffled and measured; the caller's limit then holds for the measured size.
+    before it was shuffled and measured; the caller's limit then holds for the measured size, and ``MOST_BROADCAST`` if that
+    is less, so that many joins together do not fill the driver.
     """
     limit = "spark.sql.autoBroadcastJoinThreshold"
     measured = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or spark.conf.get(limit)
-    return beside(spark, {"spark.sql.adaptive.autoBroadcastJoinThreshold": measured, limit: "-1"})
+    return beside(spark, {"spark.sql.adaptive.autoBroadcastJoinThreshold": str(min(_bytes(spark, measured), MOST_BROADCAST)), limit: "-1"})
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:

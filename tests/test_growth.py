@@ -159,3 +159,24 @@ def test_snapshots_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(manifests, "save_version", lambda rows, *rest: saved.append(rows) or save(rows, *rest))
     assert entry.queries()["checkpoint_read_back"](spark, FOLDER).count() > 0
     assert len(saved) == 2 and all("Window" not in rows._jdf.queryExecution().optimizedPlan().toString() for rows in saved)
+
+
+@pytest.mark.parametrize(("limit", "measured"), [("10m", 1 << 20), ("10485760b", 1 << 20), ("256k", 256 << 10), ("1000", 1000), ("-1", -1)])
+def test_sides_together_do_not_fill_the_driver(spark, limit, measured):
+    from shiftlens.session import beside, sized_when_run
+
+    found = sized_when_run(beside(spark, {"spark.sql.autoBroadcastJoinThreshold": limit}))
+    assert found.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == str(measured)
+    assert found.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_paths_are_taken_apart_once(spark):
+    from shiftlens.functions import paths as P
+
+    planned = spark.range(1).select(F.explode(P.module_names(F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert planned.count("regexp_extract(") == 1
+
+
+def test_names_of_pins_are_worked_out_once(spark):
+    planned = entry.queries()["contract_owners"](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert planned.count("__init__") == 1 and planned.count("Join") == 3
