@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..session import stored
 from .ordered import previous, with_running
 
 
@@ -82,8 +83,9 @@ def traceback_leaf(outputs: DataFrame, eligible: DataFrame) -> DataFrame:
     """
     lines = outputs.select("job_id", F.posexplode(T.lines_of(F.col("output"))).alias("line_no", "line"))
     named = lines.select("job_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"([^\s:\"']+):\d+:"), F.lit(1))).alias("token"))
-    parts = F.split(F.translate("token", "\\", "/"), "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+    tails = T.let(F.split(F.translate("token", "\\", "/"), "/"), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/")
+    ))
     frames = (
         named.withColumn("path", F.explode(tails))
         .join(eligible, ["job_id", "path"])
@@ -92,7 +94,8 @@ def traceback_leaf(outputs: DataFrame, eligible: DataFrame) -> DataFrame:
     )
     ends = lines.filter(F.col("line").rlike("(?U)" + T.EXCEPTION_LINE)).select("job_id", "line_no", F.lit(None).cast("string").alias("path"))
     ends = ends.join(frames, ["job_id", "line_no"], "left_anti")
-    marks = frames.unionByName(ends)
+    # running values read their rows three times
+    marks = stored(frames.unionByName(ends))
     placed = with_running(marks, ["job_id"], ["line_no"], {"frame": previous(F.col("path"))})
     return one_per_job(placed.filter("path IS NULL AND frame IS NOT NULL").select("job_id", F.col("frame").alias("path")), "path")
 

@@ -180,3 +180,8 @@ def test_paths_are_taken_apart_once(spark):
 def test_names_of_pins_are_worked_out_once(spark):
     planned = entry.queries()["contract_owners"](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
     assert planned.count("__init__") == 1 and planned.count("Join") == 3
+
+
+def test_frames_are_found_once(spark):
+    planned = entry.queries()["traceback_leaves"](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert "translate(" not in planned and "Window" in planned
