@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import builtins
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 from types import ModuleType
 
 import pyarrow as pa
@@ -22,6 +22,10 @@ from ..functions import paths as P
 from ..functions import syntax as X
 
 
+#: The same short text stands in many places (empty packages, licence headers, copies); the facts of the last few are kept.
+SHORT_TEXT, SHORT_TEXTS = 2000, 64
+
+
 def read_facts(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Schema, at_once: int) -> Iterator[pa.RecordBatch]:
     wanted = arrow.names[3:]
 
@@ -29,14 +33,19 @@ def read_facts(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Sche
         columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    def facts_of(text: str) -> list[tuple]:
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        return [tuple([row[w] for w in wanted]) for row in read(tree, text)]
+
+    facts_of_short = lru_cache(SHORT_TEXTS)(facts_of)
     for batch in batches:
         rows = []
         for repo, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            try:
-                tree = ast.parse(text)
-            except (SyntaxError, ValueError, RecursionError):
-                continue
-            rows.extend((repo, path, i, *[row[w] for w in wanted]) for i, row in enumerate(read(tree, text)))
+            found = facts_of_short(text) if len(text) <= SHORT_TEXT else facts_of(text)
+            rows.extend((repo, path, i, *row) for i, row in enumerate(found))
             if len(rows) >= at_once:
                 yield batch_of(rows)
                 rows = []
@@ -63,6 +72,26 @@ def imports(files: DataFrame) -> DataFrame:
     return found.withColumn("resolved", P.resolve_module(F.col("module"), F.col("level"), F.col("path")))
 
 
+def _nodes_and_imports(tree: ast.AST, source: str, read: Callable, columns: tuple[str, ...]) -> Iterator[dict]:
+    yield from ({**_NO_IMPORT, **row} for row in read(tree, source))
+    yield from ({**dict.fromkeys(columns), **row, "is_import": True} for row in X.imports(tree, source))
+
+
+_IMPORTED = "is_import boolean, is_from boolean, module string, level int, local string"
+_NO_IMPORT = {"is_import": False, "is_from": None, "module": None, "level": None, "local": None}
+
+
+def nodes_and_imports(files: DataFrame, *columns: str, keep: Callable, said: Callable) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with ``columns``, those to ``keep`` with the text of those to be ``said``, and ``imported_names``: every file is parsed once for both."""
+    from ..session import stored
+
+    wanted = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(X.NODES) if f.name in columns)
+    read = partial(_nodes_and_imports, read=partial(X.nodes, with_text=said, keep=keep), columns=columns)
+    found = stored(facts(files, read, f"{wanted}, {_IMPORTED}").drop("seq"))
+    brought = found.filter("is_import").withColumn("resolved", P.resolve_module(F.col("module"), F.col("level"), F.col("path")))
+    return found.filter("NOT is_import").select("repo", "path", *columns), _names_imported(brought)
+
+
 def nodes(files: DataFrame, *columns: str, keep: Callable | None = None) -> DataFrame:
     """Every node of every file that parses, or those to ``keep``, with ``columns`` or all; the rules below are joins and aggregates over it."""
     found = StructType.fromDDL(X.NODES)
@@ -491,6 +520,10 @@ def bound_names(files: DataFrame) -> DataFrame:
 
 def imported_names(files: DataFrame) -> DataFrame:
     """(repo, path, module_name, name, local, is_from): imports with the module that each names, without stars."""
-    return imports(files).filter("name <> '*'").select(
+    return _names_imported(imports(files))
+
+
+def _names_imported(found: DataFrame) -> DataFrame:
+    return found.filter("name <> '*'").select(
         "repo", "path", F.when(F.col("is_from"), F.col("resolved")).otherwise(F.col("name")).alias("module_name"), "name", "local", "is_from"
     )

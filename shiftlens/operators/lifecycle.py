@@ -269,6 +269,9 @@ SESSION_MODULE, SESSION_CLASS = "starlette.middleware.sessions", "SessionMiddlew
 _COOKIES = ("set_cookie", "delete_cookie")
 
 
+SESSION_COLUMNS = ("id", "parent", "slot", "place", "kind", "label", "name", "line", "within", "callables", "text", "statement")
+
+
 def session_violations(found: DataFrame, brought: DataFrame, named: DataFrame, surfaces: DataFrame, owners_of_context: DataFrame) -> DataFrame:
     """(repo, path, symbol, rule, detail): what drafts get wrong about sessions and ambient request state.
 
@@ -276,8 +279,10 @@ def session_violations(found: DataFrame, brought: DataFrame, named: DataFrame, s
     ``factory``, ``test_provider`` and ``cookie_writer``; ``owners_of_context`` (repo, path, symbol), the classes that own
     the request state.  Functions are followed over files for at most ``REACH`` calls: a provider whose callees use the
     session uses it, and a factory must not get to it before there is a request (the detail is the chain of calls).
+    Of ``found`` the columns ``SESSION_COLUMNS`` of nodes that ``syntax.installs`` keeps are enough, with the text of
+    arguments.  ``found`` and ``brought`` are read many times, so they should be ``stored``.
     """
-    found, brought, named, surfaces = stored(found), stored(brought), stored(named), stored(surfaces)
+    named, surfaces = stored(named), stored(surfaces)
     tops, made = stored(flow.functions(found)), stored(flow.calls(found))
     first = stored(_arguments(found).filter("place = 0"))
     parsed = found.filter("kind = 'Module'").select(*_KEYS)

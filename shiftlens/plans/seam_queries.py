@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import syntax as X
 from ..operators import code_facts as C
 from ..operators import lifecycle as L
 from . import relations as R
@@ -193,4 +194,5 @@ def session_violations(spark: SparkSession, folder: str) -> DataFrame:
     surfaces = rows.select("repo", each.alias("s")).filter("s.only").select("repo", "s.surface", "s.role", "s.path")
     owners = rows.select("repo", _joined("src/app/ctx@key.py").alias("path"), F.lit("Context").alias("symbol"))
     named = C.names_of(drafts).withColumnRenamed("name", "module_name")
-    return L.session_violations(C.nodes(drafts), C.imported_names(drafts), named, surfaces, owners)
+    found, brought = C.nodes_and_imports(drafts, *L.SESSION_COLUMNS, keep=X.installs, said=X.is_argument)
+    return L.session_violations(found, brought, named, surfaces, owners)

@@ -185,3 +185,30 @@ def test_names_of_pins_are_worked_out_once(spark):
 def test_frames_are_found_once(spark):
     planned = entry.queries()["traceback_leaves"](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
     assert "translate(" not in planned and "Window" in planned
+
+
+def test_session_drafts_are_parsed_once(spark, monkeypatch):
+    read, facts = [], C.facts
+    monkeypatch.setattr(C, "facts", lambda files, *rest: read.append(files) or facts(files, *rest))
+    assert entry.queries()["session_violations"](spark, FOLDER).schema.names == ["repo", "path", "symbol", "rule", "detail"]
+    assert len(read) == 1
+
+
+def test_installing_takes_few_nodes():
+    """Calls, definitions and arguments leave Python; only what is passed to calls is written out again."""
+    source = "class C:\n    def f(self):\n        x = [g(1)[2], 3]\n        app.add(C, m(D), k=Q.run, l=[4])\n        return a.session['b'] + x\n"
+    tree = ast.parse(source)
+    every, kept = list(X.nodes(tree, source)), list(X.nodes(tree, source, with_text=X.is_argument, keep=X.installs))
+    assert [r | {"text": None} for r in every if X.installs(r["kind"], r["slot"], r["within"])] == [r | {"text": None} for r in kept]
+    assert len(kept) < len(every) * 0.6
+    assert [r["text"] for r in kept if r["text"] is not None] == ["1", "C", "m(D)", "D", "Q.run", "[4]"]
+
+
+def test_a_text_that_stands_twice_is_read_once():
+    arrow = to_arrow_schema(StructType.fromDDL("repo string, path string, seq int, name string"))
+    texts = ["x = 1", "y = 2", "x = 1", "broken(", "x = 1", "#" * C.SHORT_TEXT + "\nz = 1", "#" * C.SHORT_TEXT + "\nz = 1"]
+    batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 7, "path": [str(i) for i in range(7)], "text": texts})
+    read = []
+    found = [r for b in C.read_facts(iter([batch]), lambda tree, text: read.append(text) or [{"name": text[0]}], arrow, 50) for r in b.to_pylist()]
+    assert [(r["path"], r["seq"], r["name"]) for r in found] == [("0", 0, "x"), ("1", 0, "y"), ("2", 0, "x"), ("4", 0, "x"), ("5", 0, "#"), ("6", 0, "#")]
+    assert read == ["x = 1", "y = 2", texts[5], texts[5]]
