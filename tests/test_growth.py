@@ -212,3 +212,38 @@ def test_a_text_that_stands_twice_is_read_once():
     found = [r for b in C.read_facts(iter([batch]), lambda tree, text: read.append(text) or [{"name": text[0]}], arrow, 50) for r in b.to_pylist()]
     assert [(r["path"], r["seq"], r["name"]) for r in found] == [("0", 0, "x"), ("1", 0, "y"), ("2", 0, "x"), ("4", 0, "x"), ("5", 0, "#"), ("6", 0, "#")]
     assert read == ["x = 1", "y = 2", texts[5], texts[5]]
+
+
+def test_resources_are_read_once(spark, monkeypatch):
+    """One pass over the drafts and one over the old files, for nodes and imports together."""
+    read, passes = [], (C.facts, C.facts_apart)
+    monkeypatch.setattr(C, "facts", lambda files, *rest: read.append(files) or passes[0](files, *rest))
+    monkeypatch.setattr(C, "facts_apart", lambda files, *rest: read.append(files) or passes[1](files, *rest))
+    assert entry.queries()["lifecycle_violations"](spark, FOLDER).schema.names == ["repo", "path", "symbol", "rule", "detail"]
+    assert len(read) == 2
+
+
+def test_flow_is_followed_file_by_file(spark):
+    from shiftlens.operators import flow
+
+    files = spark.createDataFrame([("r", "a.py", "def f():\n    a = open(1)\n    g()\n    a.close()\n")], "repo string, path string, text string")
+    planned = flow.flow_edges(C.nodes(files))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in planned
+
+
+def test_what_hangs_on_a_node_is_told_with_it():
+    from shiftlens.operators import lifecycle as L
+
+    source = (
+        "V = ContextVar('v')\ndef f(app, p=out):\n    app.cli.add(x, 'b', k=None)\n    g.db = app.state.config.copy()\n    c = m['K']\n"
+        "    with open('a' 'b', mode='rb') as t:\n        t.read().decode()\ndef w():\n    out = open(q)\n    out.close()\n"
+    )
+    found = list(X.held(ast.parse(source), source, L.OPENERS, L.OLD_MEMBERS, L.AMBIENT, L.HOLDER))
+    told = {r["label"] if r["kind"] == "Call" else (r["kind"], r["name"] or r["line"]): r for fact, r in found if fact == "told"}
+    call, entered = told["Call:app.cli.add"], told["Call:open"]
+    assert call["first"] == {"kind": "Name", "name": "x", "text": "x"} and call["second"] == "'b'" and call["keywords"] == [{"keyword": "k", "value": "None"}]
+    assert told["Attribute", "cli"]["owner"]["text"] == "app" and told["Attribute", "db"]["owner"]["name"] == "g"
+    assert (told["Assign", 1]["assigned"], told["Assign", 1]["owner"]["label"]) == (["V"], "Call:ContextVar")
+    assert told["Assign", 4]["owner"]["text"] == "app.state.config.copy()" and told["Subscript", 5]["key"] == "'K'" and told["Subscript", 5]["owner"]["text"] == "m"
+    assert told["Call:t.read().decode"]["around"] and {k[0] for k in told if isinstance(k, tuple)} >= {"Module", "FunctionDef", "arg", "Name"}
+    assert entered["first"] and {r["line"] for fact, r in found if fact == "watched" and r["line"]} == {8, 9, 10}
