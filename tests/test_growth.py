@@ -111,6 +111,26 @@ def test_components_keep_one_round(spark):
     assert G.components(edges.limit(0)).count() == 0
 
 
+def test_components_keep_no_shuffle_files(spark):
+    """The rounds leave nothing in the folders of the block manager, and the session's setting as it was."""
+    from pathlib import Path
+
+    folders = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p.name for d in folders for p in d.rglob("shuffle_*.data")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    asked = spark.conf.get(key, None)
+    edges = spark.range(1000).select(F.lit("r").alias("repo"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = G.components(edges)
+    assert not files() - before and spark.conf.get(key, None) == asked
+    assert found.count() == found.count() == 1001
+
+
+def test_stars_are_told_in_one_pass(spark):
+    rows = lambda *ends: spark.createDataFrame([("r", a, b) for a, b in ends], "repo string, a int, b int")
+    for ends, stars in (([(2, 1), (3, 1), (5, 4)], True), ([(2, 1), (3, 1), (3, 2)], False), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False)):
+        assert G._are_stars(rows(*ends), ["repo"]) == stars
+
+
 def test_clusters_merge_without_a_frame_each():
     rows = [{"is_cut": c, "rank": r, "path": p} for c, r, ps in ((0, 1, "ab"), (0, 2, "gh"), (1, 1, "bc"), (1, 2, "xy"), (1, 3, "hijk"), (1, 10, "cd")) for p in ps]
     assert list(U._merged(rows, 4)) == [(0, 2, p) for p in "gh"] + [(1, 2, p) for p in "xy"] + [(1, 10, p) for p in "abcd"]
