@@ -9,8 +9,9 @@ from __future__ import annotations
 import ast
 import builtins
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,11 +57,57 @@ def read_facts(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Sche
 FACTS_AT_ONCE = 5000
 
 
-def facts(files: DataFrame, read: Callable, columns: str, at_once: int = FACTS_AT_ONCE) -> DataFrame:
+class Sources:
+    """Files with the facts that ``read_once`` took from them; for the rest it is the table of files.
+
+    A reader that asks for one of these facts gets its table instead of parsing.  Filters hold for files and facts; one
+    that looks at texts leaves no facts to ask for.
+    """
+
+    def __init__(self, files: DataFrame, found: dict[str, DataFrame], kept: tuple = ()) -> None:
+        self.files, self.found, self.kept = files, found, kept
+
+    def filter(self, condition: Column | str) -> Sources:
+        return Sources(self.files.filter(condition), self.found, (*self.kept, condition))
+
+    def facts(self, name: str) -> DataFrame:
+        return reduce(DataFrame.filter, self.kept, self.found[name])
+
+    def __getattr__(self, name: str) -> Any:
+        return getattr(self.files, name)
+
+
+_READERS = {"imports": (X.imports, X.IMPORTS), "calls": (X.calls, X.CALLS), "references": (X.references, X.REFERENCES), "bound_names": (X.bound_names, X.BOUND_NAMES), "web_facts": (X.web_facts, X.WEB_FACTS)}
+_NODES = {
+    "defines": "id int, parent int, slot string, place int, kind string, name string, alias string, line int, within string, callables array<int>, text string",
+    "scopes": "id int, kind string, name string, alias string, use string, names array<string>, within string, sees array<int>",
+}
+
+
+def _asked(tree: ast.AST, source: str, names: tuple[str, ...]) -> Iterator[tuple[str, dict]]:
+    keeps = [(n, getattr(X, n)) for n in names if n in _NODES]
+    if keeps:
+        keep = lambda *node: any(k(*node) for _, k in keeps)
+        for row in X.nodes(tree, source, with_text=X.defines if "defines" in names else False, keep=keep):
+            yield from ((n, row) for n, k in keeps if k(row["kind"], row["slot"], row["within"]))
+    for name in names:
+        if name in _READERS:
+            yield from ((name, row) for row in _READERS[name][0](tree, source))
+
+
+def read_once(files: DataFrame, *names: str) -> Sources:
+    """``files`` with the facts of these names: those of ``_READERS``, the nodes that ``defines`` or ``scopes``, and ``status``."""
+    columns = {n: STATUS_COLUMNS if n == STATUS else _NODES.get(n) or _READERS[n][1] for n in names}
+    return Sources(files, facts_apart(files, partial(_asked, names=names), columns))
+
+
+def facts(files: DataFrame | Sources, read: Callable, columns: str, at_once: int = FACTS_AT_ONCE) -> DataFrame:
     """Apply one fact reader to every file; each row also carries its place in the file.
 
     Facts leave in batches of about ``at_once``, however many files come in one batch.
     """
+    if isinstance(files, Sources):
+        return files.facts(read.__name__)
     schema = StructType.fromDDL(f"repo string, path string, seq int, {columns}")
     arrow = to_arrow_schema(schema)
     return files.select("repo", "path", "text").mapInArrow(lambda batches: read_facts(batches, read, arrow, at_once), schema)
@@ -70,7 +117,7 @@ def read_apart(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Sche
     """As ``read_facts`` for a reader that says of every row which fact it is; a batch holds rows of one fact."""
 
     def batch_of(fact: str, rows: list[tuple]) -> pa.RecordBatch:
-        own = dict(zip(("repo", "path", "seq", *wanted[fact]), zip(*rows, strict=True), strict=True)) | {"fact": [fact] * len(rows)}
+        own = dict(zip(("repo", "path", "seq", *wanted[fact]), zip(*rows, strict=True), strict=True)) | {TABLE_OF: [fact] * len(rows)}
         return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(rows), f.type) for f in arrow], schema=arrow)
 
     def facts_of(text: str) -> list[tuple[str, list[tuple]]]:
@@ -101,6 +148,8 @@ def read_apart(batches: Iterator[pa.RecordBatch], read: Callable, arrow: pa.Sche
 
 #: The fact that every file has, one that does not parse too.
 STATUS, STATUS_COLUMNS = "status", "parses boolean, line int"
+#: The column that says which fact a row is of.
+TABLE_OF = "table_of"
 
 
 def facts_apart(files: DataFrame, read: Callable, columns: dict[str, str], at_once: int = FACTS_AT_ONCE) -> dict[str, DataFrame]:
@@ -109,10 +158,10 @@ def facts_apart(files: DataFrame, read: Callable, columns: dict[str, str], at_on
 
     own = {fact: StructType.fromDDL(ddl) for fact, ddl in columns.items()}
     every = {f.name: f.dataType.simpleString() for fields in own.values() for f in fields}
-    schema = StructType.fromDDL(f"repo string, path string, seq int, {', '.join(f'{name} {kind}' for name, kind in every.items())}, fact string")
+    schema = StructType.fromDDL(f"repo string, path string, seq int, {', '.join(f'{name} {kind}' for name, kind in every.items())}, {TABLE_OF} string")
     arrow, wanted = to_arrow_schema(schema), {fact: fields.names for fact, fields in own.items()}
-    found = stored(files.select("repo", "path", "text").mapInArrow(lambda batches: read_apart(batches, read, arrow, wanted, at_once), schema), "fact")
-    return {fact: found.filter(F.col("fact") == fact).select("repo", "path", "seq", *names) for fact, names in wanted.items()}
+    found = stored(files.select("repo", "path", "text").mapInArrow(lambda batches: read_apart(batches, read, arrow, wanted, at_once), schema), TABLE_OF)
+    return {fact: found.filter(F.col(TABLE_OF) == fact).select("repo", "path", "seq", *names) for fact, names in wanted.items()}
 
 
 def _held(tree: ast.AST, source: str, read: Callable) -> Iterator[tuple[str, dict]]:
@@ -156,6 +205,8 @@ def nodes_and_imports(files: DataFrame, *columns: str, keep: Callable, said: Cal
 
 def nodes(files: DataFrame, *columns: str, keep: Callable | None = None) -> DataFrame:
     """Every node of every file that parses, or those to ``keep``, with ``columns`` or all; the rules below are joins and aggregates over it."""
+    if isinstance(files, Sources):
+        return files.facts(keep.__name__).select("repo", "path", *columns)
     found = StructType.fromDDL(X.NODES)
     wanted = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found if not columns or f.name in columns)
     read = partial(X.nodes, with_text=not columns or "text" in columns, keep=keep)
@@ -241,7 +292,8 @@ def definitions(files: DataFrame) -> DataFrame:
     """The last binding of every name that import-time statements bind; an import binds a name of unknown kind."""
     from ..session import stored
 
-    found = stored(nodes(files, "id", "parent", "slot", "place", "kind", "name", "alias", "line", "within", "callables", "text", keep=X.defines))
+    found = nodes(files, "id", "parent", "slot", "place", "kind", "name", "alias", "line", "within", "callables", "text", keep=X.defines)
+    found = found if isinstance(files, Sources) else stored(found)
     statements = _statements(found).filter("made IS NOT NULL")
     starts = found.filter((F.col("kind") == "FunctionDef") & (F.col("name") == "__init__") & F.col("within").rlike(r"ClassDef\.body$"))
     lists = found.filter("kind = 'arguments'").select("repo", "path", F.col("parent").alias("id"), F.col("text").alias("list"))
@@ -377,9 +429,8 @@ def undefined_globals(files: DataFrame) -> DataFrame:
     from ..session import stored
 
     columns = ("id", "kind", "name", "alias", "use", "names", "within", "sees")
-    found = stored(nodes(files, *columns).filter(
-        F.col("kind").isin("Name", "arg", "alias", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping", "TypeVar", "ParamSpec", "TypeVarTuple", "Global", "ClassDef") | _is_function()
-    ).select("repo", "path", *columns))
+    found = nodes(files, *columns, keep=X.scopes).select("repo", "path", *columns)
+    found = found if isinstance(files, Sources) else stored(found)
     binds = ((F.col("kind") == "Name") & (F.col("use") != "Load")) | ~F.col("kind").isin("Name", "Global")
     bound = found.filter(binds & F.coalesce(F.col("alias"), F.col("name")).isNotNull()).select(
         "repo", "path", F.element_at("sees", -1).alias("space"), F.substring_index(F.coalesce("alias", "name"), ".", 1).alias("name")
@@ -413,6 +464,8 @@ def _parses(texts: pa.Array) -> pa.Array:
 
 def parse_status(files: DataFrame) -> DataFrame:
     """Whether each file parses, and where it stops."""
+    if isinstance(files, Sources):
+        return files.facts(STATUS).drop("seq")
     # declared so that a filter on the result is not pushed down and the text parsed twice
     status = F.arrow_udf(_parses, "parses boolean, line int").asNondeterministic()("text")
     return files.select(*[c for c in files.columns if c != "text"], status.alias("s")).select(
@@ -434,7 +487,7 @@ def reexported(files: DataFrame) -> DataFrame:
     ``from . import x`` binds a module, so it does not count.
     """
     inits = files.filter(P.basename(F.col("path")) == "__init__.py")
-    defined = nodes(inits, "kind", "name", "within").filter(F.col("within").rlike(r"^Module\.body(/(Assign|AnnAssign)\.targets?)?$") & (
+    defined = nodes(inits, "kind", "name", "within", keep=X.defines).filter(F.col("within").rlike(r"^Module\.body(/(Assign|AnnAssign)\.targets?)?$") & (
         F.col("kind").isin("FunctionDef", "AsyncFunctionDef", "ClassDef") | ((F.col("kind") == "Name") & F.col("within").contains("target"))
     )).select("repo", "path", "name")
     brought = facts(inits, X.imports, X.IMPORTS).filter("top AND is_from AND module IS NOT NULL")

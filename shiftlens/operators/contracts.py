@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..session import stored
 from . import code_facts as C
 
 
@@ -108,10 +109,10 @@ def definition_violations(pins: DataFrame, drafts: DataFrame) -> DataFrame:
     ``unparseable``.
     """
     parsed = C.parse_status(drafts).filter("parses").select("repo", "path")
-    now = C.definitions(drafts).select(
+    now = stored(C.definitions(drafts).select(
         "repo", "path", F.col("name").alias("symbol"), F.col("kind").alias("now_kind"), F.col("shape").alias("now"), F.lit(True).alias("found")
-    )
-    joined = pins.join(parsed, ["repo", "path"], "left_semi").join(now, ["repo", "path", "symbol"], "left")
+    ))
+    joined = stored(pins.join(parsed, ["repo", "path"], "left_semi").join(now, ["repo", "path", "symbol"], "left"))
     found = F.coalesce("found", F.lit(False))
     keeps = F.col("preserve_shape") & F.col("shape").isNotNull() & F.col("now").isNotNull()
     new_required = F.array_except("now.required_keyword_only", "shape.required_keyword_only")

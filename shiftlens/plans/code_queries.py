@@ -502,8 +502,8 @@ SELECT repo, path, count(*) AS violations FROM (
   UNION ALL SELECT repo, path FROM d, range(3) WHERE p_size % 5 = 0 UNION ALL SELECT repo, path FROM d WHERE p_size % 5 IN (1, 2, 3)
   UNION ALL SELECT repo, path FROM d WHERE p_size % 5 <> 4 UNION ALL SELECT repo, path FROM d WHERE p_size % 5 = 3) GROUP BY ALL"""))
 def draft_violation_counts(spark: SparkSession, folder: str) -> DataFrame:
-    pins, taken = _pins(_files(spark, folder))
-    drafts = _drafts(spark, folder)
+    pins, taken = _pins(C.read_once(_files(spark, folder), "imports", "references", "defines"))
+    drafts = C.read_once(_drafts(spark, folder), C.STATUS, "imports", "calls", "references", "bound_names", "defines", "scopes")
     found = (
         K.unparseable(drafts)
         .unionByName(K.definition_violations(pins, drafts))

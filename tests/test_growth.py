@@ -267,3 +267,24 @@ def test_what_hangs_on_a_node_is_told_with_it():
     assert told["Assign", 4]["owner"]["text"] == "app.state.config.copy()" and told["Subscript", 5]["key"] == "'K'" and told["Subscript", 5]["owner"]["text"] == "m"
     assert told["Call:t.read().decode"]["around"] and {k[0] for k in told if isinstance(k, tuple)} >= {"Module", "FunctionDef", "arg", "Name"}
     assert entered["first"] and {r["line"] for fact, r in found if fact == "watched" and r["line"]} == {8, 9, 10}
+
+
+@pytest.mark.parametrize(("name", "passes"), [("draft_violation_counts", 2), ("cut_reports", 1)])
+def test_sources_are_parsed_once(spark, monkeypatch, name, passes):
+    """One pass over the files, one over the drafts, whatever is asked of them."""
+    read, (one, apart, status) = [], (C.facts, C.facts_apart, C._parses)
+    monkeypatch.setattr(C, "facts", lambda files, *rest: (isinstance(files, C.Sources) or read.append(files)) and None or one(files, *rest))
+    monkeypatch.setattr(C, "facts_apart", lambda files, *rest: read.append(files) or apart(files, *rest))
+    monkeypatch.setattr(C, "_parses", lambda texts: read.append(texts) or status(texts))
+    planned = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert len(read) == passes and "MapInArrow" not in planned and "PythonUDF" not in planned
+
+
+def test_sources_give_what_files_give(spark):
+    texts = {"pkg/__init__.py": "from .b import f\nK = 1\n", "pkg/b.py": "import os as o\n@x.route('/p')\ndef f(a, *, b=nope):\n    global G\n    G = o.path(a).q\n", "pkg/c.py": "def (:\n", "pkg/d.py": ""}
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo string, path string, text string")
+    once = C.read_once(files, C.STATUS, "imports", "calls", "references", "bound_names", "web_facts", "defines", "scopes")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for read in (C.parse_status, C.imports, C.calls, C.references, C.bound_names, C.web_facts, C.definitions, C.undefined_globals, C.reexported, C.bindings):
+        assert rows(read(once)) == rows(read(files)), read.__name__
+    assert rows(C.imports(once.filter("path LIKE '%b.py'"))) == rows(C.imports(files.filter("path LIKE '%b.py'")))
