@@ -128,8 +128,8 @@ def cycle_members(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------------------------ cuts
 
 
-def _cut_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    files = _files(spark, folder)
+def _cut_inputs(spark: SparkSession, folder: str, *more: str) -> dict[str, DataFrame | C.Sources]:
+    files = C.read_once(_files(spark, folder), C.STATUS, "imports", "references", "defines", *more)
     planned = _planned(files)
     strategies = cut_lineage(M.test_strategy(files.filter(is_oracle_test(F.col("path")))))
     pins = K.manifest(C.interface_contract(files, _used(files)), planned)
@@ -151,7 +151,7 @@ _CUT_EDGES = """
 
 @growing("J-10 N-12 T-07", over("source_files", _CUT_EDGES + "SELECT * FROM x"))
 def executable_edges(spark: SparkSession, folder: str) -> DataFrame:
-    c = _cut_inputs(spark, folder)
+    c = _cut_inputs(spark, folder, "calls", "web_facts")
     return U.executable_edges(c["files"], c["planned"], c["strategies"], c["companions"])
 
 
@@ -160,7 +160,7 @@ SELECT repo, 'executable-cut-1' AS cut_id, count(*) AS size, 'batch_only' AS mod
        ['extension_initialization', 'factory_harness', 'framework_state', 'resource_lifecycle', 'router_registration'] AS edge_kinds
 FROM source_files WHERE j <= 12 OR j = 16 GROUP BY repo"""))
 def executable_cuts(spark: SparkSession, folder: str) -> DataFrame:
-    c = _cut_inputs(spark, folder)
+    c = _cut_inputs(spark, folder, "calls", "web_facts")
     edges = cut_lineage(U.executable_edges(c["files"], c["planned"], c["strategies"], c["companions"]))
     return U.executable_cuts(edges, c["planned"], c["strategies"])[0]
 
@@ -168,7 +168,7 @@ def executable_cuts(spark: SparkSession, folder: str) -> DataFrame:
 @growing("G-25 J-20", over("source_files", "SELECT DISTINCT repo, CAST(26 AS BIGINT) AS edges, CAST(1 AS BIGINT) AS cuts, CAST(1 AS BIGINT) AS diagnostics, CAST(16 AS BIGINT) AS members FROM source_files"))
 def cut_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Counts per repository, and cut members once the sanctioned test changes are attached."""
-    c = _cut_inputs(spark, folder)
+    c = _cut_inputs(spark, folder, "calls", "web_facts")
     edges = cut_lineage(U.executable_edges(c["files"], c["planned"], c["strategies"], c["companions"]))
     cuts, members = U.executable_cuts(edges, c["planned"], c["strategies"])
     changed = c["files"].filter("path LIKE 'tests/test_%'").select("repo", "path", F.lit("src/app/__init__.py").alias("owner_path"))
